@@ -158,7 +158,7 @@ def q_write_posts_csv(spark, sf_dir):
 @_query
 def q_user_timeline(spark, sf_dir):
     view = posts_view(spark, sf_dir, "screen_name", "status_id", "created_at", "text")
-    return dated(posts.user_timeline(view, "Customer#000000007", 3200), "created_at")
+    return dated(posts.user_timeline(view, "Customer#000001378", 3200), "created_at")
 
 
 @_query

@@ -265,7 +265,7 @@ def build() -> dict[str, str]:
         ),
         "user_timeline": _posts(
             final=f"SELECT screen_name, status_id, {_day()} AS created_at, text FROM posts "
-            "WHERE screen_name = 'Customer#000000007' ORDER BY posts.created_at DESC, status_id LIMIT 3200"
+            "WHERE screen_name = 'Customer#000001378' ORDER BY posts.created_at DESC, status_id LIMIT 3200"
         ),
         "load_lexicon": "SELECT lower(p_name) AS word, CAST(p_size AS VARCHAR) AS sentiment FROM part",
         "load_stopwords": "SELECT DISTINCT lower(c_mktsegment) AS word FROM customer WHERE c_mktsegment IS NOT NULL",

@@ -100,16 +100,23 @@ def log_histogram(
     bounds = scaled.groupBy(*groups).agg(F.min("_log").alias("_lo"), F.max("_log").alias("_hi"))
     spanned = scaled.join(F.broadcast(bounds) if few_groups else bounds, groups)
     share = F.try_divide(F.col("_log") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    number = F.coalesce(F.least(F.floor(share * bins) + 1, F.lit(bins)), F.lit(1)).cast("int")
+    number = F.least(F.coalesce(F.floor(share * bins) + 1, F.lit(1)), F.lit(bins)).cast("int")
     held = F.count(F.lit(1)) if times is None else F.sum(times)
     return spanned.groupBy(*groups, number.alias("bin")).agg(held.alias("n"))
 
 
 def log_zscore(df: DataFrame, value: str, out: str = "z") -> DataFrame:
-    """Standard score of log(value + 1) among all rows; null when the deviation is zero or undefined."""
+    """Standard score of log(value + 1) among all rows; null when the deviation is zero or undefined.
+
+    The mean and the deviation are computed here, by one aggregation of the value column, and enter
+    the plan as two constants. As subqueries they would keep Spark from recognising that the
+    branches of a plan built on the scores are the same, and it would tokenise once per branch.
+    """
     score = log_score(F.col(value))
-    centre = df.agg(F.struct(F.avg(score).alias("mean"), F.stddev_samp(score).alias("sd"))).scalar()
-    return df.withColumn(out, F.try_divide(score - centre.getField("mean"), centre.getField("sd")))
+    mean, deviation = df.agg(F.avg(score), F.stddev_samp(score)).first()
+    if not deviation:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    return df.withColumn(out, (score - F.lit(mean)) / F.lit(deviation))
 
 
 def label_high_low(df: DataFrame, value: str, pct: float = 50, out: str = "comparison") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postweave.operators.scalars import attach
+
 
 def tf_idf(counts: DataFrame, term: str, doc: str, n: str, few_docs: bool = False) -> DataFrame:
     """Add tf (share of the document), idf (ln of documents over documents with the term), tf_idf.
@@ -12,11 +14,11 @@ def tf_idf(counts: DataFrame, term: str, doc: str, n: str, few_docs: bool = Fals
     ``counts`` has one row per document and term. ``few_docs`` broadcasts the documents' totals.
     """
     totals = counts.groupBy(doc).agg(F.sum(n).alias("_total"))
-    documents = totals.agg(F.count(F.lit(1)).alias("documents")).scalar()
+    documents = totals.agg(F.count(F.lit(1)).alias("_documents"))
     holders = counts.groupBy(term).agg(F.count(F.lit(1)).alias("_holders"))
     joined = counts.join(F.broadcast(totals) if few_docs else totals, doc).join(holders, term)
-    weighed = joined.withColumns(
-        {"tf": F.col(n) / F.col("_total"), "idf": F.ln(documents / F.col("_holders"))}
+    weighed = attach(joined, documents).withColumns(
+        {"tf": F.col(n) / F.col("_total"), "idf": F.ln(F.col("_documents") / F.col("_holders"))}
     )
     return weighed.select(*counts.columns, "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"))
 
@@ -30,19 +32,14 @@ def two_way_tf_idf(tokens: DataFrame, term: str, doc: str, first: str, second: s
     counts = tokens.groupBy(term).agg(
         F.count_if(F.col(doc) == first).alias("_first"), F.count_if(F.col(doc) == second).alias("_second")
     )
-    totals = counts.agg(
-        F.struct(
-            F.coalesce(F.sum("_first"), F.lit(0)).alias("first"),
-            F.coalesce(F.sum("_second"), F.lit(0)).alias("second"),
-        )
-    ).scalar()
-    first_total, second_total = totals.getField("first"), totals.getField("second")
-    documents = (first_total > 0).cast("int") + (second_total > 0).cast("int")
+    totals = counts.agg(F.sum("_first").alias("_firsts"), F.sum("_second").alias("_seconds"))
+    documents = (F.col("_firsts") > 0).cast("int") + (F.col("_seconds") > 0).cast("int")
     holders = (F.col("_first") > 0).cast("int") + (F.col("_second") > 0).cast("int")
     sides = F.array(
-        F.struct(F.lit(first).alias(doc), F.col("_first").alias("n"), first_total.alias("_total")),
-        F.struct(F.lit(second).alias(doc), F.col("_second").alias("n"), second_total.alias("_total")),
+        F.struct(F.lit(first).alias(doc), F.col("_first").alias("n"), F.col("_firsts").alias("_total")),
+        F.struct(F.lit(second).alias(doc), F.col("_second").alias("n"), F.col("_seconds").alias("_total")),
     )
-    rows = counts.select(term, F.ln(F.try_divide(documents, holders)).alias("idf"), F.inline(sides)).filter(F.col("n") > 0)
+    idf = F.ln(F.try_divide(documents, holders)).alias("idf")
+    rows = attach(counts, totals).select(term, idf, F.inline(sides)).filter(F.col("n") > 0)
     weighed = rows.withColumn("tf", F.col("n") / F.col("_total"))
     return weighed.select(doc, term, "n", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from postweave.operators.counts import count_by
 from postweave.operators.lookup_joins import BROADCAST_BYTES
 from postweave.operators.ranking import top_n_by_group
+from postweave.operators.scalars import attach
 from postweave.params import at_least
 from postweave.sources.storage import fresh_folder
 
@@ -92,19 +93,17 @@ def topic_terms(model: TopicModel, top: int = 5) -> DataFrame:
 
 def all_topic_terms(model: TopicModel) -> DataFrame:
     """Every term's share of every topic, as (topic, term, beta)."""
-    totals = model.cells.agg(F.array(*[F.sum(p) for p in _columns(model.k)]).alias("totals")).scalar()
-    terms = model.cells.groupBy("ngram").agg(F.array(*[F.sum(p) for p in _columns(model.k)]).alias("held"))
-    prior = F.lit(model.term_prior)
+    terms = model.cells.groupBy("ngram").agg(*[F.sum(p).alias(p) for p in _columns(model.k)])
+    spread = model.term_prior * model.vocabulary
     shares = [
         F.struct(
             F.lit(topic + 1).alias("topic"),
-            ((F.get("held", F.lit(topic)) + prior) / (F.get(totals, F.lit(topic)) + prior * model.vocabulary)).alias(
-                "beta"
-            ),
+            ((F.col(p) + model.term_prior) / (F.col(f"total_{p}") + spread)).alias("beta"),
         )
-        for topic in range(model.k)
+        for topic, p in enumerate(_columns(model.k))
     ]
-    return terms.select(F.col("ngram").alias("term"), F.inline(F.array(*shares))).select("topic", "term", "beta")
+    listed = attach(terms, _totals(_held(model), model.k))
+    return listed.select(F.col("ngram").alias("term"), F.inline(F.array(*shares))).select("topic", "term", "beta")
 
 
 def topic_documents(model: TopicModel) -> DataFrame:
@@ -144,15 +143,18 @@ def _held(model: TopicModel) -> DataFrame:
     return model.cells.groupBy("bucket").agg(*[F.sum(p).alias(p) for p in _columns(model.k)])
 
 
+def _totals(held: DataFrame, k: int) -> DataFrame:
+    return held.agg(*[F.sum(p).alias(f"total_{p}") for p in _columns(k)])
+
+
 def _iterate(model: TopicModel) -> DataFrame:
     columns = _columns(model.k)
     held = _held(model)
-    totals = held.agg(F.array(*[F.sum(p) for p in columns]).alias("totals")).scalar()
-    spread = F.lit(model.term_prior * model.vocabulary)
-    factors = held.select(
+    spread = model.term_prior * model.vocabulary
+    factors = attach(held, _totals(held, model.k)).select(
         "bucket",
         *[
-            ((F.col(p) + model.document_prior) / (F.get(totals, F.lit(topic)) + spread)).alias(f"b{topic}")
+            ((F.col(p) + model.document_prior) / (F.col(f"total_{p}") + spread)).alias(f"b{topic}")
             for topic, p in enumerate(columns)
         ],
     )

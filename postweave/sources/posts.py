@@ -18,6 +18,8 @@ _CSV = {
     "emptyValue": "",
     "nullValue": "\\N",
     "timestampFormat": "yyyy-MM-dd HH:mm:ss",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
 }
 
 

@@ -1,0 +1,104 @@
+import datetime as dt
+
+import pytest
+
+from postweave.sources import lookups, posts, storage
+
+
+def test_csv_round_trip_keeps_every_text(spark, make_posts, rows_of, tmp_path):
+    texts = ["line\nbreak", 'a "quoted" word', "comma, here", "é\\n ü", "", None, "\\N is not null", " padded "]
+    original = make_posts(*[{"text": t, "status_id": f"12345678901234567{i}", "favorite_count": i} for i, t in enumerate(texts)])
+    path = str(tmp_path / "posts")
+    posts.write_posts_csv(original, path)
+    loaded = posts.load_posts_csv(spark, path)
+    assert loaded.schema.simpleString() == original.schema.simpleString()
+    assert {r["status_id"]: r["text"] for r in loaded.collect()} == {r["status_id"]: r["text"] for r in original.collect()}
+    assert loaded.select("created_at", "is_retweet", "favorite_count").subtract(
+        original.select("created_at", "is_retweet", "favorite_count")
+    ).isEmpty()
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "export.csv"
+    path.write_text(
+        "extra,text,status_id,created_at,screen_name,is_quote,is_retweet,favorite_count,retweet_count,followers_count\n"
+        'z,"two\nlines",1234567890123456789,2024-05-06 07:08:09,me,FALSE,TRUE,3,4,5\n'
+        "z,plain,2,2024-05-07T01:02:03Z,me,FALSE,FALSE,1,,5\n",
+        encoding="utf-8",
+    )
+    first, second = posts.load_posts_csv(spark, str(path)).orderBy("status_id").collect()
+    assert first["status_id"] == "1234567890123456789"
+    assert first["text"] == "two\nlines"
+    assert first["created_at"] == dt.datetime(2024, 5, 6, 7, 8, 9)
+    assert (first["is_quote"], first["is_retweet"], first["favorite_count"]) == (False, True, 3)
+    assert second["created_at"] == dt.datetime(2024, 5, 7, 1, 2, 3)
+
+
+def test_normalise_posts(make_posts):
+    row = posts.normalise_posts(make_posts({"text": "x https://t.co/y", "created_at": dt.datetime(2024, 2, 3, 23, 59)})).first()
+    assert (row["text"], row["created_at"]) == ("x  Link", dt.date(2024, 2, 3))
+
+
+def test_user_timeline(make_posts):
+    table = make_posts(
+        {"screen_name": "a", "created_at": dt.datetime(2024, 1, 1)},
+        {"screen_name": "a", "created_at": dt.datetime(2024, 1, 3)},
+        {"screen_name": "b", "created_at": dt.datetime(2024, 1, 4)},
+        {"screen_name": "a", "created_at": dt.datetime(2024, 1, 2)},
+    )
+    assert [r["status_id"] for r in posts.user_timeline(table, "a", 2).collect()] == ["2", "4"]
+    assert posts.user_timeline(table, "a", 0).count() == 0
+
+
+def test_lexicons(spark, rows_of, tmp_path):
+    spark.createDataFrame([("bad", -3), ("good", 3)], "term string, value int").write.parquet(str(tmp_path / "afinn.parquet"))
+    assert rows_of(lookups.load_lexicon(spark, str(tmp_path), "afinn")) == [("bad", "-3"), ("good", "3")]
+    with pytest.raises(ValueError):
+        lookups.load_lexicon(spark, str(tmp_path), "other")
+
+
+def test_stopwords(spark, tmp_path, monkeypatch):
+    assert len(lookups.load_stopwords(spark)) == len(set(lookups.FRY_100)) == 100
+    spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "word string").write.parquet(str(tmp_path / "stop"))
+    assert lookups.load_stopwords(spark, str(tmp_path / "stop")) == ["a", "b"]
+    monkeypatch.setattr(lookups, "MAX_STOPWORDS", 1)
+    with pytest.raises(ValueError):
+        lookups.load_stopwords(spark, str(tmp_path / "stop"))
+
+
+class FakeContext:
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+class FakeSession:
+    def __init__(self, context, conf):
+        self.sparkContext, self.conf = context, conf
+
+
+def test_shared_folder_is_the_configured_one():
+    context = FakeContext("spark://host:7077")
+    session = FakeSession(context, {"spark.checkpoint.dir": "hdfs:///shared"})
+    assert storage.shared_folder(session) == context.folder == "hdfs:///shared"
+    assert storage.fresh_folder(session, "x").startswith("hdfs:///shared/x-")
+
+
+def test_a_cluster_without_shared_folder_is_an_error():
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(FakeSession(FakeContext("spark://host:7077"), {}))
+    assert storage.shared_folder(FakeSession(FakeContext("local[2]"), {}))
+
+
+def test_spread_only_changes_scans_with_few_splits(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(100).coalesce(1).write.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    assert storage.spread(spark.read.parquet(path), "id").rdd.getNumPartitions() == cores
+    many = spark.range(0, 100, 1, cores + 3)
+    assert storage.spread(many) is many
