@@ -1,0 +1,97 @@
+"""What the physical plans of the registered queries must and must not hold."""
+
+import re
+
+import pytest
+
+import __spark_entry__ as driver
+
+SF_DIR = "/root/testdata/sf0.001"
+JOBS = [
+    "post_summary",
+    "ngram_top",
+    "ngram_negation",
+    "sentiment_words",
+    "sentiment_daily",
+    "sentiment_trend",
+    "ngram_sentiment",
+    "sentiment_posts",
+    "metric_daily",
+    "metric_trend",
+    "top_posts",
+    "top_posts_ngrams",
+    "mention_top",
+    "metric_distribution",
+    "high_low_terms",
+    "topic_buckets",
+    "post_preview",
+    "raw_table",
+]
+
+
+@pytest.fixture(scope="module")
+def plan(spark):
+    def text(name):
+        return driver.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+
+    return text
+
+
+@pytest.mark.parametrize("name", JOBS)
+def test_jobs_stay_in_the_jvm_and_cross_nothing(plan, name):
+    shown = plan(name)
+    assert not re.search("Python|Pandas|InArrow", shown)
+    assert "CartesianProduct" not in shown and "BroadcastNestedLoopJoin" not in shown
+
+
+@pytest.mark.parametrize("name", JOBS)
+def test_windows_have_partition_keys(plan, name):
+    # a Window node prints its expressions, its partition keys and its order, each in brackets
+    for keys in re.findall(r"\n[^\n]*Window \[.*\], (\[[^\[\]]*\]), \[[^\[\]]*\]", plan(name)):
+        assert keys != "[]"
+
+
+def test_lexicon_join_is_a_broadcast_and_counts_before_the_shuffle(plan):
+    shown = plan("sentiment_daily")
+    assert "BroadcastHashJoin [word" in shown and "SortMergeJoin" not in shown
+    assert shown.index("partial_count") > shown.index("Exchange hashpartitioning(date")
+
+
+@pytest.mark.parametrize("name", ["ngram_negation", "ngram_sentiment"])
+def test_ngram_context_needs_no_self_join(plan, name):
+    assert not re.search(r"Join \[key", plan(name))
+    assert "monotonically" not in plan(name)
+
+
+def test_only_the_columns_used_are_read(plan):
+    assert set(re.findall(r"FileScan parquet \[([^\]]*)\]", re.sub(r"#\d+L?", "", plan("ngram_top")))) == {"doc_id,text"}
+    assert "text" not in "".join(re.findall(r"FileScan parquet \[([^\]]*)\]", plan("post_summary")))
+
+
+def test_date_range_reaches_the_scan(spark, tmp_path):
+    from postweave.plans.topics import topic_buckets
+
+    path = str(tmp_path / "posts")
+    driver.posts_view(spark, SF_DIR, "created_at", "text").write.parquet(path)
+    shown = topic_buckets(spark.read.parquet(path), "1996-01-01", "1997-01-01")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(created_at,1996-01-01\)", shown)
+
+
+def executed_lines(plan):
+    """The plan's lines without the branches that AQE replaced."""
+    lines, hidden_from = [], None
+    for line in plan.splitlines():
+        start = re.search("[^ :]", line + "$").start()
+        if hidden_from is not None and start > hidden_from:
+            continue
+        hidden_from = start if "== Initial Plan ==" in line else None
+        lines.append(line)
+    return lines
+
+
+def test_texts_are_tokenised_once(spark):
+    for name in ("ngram_top", "high_low_terms", "ngram_sentiment", "top_posts_ngrams"):
+        df = driver.queries()[name](spark, SF_DIR)
+        df.collect()
+        lines = executed_lines(df._jdf.queryExecution().executedPlan().toString())
+        assert sum("regexp_extract_all" in line for line in lines) == 1, name

@@ -1,0 +1,152 @@
+import datetime as dt
+from math import log
+
+import pytest
+
+from postweave.functions.labels import HIGH, LOW
+from postweave.operators import lookup_joins
+from postweave.plans import metrics, ngrams, performance, sentiment, tables
+
+
+@pytest.fixture()
+def lexicon(spark):
+    return spark.createDataFrame(
+        [("bad", "negative"), ("awful", "negative"), ("good", "positive")], "word string, sentiment string"
+    )
+
+
+def test_ngram_top(make_posts, rows_of):
+    posts = make_posts({"text": "x y z"}, {"text": "X Y"}, {"text": "y z"})
+    assert rows_of(ngrams.ngram_top(posts, top=1)) == [("x y", 2), ("y z", 2)]
+    assert rows_of(ngrams.ngram_top(posts, filterword="^x")) == [("y z", 2)]
+    assert rows_of(ngrams.ngram_top(posts, containword="x")) == [("x y", 2)]
+    assert rows_of(ngrams.ngram_top(posts, n=1, top=1, stopwords=["y"])) == [("x", 2), ("z", 2)]
+
+
+def test_ngram_negation(make_posts, rows_of):
+    posts = make_posts({"text": "not good not bad"}, {"text": "not good, really not"})
+    assert rows_of(ngrams.ngram_negation(posts, top=1)) == [("not good", 2)]
+
+
+def test_sentiment_words_with_many_labels(spark, make_posts, rows_of):
+    posts = make_posts({"text": "cry cry hope"}, {"text": "hope", "is_retweet": True})
+    lexicon = spark.createDataFrame([("cry", "joy"), ("cry", "fear"), ("hope", "joy")], "word string, sentiment string")
+    assert rows_of(sentiment.sentiment_words(posts, lexicon)) == [("cry", "fear", 2), ("cry", "joy", 2), ("hope", "joy", 2)]
+    assert rows_of(sentiment.sentiment_words(posts, lexicon, filterword="cry")) == [("hope", "joy", 2)]
+
+
+def test_phrase_counts_once_per_sentiment_word(make_posts, lexicon, rows_of):
+    posts = make_posts({"text": "bad awful"}, {"text": "a good"})
+    assert rows_of(sentiment.ngram_sentiment(posts, lexicon)) == [("negative", "bad awful", -2), ("positive", "a good", 1)]
+
+
+def test_sentiment_posts(make_posts, lexicon):
+    posts = make_posts(
+        {"text": "bad"}, {"text": "bad bad"}, {"text": "awful"}, {"text": "bad bad bad", "is_retweet": True}, {"text": "good"}
+    )
+    found = [(r["sentiment"], r["text"], r["n"]) for r in sentiment.sentiment_posts(posts, lexicon, top=2).collect()]
+    assert found == [("negative", "bad bad", 2), ("negative", "bad", 1), ("positive", "good", 1)]
+
+
+def test_trend_leaves_retweets_out_of_posts_per_day_only(make_posts, lexicon):
+    posts = make_posts({"text": "bad"}, {"text": "bad", "is_retweet": True})
+    rows = {r["series"]: (r["n"], r["trend"]) for r in sentiment.sentiment_trend(posts, lexicon).collect()}
+    assert rows == {"negative": (2, 2.0), "Tweets/Day": (1, 1.0)}
+
+
+def test_a_large_lexicon_gives_the_same_results(make_posts, lexicon, rows_of, monkeypatch):
+    posts = make_posts(*[{"text": "bad " * (i % 5) + "good awful", "created_at": dt.datetime(2024, 1, 1 + i % 3)} for i in range(40)])
+
+    def results():
+        return [
+            rows_of(sentiment.sentiment_words(posts, lexicon)),
+            rows_of(sentiment.sentiment_daily(posts, lexicon)),
+            rows_of(sentiment.ngram_sentiment(posts, lexicon)),
+            rows_of(sentiment.sentiment_posts(posts, lexicon)),
+        ]
+
+    small = results()
+    for module in (lookup_joins, sentiment):
+        monkeypatch.setattr(module, "fits_broadcast", lambda table: False)
+    assert results() == small
+
+
+def test_lexicon_is_measured(lexicon):
+    assert lookup_joins.fits_broadcast(lexicon)
+    assert not lookup_joins.fits_broadcast(lexicon, limit=50)
+    assert lookup_joins.fits_broadcast(lexicon.limit(0), limit=0)
+
+
+def test_summary_and_daily(make_posts, rows_of):
+    posts = make_posts(
+        {"favorite_count": 1, "retweet_count": 4},
+        {"favorite_count": 3, "created_at": dt.datetime(2024, 1, 2)},
+        {"favorite_count": 99, "is_retweet": True},
+    )
+    rows = {r["key"]: r for r in metrics.post_summary(posts).collect()}
+    assert (rows["FavoritesReceived"]["median"], rows["FavoritesReceived"]["TotalTweets"]) == (2.0, 2)
+    assert rows["RetweetsReceived"]["max"] == 4
+    daily = rows_of(metrics.metric_daily(posts))
+    assert (dt.date(2024, 1, 1), "Daily Favorites", 1) in daily
+    assert (dt.date(2024, 1, 2), "Daily Tweets", 1) in daily
+    assert len(daily) == 6
+    assert {r["trend"] for r in metrics.metric_trend(posts).collect()} == {2.0, 1.0}
+
+
+def test_top_posts_keep_ties(make_posts):
+    posts = make_posts(*[{"text": t, "favorite_count": f} for t, f in (("a", 1), ("b", 5), ("c", 3), ("d", 3))])
+    assert [(r["text"], r["value"]) for r in metrics.top_posts(posts, top=2).collect()] == [("b", 5), ("c", 3), ("d", 3)]
+    with pytest.raises(ValueError):
+        metrics.top_posts(posts, "followers_count")
+
+
+def test_top_posts_ngrams(make_posts, rows_of):
+    posts = make_posts(
+        {"text": "a b", "favorite_count": 9, "retweet_count": 0},
+        {"text": "c d", "favorite_count": 1, "retweet_count": 7},
+        {"text": "e f", "favorite_count": 8, "retweet_count": 6},
+        {"text": "no no", "favorite_count": 0, "retweet_count": 1},
+    )
+    found = rows_of(metrics.top_posts_ngrams(posts, toptweetn=2))
+    assert found == [("favorite_count", "a b", 1), ("favorite_count", "e f", 1), ("retweet_count", "c d", 1), ("retweet_count", "e f", 1)]
+    assert rows_of(metrics.top_posts_ngrams(posts, toptweetn=2, top=1)) == [("favorite_count", "a b", 1), ("retweet_count", "c d", 1)]
+
+
+def test_mentions_leave_empty_handles_out(make_posts, rows_of):
+    posts = make_posts({"text": "@123 @Ann_B @ann_b"}, {"text": "@bob"}, {"text": "@zed", "is_retweet": True})
+    assert rows_of(metrics.mention_top(posts)) == [("ann b", 2), ("bob", 1)]
+    assert rows_of(metrics.mention_top(posts, filterusername="bob")) == [("ann b", 2)]
+
+
+def test_metric_distribution(make_posts):
+    posts = make_posts(*[{"text": "Word", "favorite_count": v, "retweet_count": 1} for v in (0, 1, 10, 100)], {"text": "x", "favorite_count": 7})
+    rows = metrics.metric_distribution(posts, "word").collect()
+    with_word = sorted((r["bin"], r["n"], r["median"]) for r in rows if r["metric"] == "Favorites" and r["Word"] == "contains word")
+    assert with_word == [(1, 1, 5.5), (16, 1, 5.5), (30, 1, 5.5)]
+    assert [(r["bin"], r["n"]) for r in rows if r["Word"] == "doesn't contain word"] == [(1, 1)]
+
+
+def test_high_low_terms(make_posts):
+    posts = make_posts({"text": "x y", "favorite_count": 100}, {"text": "x z", "favorite_count": 1})
+    found = {(r["comparison"], r["ngram"]): r["tf_idf"] for r in performance.high_low_terms(posts, n=1).collect()}
+    half = pytest.approx(log(2) / 2)
+    assert found == {(HIGH, "x"): 0, (HIGH, "y"): half, (LOW, "x"): 0, (LOW, "z"): pytest.approx(-log(2) / 2)}
+
+
+def test_one_group_returns_every_ngram(make_posts):
+    posts = make_posts({"text": "x y", "favorite_count": 100}, {"text": "x z", "favorite_count": 1})
+    rows = performance.high_low_terms(posts, highlowperformers=100, n=1, top=1).collect()
+    assert {(r["comparison"], r["ngram"], r["tf_idf"]) for r in rows} == {(LOW, t, 0.0) for t in "xyz"}
+
+
+def test_equal_metric_gives_no_terms(make_posts):
+    posts = make_posts({"text": "x y", "favorite_count": 1}, {"text": "x z", "favorite_count": 1})
+    assert performance.high_low_terms(posts).count() == 0
+
+
+def test_tables(make_posts):
+    posts = make_posts(*[{"created_at": dt.datetime(2024, 1, 9 - i)} for i in range(8)])
+    assert [r["created_at"] for r in tables.post_preview(posts).collect()] == [f"2024-01-0{d}" for d in range(2, 8)]
+    raw = tables.raw_table(posts)
+    assert raw.columns[0] == "created_at" and raw.columns[-1] == "status_id"
+    assert [r["status_id"] for r in tables.raw_table(posts, 2).collect()] == ["8", "7"]
