@@ -172,7 +172,7 @@ def q_load_lexicon(spark, sf_dir):
 
 @_query
 def q_load_stopwords(spark, sf_dir):
-    # the lower-cased names of nations are the stop words of the documents' and customers' words
+    # the customers' market segments as a stored stop-word table
     folder = storage.fresh_folder(spark, "stopwords")
     segments = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lower("c_mktsegment").alias("word"))
     segments.write.parquet(folder)
@@ -534,8 +534,8 @@ def q_document_terms(spark, sf_dir):
 @_query
 def q_fit_topics(spark, sf_dir):
     model = _topic_model(spark, sf_dir)
-    held = [F.sum(f"p{topic}").alias(f"topic{topic + 1}") for topic in range(model.k)]
-    return rounded(model.cells.groupBy("bucket").agg(*held), *[f"topic{topic + 1}" for topic in range(model.k)])
+    held = [F.col(f"p{topic}").alias(f"topic{topic + 1}") for topic in range(model.k)]
+    return rounded(model.documents.select("bucket", *held), *[f"topic{topic + 1}" for topic in range(model.k)])
 
 
 @_query

@@ -34,7 +34,9 @@ def lexicon_join(words: DataFrame, lexicon: DataFrame, small: bool | None = None
     return words.join(F.broadcast(lexicon) if small else lexicon, "word")
 
 
-def count_sentiments(words: DataFrame, lexicon: DataFrame, keys: Sequence[str]) -> DataFrame:
+def count_sentiments(
+    words: DataFrame, lexicon: DataFrame, keys: Sequence[str], small: bool | None = None
+) -> DataFrame:
     """Sentiment words per key and sentiment, as column ``n``.
 
     With a broadcast lexicon, only the words it lists reach the shuffle. With a larger one, the words
@@ -42,7 +44,7 @@ def count_sentiments(words: DataFrame, lexicon: DataFrame, keys: Sequence[str])
     frequent word's share.
     """
     keys = list(keys)
-    if fits_broadcast(lexicon):
+    if fits_broadcast(lexicon) if small is None else small:
         found = lexicon_join(words.select(*dict.fromkeys([*keys, "word"])), lexicon, small=True)
         return found.groupBy(*keys, "sentiment").agg(F.count(F.lit(1)).alias("n"))
     folded = words.groupBy(*dict.fromkeys([*keys, "word"])).agg(F.count(F.lit(1)).alias("_times"))

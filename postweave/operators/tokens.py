@@ -43,8 +43,11 @@ def tokenize_whitespace(df: DataFrame, text: str = "text", out: str = "word") ->
 
 
 def extract_mentions(df: DataFrame, text: str = "text", out: str = "word") -> DataFrame:
-    """One row per piece that holds an @, reduced to its letters a-z."""
-    pieces = tokenize_whitespace(df, text, out).filter(F.col(out).contains("@"))
+    """One row per piece that holds an @, reduced to its letters a-z.
+
+    Texts without an @ are passed over before they are split.
+    """
+    pieces = tokenize_whitespace(df.filter(F.col(text).contains("@")), text, out).filter(F.col(out).contains("@"))
     return pieces.withColumn(out, normalise_handle(F.col(out)))
 
 

@@ -4,9 +4,10 @@ The model is latent Dirichlet allocation, fitted by expectation maximisation of
 (Asuncion, Welling, Smyth, Teh: "On smoothing and inference for topic models", 2009). Spark ML's LDA
 needs each document as one vector and holds a matrix of the whole vocabulary on the driver. Here a
 document is a time bucket, which may hold a third of all posts, and the vocabulary is every n-gram;
-so the fit stays on the count rows. One iteration is one shuffle by term, in groups of at most one
-row per bucket, and one small aggregation by bucket. The driver sees two numbers: how many
-documents and how many terms there are.
+so the fit stays on the count rows. These are shuffled by term once, into a bucketed table; an
+iteration then sums over each term's rows, at most one per time bucket, where they lie, and shuffles
+only partial sums per time bucket. The driver sees two numbers: how many documents and how many
+terms there are.
 """
 
 from __future__ import annotations
@@ -31,20 +32,18 @@ def document_terms(tokens: DataFrame, document: str = "bucket", term: str = "ngr
 
 @dataclass(frozen=True)
 class TopicModel:
-    """Expected counts per (document, term) cell, in columns ``p0`` to ``p{k-1}``, and the priors."""
+    """Expected counts in columns ``p0`` to ``p{k-1}``, per term and per document, and the priors.
 
-    cells: DataFrame
+    ``terms`` has one row per n-gram, ``documents`` one per bucket; both are stored tables.
+    """
+
+    terms: DataFrame
+    documents: DataFrame
     k: int
     vocabulary: int
-    documents: int
     document_prior: float
     term_prior: float
 
-    @property
-    def few_documents(self) -> bool:
-        """Whether one row per document is small enough to broadcast."""
-        return self.documents * (self.k + 4) * 8 <= BROADCAST_BYTES
-
 
 def fit_topics(
     counts: DataFrame,
@@ -59,31 +58,43 @@ def fit_topics(
     The priors are what is added to each expected count (a Dirichlet parameter less one);
     ``document_prior`` is 50/k by default. The start is a hash of seed, bucket and n-gram, so a fit
     is repeatable whatever the partitioning. Each iteration is written as a table to the shared
-    folder, over that of two iterations before: a lost executor repeats one iteration at most.
+    folder, over that of two iterations before: a lost executor repeats one iteration at most. The
+    tables are in the catalog only during the fit. They have as many buckets as a shuffle has
+    partitions, so ``spark.sql.shuffle.partitions`` sizes them for the data.
     """
     at_least("k", k, 2)
     at_least("iterations", iterations, 0)
     spark = counts.sparkSession
     home = fresh_folder(spark, "topics")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"{home.rsplit('/', 1)[1].replace('-', '_')}_{turn}" for turn in ("even", "odd")]
 
     def stored(cells: DataFrame, step: int) -> DataFrame:
-        path = f"{home}/{'even' if step % 2 == 0 else 'odd'}"
-        cells.write.mode("overwrite").parquet(path)
-        return spark.read.schema(cells.schema).parquet(path)
+        name = names[step % 2]
+        writer = cells.write.mode("overwrite").format("parquet").option("path", f"{home}/{name}")
+        writer.bucketBy(parts, "ngram").saveAsTable(name)
+        return spark.table(name)
+
+    def kept(table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{home}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{home}/{name}")
 
+    prior = 50.0 / k if document_prior is None else document_prior
     start = [_start_weight(seed, topic) for topic in range(k)]
-    cells = stored(counts.select("bucket", "ngram", "n", *_shares(start)), 0)
-    model = TopicModel(
-        cells,
-        k,
-        cells.select("ngram").distinct().count(),
-        cells.select("bucket").distinct().count(),
-        50.0 / k if document_prior is None else document_prior,
-        term_prior,
-    )
-    for step in range(1, iterations + 1):
-        model = TopicModel(stored(_iterate(model), step), *_fixed(model))
-    return model
+    placed = counts.dropna(subset=["bucket", "ngram"]).repartition(parts, "ngram")
+    try:
+        cells = stored(placed.select("bucket", "ngram", "n", *_shares(start)), 0)
+        vocabulary = cells.select("ngram").distinct().count()
+        documents = cells.select("bucket").distinct().count()
+        for step in range(1, iterations + 1):
+            factors = _document_factors(_sums(cells, "bucket", k), k, prior, term_prior, vocabulary)
+            cells = stored(_iterate(cells, factors, k, term_prior, _few(documents, k)), step)
+        terms = kept(_sums(cells, "ngram", k), "terms")
+        held = kept(_sums(cells, "bucket", k), "documents")
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return TopicModel(terms, held, k, vocabulary, prior, term_prior)
 
 
 def topic_terms(model: TopicModel, top: int = 5) -> DataFrame:
@@ -93,7 +104,6 @@ def topic_terms(model: TopicModel, top: int = 5) -> DataFrame:
 
 def all_topic_terms(model: TopicModel) -> DataFrame:
     """Every term's share of every topic, as (topic, term, beta)."""
-    terms = model.cells.groupBy("ngram").agg(*[F.sum(p).alias(p) for p in _columns(model.k)])
     spread = model.term_prior * model.vocabulary
     shares = [
         F.struct(
@@ -102,30 +112,25 @@ def all_topic_terms(model: TopicModel) -> DataFrame:
         )
         for topic, p in enumerate(_columns(model.k))
     ]
-    listed = attach(terms, _totals(_held(model), model.k))
+    listed = attach(model.terms, _totals(model.documents, model.k))
     return listed.select(F.col("ngram").alias("term"), F.inline(F.array(*shares))).select("topic", "term", "beta")
 
 
 def topic_documents(model: TopicModel) -> DataFrame:
     """Share of each topic in each document, as (document, topic, gamma)."""
-    held = _held(model)
     total = sum((F.col(p) for p in _columns(model.k)), F.lit(0.0))
     prior = F.lit(model.document_prior)
     shares = [
         F.struct(F.lit(topic + 1).alias("topic"), ((F.col(p) + prior) / (total + prior * model.k)).alias("gamma"))
         for topic, p in enumerate(_columns(model.k))
     ]
-    return held.select(F.col("bucket").alias("document"), F.inline(F.array(*shares)))
+    return model.documents.select(F.col("bucket").alias("document"), F.inline(F.array(*shares)))
 
 
 def _columns(k: int) -> list[str]:
     return [f"p{topic}" for topic in range(k)]
 
 
-def _fixed(model: TopicModel) -> tuple:
-    return model.k, model.vocabulary, model.documents, model.document_prior, model.term_prior
-
-
 def _start_weight(seed: int, topic: int) -> Column:
     # 16 bits of the digest per topic, eight topics per digest
     text = F.concat_ws("|", F.lit(f"{seed}.{topic // 8}"), "bucket", "ngram")
@@ -139,31 +144,39 @@ def _shares(weights: list[Column]) -> list[Column]:
     return [(F.col("n") * weight / total).alias(f"p{topic}") for topic, weight in enumerate(weights)]
 
 
-def _held(model: TopicModel) -> DataFrame:
-    return model.cells.groupBy("bucket").agg(*[F.sum(p).alias(p) for p in _columns(model.k)])
+def _sums(cells: DataFrame, key: str, k: int) -> DataFrame:
+    return cells.groupBy(key).agg(*[F.sum(p).alias(p) for p in _columns(k)])
 
 
 def _totals(held: DataFrame, k: int) -> DataFrame:
     return held.agg(*[F.sum(p).alias(f"total_{p}") for p in _columns(k)])
 
 
-def _iterate(model: TopicModel) -> DataFrame:
-    columns = _columns(model.k)
-    held = _held(model)
-    spread = model.term_prior * model.vocabulary
-    factors = attach(held, _totals(held, model.k)).select(
-        "bucket",
-        *[
-            ((F.col(p) + model.document_prior) / (F.col(f"total_{p}") + spread)).alias(f"b{topic}")
-            for topic, p in enumerate(columns)
-        ],
-    )
+def _few(documents: int, k: int) -> bool:
+    """Whether one row of k numbers per document is small enough to broadcast."""
+    return documents * (k + 4) * 8 <= BROADCAST_BYTES
+
+
+def _document_factors(held: DataFrame, k: int, document_prior: float, term_prior: float, vocabulary: int) -> DataFrame:
+    """What a document and the topics' sizes contribute to a cell's weights, in ``b0`` to ``b{k-1}``."""
+    # filtered as the join will filter it, so that both uses of the sums are one shuffle
+    held = held.filter(F.col("bucket").isNotNull())
+    spread = term_prior * vocabulary
+    factors = [
+        ((F.col(p) + document_prior) / (F.col(f"total_{p}") + spread)).alias(f"b{topic}")
+        for topic, p in enumerate(_columns(k))
+    ]
+    return attach(held, _totals(held, k)).select("bucket", *factors)
+
+
+def _iterate(cells: DataFrame, factors: DataFrame, k: int, term_prior: float, few_documents: bool) -> DataFrame:
+    """Divide each cell's count anew, by its term's and its document's sums."""
     of_term = Window.partitionBy("ngram")
-    terms = model.cells.select(
-        "bucket", "ngram", "n", *[F.sum(p).over(of_term).alias(f"t{topic}") for topic, p in enumerate(columns)]
+    sums = [F.sum(p).over(of_term).alias(f"t{topic}") for topic, p in enumerate(_columns(k))]
+    joined = cells.select("bucket", "ngram", "n", *sums).join(
+        F.broadcast(factors) if few_documents else factors, "bucket"
     )
-    joined = terms.join(F.broadcast(factors) if model.few_documents else factors, "bucket")
-    weights = [(F.col(f"t{topic}") + model.term_prior) * F.col(f"b{topic}") for topic in range(model.k)]
     # the weights are projected first: each is used in every topic's share
-    weighed = joined.select("bucket", "ngram", "n", *[w.alias(f"w{topic}") for topic, w in enumerate(weights)])
-    return weighed.select("bucket", "ngram", "n", *_shares([F.col(f"w{topic}") for topic in range(model.k)]))
+    weights = [((F.col(f"t{topic}") + term_prior) * F.col(f"b{topic}")).alias(f"w{topic}") for topic in range(k)]
+    weighed = joined.select("bucket", "ngram", "n", *weights)
+    return weighed.select("bucket", "ngram", "n", *_shares([F.col(f"w{topic}") for topic in range(k)]))

@@ -23,8 +23,9 @@ def sentiment_words(posts: DataFrame, lexicon: DataFrame, top: int = 5, filterwo
     """The most frequent words of each sentiment, as (word, sentiment, n)."""
     words = tokenize_words(posts.select(strip_links(F.col("text")).alias("text")))
     words = exclude_exact(words, "word", filterword)
-    counts = count_sentiments(words, lexicon, ["word"])
-    return top_n_by_group(counts, "sentiment", "n", top, few_groups=fits_broadcast(lexicon))
+    small = fits_broadcast(lexicon)
+    counts = count_sentiments(words, lexicon, ["word"], small)
+    return top_n_by_group(counts, "sentiment", "n", top, few_groups=small)
 
 
 def sentiment_daily(posts: DataFrame, bing: DataFrame) -> DataFrame:
@@ -54,8 +55,9 @@ def ngram_sentiment(
     """
     ngrams = tokenize_ngrams(posts.select(strip_links(F.col("text")).alias("text")), n=n)
     words = ngram_words(exclude_pattern(ngrams, "ngram", filterword))
-    counts = count_sentiments(words, bing, ["ngram"]).select("sentiment", "ngram", "n")
-    best = top_n_by_group(counts, "sentiment", "n", top, few_groups=fits_broadcast(bing))
+    small = fits_broadcast(bing)
+    counts = count_sentiments(words, bing, ["ngram"], small).select("sentiment", "ngram", "n")
+    best = top_n_by_group(counts, "sentiment", "n", top, few_groups=small)
     return best.withColumn("n", signed_mirror(F.col("n"), F.col("sentiment"), NEGATIVE))
 
 
@@ -65,9 +67,10 @@ def sentiment_posts(posts: DataFrame, lexicon: DataFrame, top: int = 5) -> DataF
     Equal counts go by id. Only ids are ranked; the texts are fetched for the posts that remain.
     """
     words = tokenize_words(original_posts(posts).select("status_id", "text"))
-    counts = count_sentiments(words, lexicon, ["status_id"])
+    small = fits_broadcast(lexicon)
+    counts = count_sentiments(words, lexicon, ["status_id"], small)
     best = top_k_exact(counts, "sentiment", "n", top, tie="status_id")
     texts = posts.select("status_id", "created_at", "text")
-    found = join_back_text(best, texts, small=fits_broadcast(lexicon))
+    found = join_back_text(best, texts, small)
     ordered = sort_rows(found, "sentiment", F.desc("n"), "status_id")
     return ordered.select("created_at", "text", "sentiment", "n")

@@ -104,8 +104,8 @@ def test_large_document_tables_are_not_broadcast(spark, monkeypatch):
     counts = spark.createDataFrame(CELLS, "bucket string, ngram string, n bigint")
     small = topics.all_topic_terms(topics.fit_topics(counts, 2, 2)).collect()
     monkeypatch.setattr(topics, "BROADCAST_BYTES", 0)
+    assert not topics._few(1, 2)
     model = topics.fit_topics(counts, 2, 2)
-    assert not model.few_documents
     large = {tuple(r)[:2]: r["beta"] for r in topics.all_topic_terms(model).collect()}
     assert large == {tuple(r)[:2]: pytest.approx(r["beta"]) for r in small}
 
