@@ -70,7 +70,20 @@ def sort_rows(df: DataFrame, *order: Column | str) -> DataFrame:
     return df.orderBy(*order)
 
 
+def first_by(df: DataFrame, column: str, n: int, tie: str, descending: bool = False) -> DataFrame:
+    """The first ``n`` rows in the order of ``column``, then ``tie``; missing values come last.
+
+    The n-th value is found from the column alone. As a filter it reaches the scan, so of the wide
+    columns, such as texts, little more is read than what is returned.
+    """
+    at_least("n", n, 0)
+    order, last = (F.desc_nulls_last, F.min) if descending else (F.asc_nulls_last, F.max)
+    edge = df.select(column).dropna().orderBy(order(column)).limit(n).agg(last(column).alias("edge")).scalar()
+    value = F.col(column)
+    within = (value >= edge if descending else value <= edge) | value.isNull()
+    return df.filter(within).orderBy(order(column), tie).limit(n)
+
+
 def preview(posts: DataFrame, n: int = 6) -> DataFrame:
     """The first ``n`` posts by date and id."""
-    at_least("n", n, 0)
-    return posts.orderBy("created_at", "status_id").limit(n)
+    return first_by(posts, "created_at", n, tie="status_id")

@@ -68,17 +68,18 @@ def top_posts_ngrams(
     """The n-grams that the posts with the highest metrics share, as (type, ngram, n).
 
     The posts are not unpivoted: each metric's n-th largest value is found from its own column, and
-    a post that reaches one or both is tokenised for those.
+    a post that reaches one or both is tokenised for those. Both cuts reach the scan as a filter.
     """
     at_least("toptweetn", toptweetn, 1)
     originals = original_posts(posts)
-    reached = []
+    reaches = {}
     for metric in METRICS:
         largest = originals.select(metric).orderBy(F.desc(metric)).limit(toptweetn)
-        cut = largest.agg(F.min(metric).alias("cut")).scalar()
-        reached.append(F.when(F.col(metric) >= cut, F.lit(metric)))
-    best = originals.select(strip_links(F.col("text")).alias("text"), F.array_compact(F.array(*reached)).alias("types"))
-    ngrams = tokenize_ngrams(best.filter(F.size("types") > 0), n=n)
+        reaches[metric] = F.col(metric) >= largest.agg(F.min(metric).alias("cut")).scalar()
+    types = F.array_compact(F.array(*[F.when(reached, F.lit(metric)) for metric, reached in reaches.items()]))
+    either = reaches[METRICS[0]] | reaches[METRICS[1]]
+    best = originals.filter(either).select(strip_links(F.col("text")).alias("text"), types.alias("types"))
+    ngrams = tokenize_ngrams(best, n=n)
     ngrams = exclude_pattern(ngrams, "ngram", filterword)
     ngrams = drop_stopword_ngrams(ngrams, "ngram", stopwords, stop_mode)
     counts = count_by(ngrams.select(F.explode("types").alias("type"), "ngram"), "type", "ngram")

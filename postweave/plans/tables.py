@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from postweave.functions.calendar import date_text
 from postweave.operators.ranking import preview, sort_rows
-from postweave.params import at_least
 from postweave.schema import RAW_COLUMNS
 
 
@@ -19,6 +18,6 @@ def post_preview(posts: DataFrame, n: int = 6) -> DataFrame:
 
 def raw_table(posts: DataFrame, limit: int | None = None) -> DataFrame:
     """Nine columns of the posts by date and id; ``limit`` keeps the first rows."""
-    shown = posts.select(*RAW_COLUMNS).withColumn("created_at", date_text(F.col("created_at")))
-    ordered = sort_rows(shown, "created_at", "status_id")
-    return ordered if limit is None else ordered.limit(at_least("limit", limit, 0))
+    kept = posts.select(*RAW_COLUMNS) if limit is None else preview(posts.select(*RAW_COLUMNS), limit)
+    shown = kept.withColumn("created_at", date_text(F.col("created_at")))
+    return sort_rows(shown, "created_at", "status_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postweave.functions.text import clean_text
+from postweave.operators.ranking import first_by
 from postweave.params import at_least
 from postweave.schema import POSTS
 
@@ -60,9 +61,5 @@ def normalise_posts(raw: DataFrame) -> DataFrame:
 
 def user_timeline(posts: DataFrame, screen_name: str, n: int = 3200) -> DataFrame:
     """The latest ``n`` posts of an account; ids settle the order within a day."""
-    at_least("n", n, 0)
-    return (
-        posts.filter(F.col("screen_name") == screen_name)
-        .orderBy(F.desc("created_at"), "status_id")
-        .limit(n)
-    )
+    own = posts.filter(F.col("screen_name") == screen_name)
+    return first_by(own, "created_at", n, tie="status_id", descending=True)

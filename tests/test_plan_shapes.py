@@ -77,6 +77,28 @@ def test_date_range_reaches_the_scan(spark, tmp_path):
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(created_at,1996-01-01\)", shown)
 
 
+@pytest.mark.parametrize("name", ["top_posts", "top_posts_ngrams", "post_preview", "raw_table", "user_timeline"])
+def test_cuts_reach_the_scan_of_the_texts(spark, tmp_path, name):
+    from postweave.plans import metrics, tables
+    from postweave.schema import RAW_COLUMNS
+    from postweave.sources.posts import user_timeline
+
+    path = str(tmp_path / "posts")
+    driver.posts_view(spark, SF_DIR, *RAW_COLUMNS).write.parquet(path)
+    posts = spark.read.parquet(path)
+    df = {
+        "top_posts": lambda: metrics.top_posts(posts),
+        "top_posts_ngrams": lambda: metrics.top_posts_ngrams(posts),
+        "post_preview": lambda: tables.post_preview(posts),
+        "raw_table": lambda: tables.raw_table(posts, limit=10),
+        "user_timeline": lambda: user_timeline(posts, "Customer#000000007", 2),
+    }[name]()
+    shown = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    reads = re.findall(r"Batched: true\n.*?ReadSchema: \S+", shown, re.DOTALL)
+    with_text = [read for read in reads if "text:string" in read]
+    assert with_text and all("Subquery" in read for read in with_text)
+
+
 def executed_lines(plan):
     """The plan's lines without the branches that AQE replaced."""
     lines, hidden_from = [], None
