@@ -386,6 +386,17 @@ def build() -> dict[str, str]:
                 for metric in ("favorite_count", "retweet_count")
             )
         ),
+        "zscore_percentile_values": _posts(
+            final="SELECT status_id, metric, value, round(z, 6) AS z, round(50 + 100 * exp(-z * z / 2) / sqrt(2 * pi()) "
+            # the normal integral as a power series: z^(2i+1) over the odd factorial of 2i+1
+            "* list_sum(list_transform(range(0, 120), lambda i: pow(z, 2 * i + 1) * sqrt(pi()) / (pow(2, i + 1) * gamma(i + 1.5)))), 6) "
+            "AS percentile FROM ("
+            + " UNION ALL ".join(
+                f"SELECT status_id, '{metric}' AS metric, {metric} AS value, {_z(metric)} AS z FROM posts"
+                for metric in ("favorite_count", "retweet_count")
+            )
+            + ")"
+        ),
         "label_high_low": _posts(
             f"z AS (SELECT status_id, retweet_count, {_z('retweet_count')} AS z FROM posts)",
             final="SELECT status_id, retweet_count, "

@@ -58,21 +58,18 @@ def fit_topics(
     The priors are what is added to each expected count (a Dirichlet parameter less one);
     ``document_prior`` is 50/k by default. The start is a hash of seed, bucket and n-gram, so a fit
     is repeatable whatever the partitioning. Each iteration is written as a table to the shared
-    folder, over that of two iterations before: a lost executor repeats one iteration at most. The
-    tables are in the catalog only during the fit. They have as many buckets as a shuffle has
-    partitions, so ``spark.sql.shuffle.partitions`` sizes them for the data.
+    folder, over that of two iterations before: a lost executor repeats one iteration at most. These
+    tables are in a database of their own, dropped with its files at the end.
     """
     at_least("k", k, 2)
     at_least("iterations", iterations, 0)
     spark = counts.sparkSession
     home = fresh_folder(spark, "topics")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = [f"{home.rsplit('/', 1)[1].replace('-', '_')}_{turn}" for turn in ("even", "odd")]
+    database = home.rsplit("/", 1)[1].replace("-", "_")
 
     def stored(cells: DataFrame, step: int) -> DataFrame:
-        name = names[step % 2]
-        writer = cells.write.mode("overwrite").format("parquet").option("path", f"{home}/{name}")
-        writer.bucketBy(parts, "ngram").saveAsTable(name)
+        name = f"{database}.{'odd' if step % 2 else 'even'}"
+        cells.write.mode("overwrite").format("parquet").bucketBy(parts, "ngram").saveAsTable(name)
         return spark.table(name)
 
     def kept(table: DataFrame, name: str) -> DataFrame:
@@ -81,8 +78,13 @@ def fit_topics(
 
     prior = 50.0 / k if document_prior is None else document_prior
     start = [_start_weight(seed, topic) for topic in range(k)]
-    placed = counts.dropna(subset=["bucket", "ngram"]).repartition(parts, "ngram")
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{home}/iterations'")
     try:
+        # the counts are stored first, so that their number can size the buckets
+        counts.dropna(subset=["bucket", "ngram"]).write.format("parquet").saveAsTable(f"{database}.counts")
+        counted = spark.table(f"{database}.counts")
+        parts = _bucket_number(counted.count(), spark.sparkContext.defaultParallelism)
+        placed = counted.repartition(parts, "ngram")
         cells = stored(placed.select("bucket", "ngram", "n", *_shares(start)), 0)
         vocabulary = cells.select("ngram").distinct().count()
         documents = cells.select("bucket").distinct().count()
@@ -92,8 +94,7 @@ def fit_topics(
         terms = kept(_sums(cells, "ngram", k), "terms")
         held = kept(_sums(cells, "bucket", k), "documents")
     finally:
-        for name in names:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"DROP DATABASE {database} CASCADE")
     return TopicModel(terms, held, k, vocabulary, prior, term_prior)
 
 
@@ -152,6 +153,11 @@ def _totals(held: DataFrame, k: int) -> DataFrame:
     return held.agg(*[F.sum(p).alias(f"total_{p}") for p in _columns(k)])
 
 
+def _bucket_number(rows: int, cores: int) -> int:
+    """A bucket per core while each holds 50,000 rows, then one per million, within Spark's limit."""
+    return max(1, min(max(min(cores, rows // 50_000), rows // 1_000_000), 100_000))
+
+
 def _few(documents: int, k: int) -> bool:
     """Whether one row of k numbers per document is small enough to broadcast."""
     return documents * (k + 4) * 8 <= BROADCAST_BYTES

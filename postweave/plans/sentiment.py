@@ -13,11 +13,14 @@ from postweave.functions.labels import NEGATIVE, signed_mirror
 from postweave.functions.text import strip_links
 from postweave.operators.counts import count_by, union_series
 from postweave.operators.filters import exclude_exact, exclude_pattern, original_posts
-from postweave.operators.lookup_joins import count_sentiments, fits_broadcast, join_back_text
+from postweave.operators.lookup_joins import BROADCAST_BYTES, count_sentiments, fits_broadcast, join_back_text
 from postweave.operators.ranking import sort_rows, top_k_exact, top_n_by_group
 from postweave.operators.statistics import daily_trend
 from postweave.operators.tokens import ngram_words, tokenize_ngrams, tokenize_words
 
+# What one ranked row, a post id with its label and count, may take.
+ID_BYTES = 128
+
 
 def sentiment_words(posts: DataFrame, lexicon: DataFrame, top: int = 5, filterword: str = "") -> DataFrame:
     """The most frequent words of each sentiment, as (word, sentiment, n)."""
@@ -71,6 +74,8 @@ def sentiment_posts(posts: DataFrame, lexicon: DataFrame, top: int = 5) -> DataF
     counts = count_sentiments(words, lexicon, ["status_id"], small)
     best = top_k_exact(counts, "sentiment", "n", top, tie="status_id")
     texts = posts.select("status_id", "created_at", "text")
-    found = join_back_text(best, texts, small)
+    # at most ``top`` ids per label
+    few = small and lexicon.select("sentiment").distinct().count() * top * ID_BYTES <= BROADCAST_BYTES
+    found = join_back_text(best, texts, small=few)
     ordered = sort_rows(found, "sentiment", F.desc("n"), "status_id")
     return ordered.select("created_at", "text", "sentiment", "n")

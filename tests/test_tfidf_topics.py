@@ -115,3 +115,35 @@ def test_topic_buckets_clean_and_count(spark, make_posts, rows_of):
     assert rows_of(topic_buckets(posts, n=2)) == [("1-2024", "a b", 3), ("1-2024", "b a", 1), ("1-2024", "b link", 1)]
     assert rows_of(topic_buckets(posts, n=2, stopwords=["a"])) == [("1-2024", "b link", 1)]
     assert topic_buckets(posts, first="2025-01-01").count() == 0
+
+
+def test_a_fit_leaves_only_its_results(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(topics, "fresh_folder", lambda session, name: str(tmp_path / "topics-1"))
+    counts = spark.createDataFrame(CELLS, "bucket string, ngram string, n bigint")
+    topics.fit_topics(counts, 2, 3)
+    assert sorted(p.name for p in (tmp_path / "topics-1").iterdir()) == ["documents", "terms"]
+    assert [row[0] for row in spark.sql("SHOW DATABASES").collect()] == ["default"]
+
+
+def test_iterations_do_not_shuffle_the_cells(spark, monkeypatch):
+    plans = []
+    iterate = topics._iterate
+
+    def spy(*args):
+        step = iterate(*args)
+        plans.append(step._jdf.queryExecution().executedPlan().toString())
+        return step
+
+    monkeypatch.setattr(topics, "_iterate", spy)
+    topics.fit_topics(spark.createDataFrame(CELLS, "bucket string, ngram string, n bigint"), 2, 2)
+    assert len(plans) == 2
+    for shown in plans:
+        assert "Exchange hashpartitioning(ngram" not in shown
+        assert "Bucketed: true" in shown
+
+
+@pytest.mark.parametrize(
+    ("rows", "buckets"), [(0, 1), (60_000, 1), (200_000, 4), (10**6, 8), (10**8, 100), (10**11, 100_000), (10**13, 100_000)]
+)
+def test_buckets_follow_the_number_of_cells(rows, buckets):
+    assert topics._bucket_number(rows, cores=8) == buckets
