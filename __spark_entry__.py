@@ -42,7 +42,7 @@ _FROM_ORDERS = {"screen_name", "created_at", "is_retweet", "favorite_count", "fo
 _FROM_CUSTOMERS = {"screen_name", "followers_count"}
 
 
-def posts_view(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def posts_view(spark: SparkSession, sf_dir: str, *columns: str, marked: bool = False) -> DataFrame:
     """The posts table with ``columns`` only.
 
     Orders, customers and line items are left-joined on their keys, so a table none of whose columns
@@ -53,7 +53,7 @@ def posts_view(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*wanted)
 
     wanted = set(columns)
-    own = ["doc_id"] + ["text"] * ("text" in wanted) + ["source"] * ("is_quote" in wanted)
+    own = ["doc_id"] + ["text"] * ("text" in wanted) + ["source"] * (marked or "is_quote" in wanted)
     view = table("documents", *own)
     if "text" in wanted:
         view = storage.spread(view, "doc_id")
@@ -66,10 +66,17 @@ def posts_view(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     if "retweet_count" in wanted:
         lines = table("lineitem", "l_orderkey", "l_quantity").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
         view = view.join(lines, F.col("l_orderkey") == F.col("doc_id"), "left")
+    mark = [
+        F.lit(' a.b <b>"café"</b>, \\n @'),
+        F.translate("source", "0123456789", "abcdefghij"),
+        F.lit("_9 said\nsee https://t.co/"),
+        F.col("doc_id").cast("string"),
+        F.lit(" tail\nend"),
+    ]
     made = {
         "status_id": lambda: F.col("doc_id").cast("string"),
         "screen_name": lambda: F.col("c_name"),
-        "text": lambda: F.col("text"),
+        "text": lambda: F.concat("text", *mark) if marked else F.col("text"),
         "created_at": lambda: F.to_date("o_orderdate"),
         "is_quote": lambda: F.col("source") == "src0",
         "is_retweet": lambda: F.col("o_orderstatus") == "P",
@@ -82,19 +89,7 @@ def posts_view(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def marked_posts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Posts whose texts end with a link, a quoted phrase and a mention, which the documents lack."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        F.col("doc_id").cast("string").alias("status_id"),
-        F.concat(
-            F.lit(' a.b <b>"café"</b>, \\n @'),
-            F.translate("source", "0123456789", "abcdefghij"),
-            F.lit("_9 said\nsee https://t.co/"),
-            F.col("doc_id").cast("string"),
-            F.lit(" tail\nend"),
-        ).alias("mark"),
-    )
-    view = posts_view(spark, sf_dir, *dict.fromkeys(["status_id", "text", *columns]))
-    marked = view.join(documents, "status_id").withColumn("text", F.concat("text", "mark"))
-    return marked.select(*columns)
+    return posts_view(spark, sf_dir, *columns, marked=True)
 
 
 def page_posts(spark: SparkSession, sf_dir: str) -> DataFrame:

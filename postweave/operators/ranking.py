@@ -1,7 +1,8 @@
 """Top-n selections, positions and sorts.
 
-Selections that keep ties work from the n-th largest value: it is found from at most n rows per
-task, and one filter then keeps all rows that reach it, wherever they are. No task ever receives a
+Selections work from the n-th value. Rows are counted per distinct value on the map side, so that what
+has to be ordered is n distinct values with their multiplicities, from however many rows and tasks.
+One filter then keeps the rows that reach the n-th value, wherever they are: no task receives a
 whole group, however many rows tie.
 """
 
@@ -18,8 +19,21 @@ from postweave.params import at_least
 def top_n(df: DataFrame, value: str, n: int) -> DataFrame:
     """Rows whose value is among the ``n`` largest, ties of the n-th kept."""
     at_least("n", n, 1)
-    cut = df.select(value).orderBy(F.desc(value)).limit(n).agg(F.min(value).alias("cut"))
-    return df.filter(F.col(value) >= cut.scalar())
+    return df.filter(F.col(value) >= nth_value(df, value, n))
+
+
+def nth_value(df: DataFrame, value: str, n: int, descending: bool = True) -> Column:
+    """The ``n``-th largest (or smallest) value of a column, or the last if there are fewer; a subquery."""
+    tally = df.select(value).dropna().groupBy(value).agg(F.count(F.lit(1)).alias("times"))
+    extreme = tally.orderBy(F.desc(value) if descending else F.asc(value)).limit(n)
+    listed = F.sort_array(F.collect_list(F.struct(F.col(value).alias("value"), "times")), asc=not descending)
+    start = F.struct(F.lit(0).cast("bigint").alias("passed"), F.lit(None).cast(df.schema[value].dataType).alias("value"))
+
+    def step(reached: Column, entry: Column) -> Column:
+        passed = (reached["passed"] + entry["times"]).alias("passed")
+        return F.when(reached["passed"] < n, F.struct(passed, entry["value"].alias("value"))).otherwise(reached)
+
+    return extreme.agg(F.aggregate(listed, start, step, lambda reached: reached["value"]).alias("nth")).scalar()
 
 
 def top_n_by_group(df: DataFrame, group: str, value: str, n: int, few_groups: bool = False) -> DataFrame:
@@ -73,15 +87,19 @@ def sort_rows(df: DataFrame, *order: Column | str) -> DataFrame:
 def first_by(df: DataFrame, column: str, n: int, tie: str, descending: bool = False) -> DataFrame:
     """The first ``n`` rows in the order of ``column``, then ``tie``; missing values come last.
 
-    The n-th value is found from the column alone. As a filter it reaches the scan, so of the wide
-    columns, such as texts, little more is read than what is returned.
+    The n-th value of the column and, among the rows that have it, the n-th tie are found from those
+    two columns alone. As a filter they reach the scan, so of the wide columns, such as texts, little
+    more is read than what is returned.
     """
     at_least("n", n, 0)
-    order, last = (F.desc_nulls_last, F.min) if descending else (F.asc_nulls_last, F.max)
-    edge = df.select(column).dropna().orderBy(order(column)).limit(n).agg(last(column).alias("edge")).scalar()
     value = F.col(column)
-    within = (value >= edge if descending else value <= edge) | value.isNull()
-    return df.filter(within).orderBy(order(column), tie).limit(n)
+    edge = nth_value(df, column, n, descending)
+    ties = df.filter(value == edge).select(tie).orderBy(tie).limit(n)
+    last_tie = ties.agg(F.max(tie).alias("last")).scalar()
+    before = value > edge if descending else value < edge
+    near = before | ((value == edge) & (F.col(tie) <= last_tie)) | value.isNull()
+    order = F.desc_nulls_last(column) if descending else F.asc_nulls_last(column)
+    return df.filter(near).orderBy(order, tie).limit(n)
 
 
 def preview(posts: DataFrame, n: int = 6) -> DataFrame:

@@ -12,7 +12,7 @@ from postweave.functions.labels import RECEIVED_NAMES, label_contains, label_met
 from postweave.functions.text import strip_links
 from postweave.operators.counts import count_by, daily_sums, unpivot_metrics
 from postweave.operators.filters import drop_stopword_ngrams, exclude_exact, exclude_pattern, original_posts
-from postweave.operators.ranking import capped_top, sort_rows, top_n, top_n_by_group
+from postweave.operators.ranking import capped_top, nth_value, sort_rows, top_n, top_n_by_group
 from postweave.operators.statistics import daily_trend, log_histogram, metric_summary, tally_median, tally_values
 from postweave.operators.tokens import extract_mentions, tokenize_ngrams
 from postweave.params import METRICS, at_least, one_of
@@ -74,8 +74,7 @@ def top_posts_ngrams(
     originals = original_posts(posts)
     reaches = {}
     for metric in METRICS:
-        largest = originals.select(metric).orderBy(F.desc(metric)).limit(toptweetn)
-        reaches[metric] = F.col(metric) >= largest.agg(F.min(metric).alias("cut")).scalar()
+        reaches[metric] = F.col(metric) >= nth_value(originals, metric, toptweetn)
     types = F.array_compact(F.array(*[F.when(reached, F.lit(metric)) for metric, reached in reaches.items()]))
     either = reaches[METRICS[0]] | reaches[METRICS[1]]
     best = originals.filter(either).select(strip_links(F.col("text")).alias("text"), types.alias("types"))

@@ -50,6 +50,25 @@ def test_rank_within_and_sort(spark, rows_of):
     assert [r[1] for r in ranking.sort_rows(df, F.desc("n")).collect()] == ["x", "z", "y"]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 40, 999])
+@pytest.mark.parametrize("descending", [True, False])
+def test_first_by_against_brute_force_on_a_hot_value(spark, n, descending):
+    rows = [(str(i * 7 % 101), None if i % 31 == 0 else (5 if i % 3 else i % 9)) for i in range(101)]
+    known = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1] if descending else r[1], r[0]))
+    expected = (known + sorted(r for r in rows if r[1] is None))[:n]
+    df = spark.createDataFrame(rows, "id string, v bigint").repartition(5)
+    assert [tuple(r) for r in ranking.first_by(df, "v", n, "id", descending).collect()] == expected
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 50])
+def test_nth_value_counts_repeats(spark, n):
+    values = [9, 9, 9, 4, 4, 1]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v int")
+    found = spark.range(1).select(ranking.nth_value(df, "v", n), ranking.nth_value(df, "v", n, False)).first()
+    assert tuple(found) == (values[min(n, 6) - 1], sorted(values)[min(n, 6) - 1])
+    assert ranking.top_n(df.limit(0), "v", n).count() == 0
+
+
 @pytest.mark.parametrize("bad", [0, -1])
 def test_n_is_checked(spark, bad):
     df = counts(spark, ("a", "x", 3))
