@@ -147,3 +147,10 @@ def test_iterations_do_not_shuffle_the_cells(spark, monkeypatch):
 )
 def test_buckets_follow_the_number_of_cells(rows, buckets):
     assert topics._bucket_number(rows, cores=8) == buckets
+
+
+def test_no_posts_give_no_topics(spark, make_posts):
+    from postweave.plans.topics import topic_model
+
+    model = topic_model(make_posts({"text": "a b"}), k=2, iterations=2, first="2030-01-01")
+    assert (model.vocabulary, topics.topic_terms(model).count(), topics.topic_documents(model).count()) == (0, 0, 0)
