@@ -516,7 +516,7 @@ def q_union_series(spark, sf_dir):
 
 def _topic_model(spark, sf_dir):
     view = posts_view(spark, sf_dir, "created_at", "text")
-    return topic_plans.topic_model(view, k=4, iterations=ITERATIONS)
+    return topic_plans.topic_model(view, k=4, iterations=ITERATIONS, tolerance=0)
 
 
 @_query
@@ -660,7 +660,7 @@ def q_topic_buckets(spark, sf_dir):
 def q_topic_terms_job(spark, sf_dir):
     view = posts_view(spark, sf_dir, "created_at", "text")
     job = topic_plans.topic_terms_job(
-        view, top=5, k=3, iterations=ITERATIONS, seed=7, n=1, division="biweek", stopwords=STOPWORDS
+        view, top=5, k=3, iterations=ITERATIONS, seed=7, tolerance=0, n=1, division="biweek", stopwords=STOPWORDS
     )
     return rounded(job, "beta")
 
@@ -669,7 +669,7 @@ def q_topic_terms_job(spark, sf_dir):
 def q_topic_documents_job(spark, sf_dir):
     view = posts_view(spark, sf_dir, "created_at", "text")
     job = topic_plans.topic_documents_job(
-        view, k=3, iterations=ITERATIONS, seed=7, n=1, division="biweek", stopwords=STOPWORDS
+        view, k=3, iterations=ITERATIONS, seed=7, tolerance=0, n=1, division="biweek", stopwords=STOPWORDS
     )
     return rounded(job, "gamma")
 

@@ -202,14 +202,18 @@ def _z(value: str) -> str:
 
 
 def _topics(cells: str, k: int, seed: int) -> tuple[str, ...]:
-    """Unrolled expectation maximisation; tables ``fit`` (bucket, ngram, topic, p), ``held``, ``totals``."""
+    """Unrolled expectation maximisation; tables ``held`` (bucket, topic, d), ``totals``, ``beta``."""
+
+    def weight(text: str) -> str:
+        digest = f"md5('{seed}.' || (topic - 1) // 8 || '|' || {text})"
+        bits = f"substr({digest}, CAST(4 * ((topic - 1) % 8) + 1 AS INTEGER), 4)"
+        return f"(CAST('0x' || {bits} AS BIGINT) + 1.0::DOUBLE)"
+
     steps = [
         f"""cells AS MATERIALIZED ({cells})""",
         f"""e0 AS MATERIALIZED (
   SELECT bucket, ngram, n, topic, n * w / sum(w) OVER (PARTITION BY bucket, ngram) AS p FROM (
-    SELECT bucket, ngram, n, topic,
-           CAST('0x' || substr(md5('{seed}.' || (topic - 1) // 8 || '|' || bucket || '|' || ngram),
-                               CAST(4 * ((topic - 1) % 8) + 1 AS INTEGER), 4) AS BIGINT) + 1.0::DOUBLE AS w
+    SELECT bucket, ngram, n, topic, {weight("bucket")} * {weight("bucket || '|' || ngram")} AS w
     FROM cells, (SELECT unnest(range(1, {k + 1})) AS topic)))""",
         "size AS MATERIALIZED (SELECT count(DISTINCT ngram) AS v FROM cells)",
     ]

@@ -48,54 +48,62 @@ class TopicModel:
 def fit_topics(
     counts: DataFrame,
     k: int = 4,
-    iterations: int = 20,
+    iterations: int = 100,
     seed: int = 0,
+    tolerance: float = 1e-3,
     document_prior: float | None = None,
     term_prior: float = 0.1,
 ) -> TopicModel:
     """Fit ``k`` topics to (bucket, ngram, n) counts.
 
-    The priors are what is added to each expected count (a Dirichlet parameter less one);
-    ``document_prior`` is 50/k by default. The start is a hash of seed, bucket and n-gram, so a fit
-    is repeatable whatever the partitioning. Each iteration is written as a table to the shared
-    folder, over that of two iterations before: a lost executor repeats one iteration at most. These
-    tables are in a database of their own, dropped with its files at the end.
+    The fit ends after ``iterations``, or when an iteration moves less than the share ``tolerance``
+    of all counts from one topic to another within their buckets. The priors are what is added to
+    each expected count (a Dirichlet parameter less one); ``document_prior`` is 50/k by default.
+
+    The start is a hash of seed, bucket and n-gram, so a fit is repeatable whatever the
+    partitioning. Each iteration is written as a table to the shared folder, over that of two
+    iterations before: a lost executor repeats one iteration at most. These tables are in a database
+    of their own, dropped with its files at the end.
     """
     at_least("k", k, 2)
     at_least("iterations", iterations, 0)
     spark = counts.sparkSession
     home = fresh_folder(spark, "topics")
     database = home.rsplit("/", 1)[1].replace("-", "_")
+    prior = 50.0 / k if document_prior is None else document_prior
 
-    def stored(cells: DataFrame, step: int) -> DataFrame:
-        name = f"{database}.{'odd' if step % 2 else 'even'}"
-        cells.write.mode("overwrite").format("parquet").bucketBy(parts, "ngram").saveAsTable(name)
-        return spark.table(name)
+    def stored(table: DataFrame, name: str, buckets: int = 0) -> DataFrame:
+        writer = table.write.mode("overwrite").format("parquet")
+        (writer.bucketBy(buckets, "ngram") if buckets else writer).saveAsTable(f"{database}.{name}")
+        return spark.table(f"{database}.{name}")
 
     def kept(table: DataFrame, name: str) -> DataFrame:
         table.write.parquet(f"{home}/{name}")
         return spark.read.schema(table.schema).parquet(f"{home}/{name}")
 
-    prior = 50.0 / k if document_prior is None else document_prior
-    start = [_start_weight(seed, topic) for topic in range(k)]
     spark.sql(f"CREATE DATABASE {database} LOCATION '{home}/iterations'")
     try:
         # the counts are stored first, so that their number can size the buckets
-        counts.dropna(subset=["bucket", "ngram"]).write.format("parquet").saveAsTable(f"{database}.counts")
-        counted = spark.table(f"{database}.counts")
-        parts = _bucket_number(counted.count(), spark.sparkContext.defaultParallelism)
-        placed = counted.repartition(parts, "ngram")
-        cells = stored(placed.select("bucket", "ngram", "n", *_shares(start)), 0)
+        counted = stored(counts.dropna(subset=["bucket", "ngram"]), "counts")
+        buckets = _bucket_number(counted.count(), spark.sparkContext.defaultParallelism)
+        shares = _shares([_start_weight(seed, topic) for topic in range(k)])
+        placed = counted.repartition(buckets, "ngram").select("bucket", "ngram", "n", *shares)
+        cells = stored(placed, "cells_even", buckets)
+        held = stored(_sums(cells, "bucket", k), "held_even")
         vocabulary = cells.select("ngram").distinct().count()
-        documents = cells.select("bucket").distinct().count()
+        few_documents = _few(held.count(), k)
         for step in range(1, iterations + 1):
-            factors = _document_factors(_sums(cells, "bucket", k), k, prior, term_prior, vocabulary)
-            cells = stored(_iterate(cells, factors, k, term_prior, _few(documents, k)), step)
+            turn = "odd" if step % 2 else "even"
+            factors = _document_factors(held, k, prior, term_prior, vocabulary)
+            cells = stored(_iterate(cells, factors, k, term_prior, few_documents), f"cells_{turn}", buckets)
+            before, held = held, stored(_sums(cells, "bucket", k), f"held_{turn}")
+            if tolerance and _moved(before, held, k) < tolerance:
+                break
         terms = kept(_sums(cells, "ngram", k), "terms")
-        held = kept(_sums(cells, "bucket", k), "documents")
+        documents = kept(held, "documents")
     finally:
         spark.sql(f"DROP DATABASE {database} CASCADE")
-    return TopicModel(terms, held, k, vocabulary, prior, term_prior)
+    return TopicModel(terms, documents, k, vocabulary, prior, term_prior)
 
 
 def topic_terms(model: TopicModel, top: int = 5) -> DataFrame:
@@ -133,10 +141,17 @@ def _columns(k: int) -> list[str]:
 
 
 def _start_weight(seed: int, topic: int) -> Column:
-    # 16 bits of the digest per topic, eight topics per digest
-    text = F.concat_ws("|", F.lit(f"{seed}.{topic // 8}"), "bucket", "ngram")
-    bits = F.substring(F.md5(text), 4 * (topic % 8) + 1, 4)
-    return F.conv(bits, 16, 10).cast("double") + 1
+    """A weight of the bucket times one of the cell.
+
+    Cells alone would average out over a bucket, and the fit would be slow to leave an even mix.
+    """
+
+    def weight(*names: str) -> Column:
+        # 16 bits of the digest per topic, eight topics per digest
+        digest = F.md5(F.concat_ws("|", F.lit(f"{seed}.{topic // 8}"), *names))
+        return F.conv(F.substring(digest, 4 * (topic % 8) + 1, 4), 16, 10).cast("double") + 1
+
+    return weight("bucket") * weight("bucket", "ngram")
 
 
 def _shares(weights: list[Column]) -> list[Column]:
@@ -165,8 +180,6 @@ def _few(documents: int, k: int) -> bool:
 
 def _document_factors(held: DataFrame, k: int, document_prior: float, term_prior: float, vocabulary: int) -> DataFrame:
     """What a document and the topics' sizes contribute to a cell's weights, in ``b0`` to ``b{k-1}``."""
-    # filtered as the join will filter it, so that both uses of the sums are one shuffle
-    held = held.filter(F.col("bucket").isNotNull())
     spread = term_prior * vocabulary
     factors = [
         ((F.col(p) + document_prior) / (F.col(f"total_{p}") + spread)).alias(f"b{topic}")
@@ -175,6 +188,14 @@ def _document_factors(held: DataFrame, k: int, document_prior: float, term_prior
     return attach(held, _totals(held, k)).select("bucket", *factors)
 
 
+def _moved(before: DataFrame, after: DataFrame, k: int) -> float:
+    """The share of all counts that changed topic within their bucket; zero without counts."""
+    both = before.alias("b").join(after.alias("a"), "bucket")
+    moved = sum((F.abs(F.col(f"a.{p}") - F.col(f"b.{p}")) for p in _columns(k)), F.lit(0.0))
+    held = sum((F.col(f"a.{p}") for p in _columns(k)), F.lit(0.0))
+    return both.agg(F.try_divide(F.sum(moved), 2 * F.sum(held))).first()[0] or 0.0
+
+
 def _iterate(cells: DataFrame, factors: DataFrame, k: int, term_prior: float, few_documents: bool) -> DataFrame:
     """Divide each cell's count anew, by its term's and its document's sums."""
     of_term = Window.partitionBy("ngram")

@@ -31,9 +31,11 @@ def test_two_way_form_equals_the_general_form(spark, rows_of):
 
 
 def start_weight(seed, topic, bucket, ngram):
-    digest = hashlib.md5(f"{seed}.{topic // 8}|{bucket}|{ngram}".encode()).hexdigest()
-    at = 4 * (topic % 8)
-    return int(digest[at : at + 4], 16) + 1.0
+    def bits(text):
+        at = 4 * (topic % 8)
+        return int(hashlib.md5(f"{seed}.{topic // 8}|{text}".encode()).hexdigest()[at : at + 4], 16) + 1.0
+
+    return bits(bucket) * bits(f"{bucket}|{ngram}")
 
 
 def brute_force(cells, k, iterations, seed, a, e):
@@ -69,7 +71,7 @@ CELLS = [
 @pytest.mark.parametrize(("k", "iterations", "seed"), [(2, 0, 0), (3, 6, 1), (10, 3, 2)])
 def test_topics_against_brute_force(spark, k, iterations, seed):
     counts = spark.createDataFrame(CELLS, "bucket string, ngram string, n bigint")
-    model = topics.fit_topics(counts, k, iterations, seed)
+    model = topics.fit_topics(counts, k, iterations, seed, tolerance=0)
     beta, gamma = brute_force(CELLS, k, iterations, seed, 50.0 / k, 0.1)
     found = {(r["topic"], r["term"]): r["beta"] for r in topics.all_topic_terms(model).collect()}
     assert found == {key: pytest.approx(value, rel=1e-9) for key, value in beta.items()}
@@ -79,7 +81,7 @@ def test_topics_against_brute_force(spark, k, iterations, seed):
 
 def test_topic_shares_sum_to_one(spark):
     counts = spark.createDataFrame(CELLS, "bucket string, ngram string, n bigint")
-    model = topics.fit_topics(counts.repartition(7), k=3, iterations=4)
+    model = topics.fit_topics(counts.repartition(7), k=3, iterations=4, tolerance=0)
     beta = topics.all_topic_terms(model).groupBy("topic").agg(F.sum("beta")).collect()
     gamma = topics.topic_documents(model).groupBy("document").agg(F.sum("gamma")).collect()
     assert [r[1] for r in beta] == [pytest.approx(1)] * 3
@@ -90,7 +92,7 @@ def test_topic_shares_sum_to_one(spark):
 def test_topics_separate_documents_without_common_terms(spark):
     cells = [(f"a{i}", t, 20) for i in range(3) for t in ("x", "y")] + [(f"b{i}", t, 20) for i in range(3) for t in ("v", "w")]
     counts = spark.createDataFrame(cells, "bucket string, ngram string, n bigint")
-    model = topics.fit_topics(counts, k=2, iterations=30, document_prior=0.1)
+    model = topics.fit_topics(counts, k=2, document_prior=0.1)
     best = {}
     for r in topics.topic_documents(model).collect():
         if r["gamma"] > 0.9:
@@ -100,6 +102,15 @@ def test_topics_separate_documents_without_common_terms(spark):
     assert best["a0"] != best["b0"]
 
 
+def test_a_fit_ends_when_little_moves(spark, monkeypatch):
+    steps = []
+    iterate = topics._iterate
+    monkeypatch.setattr(topics, "_iterate", lambda *args: steps.append(1) or iterate(*args))
+    counts = spark.createDataFrame(CELLS, "bucket string, ngram string, n bigint")
+    topics.fit_topics(counts, 2, iterations=6, tolerance=1.0)
+    assert len(steps) == 1
+
+
 def test_large_document_tables_are_not_broadcast(spark, monkeypatch):
     counts = spark.createDataFrame(CELLS, "bucket string, ngram string, n bigint")
     small = topics.all_topic_terms(topics.fit_topics(counts, 2, 2)).collect()
@@ -135,7 +146,7 @@ def test_iterations_do_not_shuffle_the_cells(spark, monkeypatch):
         return step
 
     monkeypatch.setattr(topics, "_iterate", spy)
-    topics.fit_topics(spark.createDataFrame(CELLS, "bucket string, ngram string, n bigint"), 2, 2)
+    topics.fit_topics(spark.createDataFrame(CELLS, "bucket string, ngram string, n bigint"), 2, 2, tolerance=0)
     assert len(plans) == 2
     for shown in plans:
         assert "Exchange hashpartitioning(ngram" not in shown
