@@ -86,9 +86,8 @@ def fit_topics(
         # the counts are stored first, so that their number can size the buckets
         counted = stored(counts.dropna(subset=["bucket", "ngram"]), "counts")
         buckets = _bucket_number(counted.count(), spark.sparkContext.defaultParallelism)
-        shares = _shares([_start_weight(seed, topic) for topic in range(k)])
-        placed = counted.repartition(buckets, "ngram").select("bucket", "ngram", "n", *shares)
-        cells = stored(placed, "cells_even", buckets)
+        placed = counted.repartition(buckets, "ngram")
+        cells = stored(_divided(placed, [_start_weight(seed, topic) for topic in range(k)]), "cells_even", buckets)
         held = stored(_sums(cells, "bucket", k), "held_even")
         vocabulary = cells.select("ngram").distinct().count()
         few_documents = _few(held.count(), k)
@@ -154,10 +153,15 @@ def _start_weight(seed: int, topic: int) -> Column:
     return weight("bucket") * weight("bucket", "ngram")
 
 
-def _shares(weights: list[Column]) -> list[Column]:
-    """The cell's count, divided among the topics in proportion to the weights."""
-    total = sum(weights[1:], weights[0])
-    return [(F.col("n") * weight / total).alias(f"p{topic}") for topic, weight in enumerate(weights)]
+def _divided(cells: DataFrame, weights: list[Column]) -> DataFrame:
+    """Each cell's count, divided among the topics in proportion to the weights."""
+    # the weights are projected first: each is used in every topic's share
+    weighed = cells.select("bucket", "ngram", "n", *[w.alias(f"w{topic}") for topic, w in enumerate(weights)])
+    names = [F.col(f"w{topic}") for topic in range(len(weights))]
+    total = sum(names[1:], names[0])
+    return weighed.select(
+        "bucket", "ngram", "n", *[(F.col("n") * w / total).alias(f"p{topic}") for topic, w in enumerate(names)]
+    )
 
 
 def _sums(cells: DataFrame, key: str, k: int) -> DataFrame:
@@ -203,7 +207,4 @@ def _iterate(cells: DataFrame, factors: DataFrame, k: int, term_prior: float, fe
     joined = cells.select("bucket", "ngram", "n", *sums).join(
         F.broadcast(factors) if few_documents else factors, "bucket"
     )
-    # the weights are projected first: each is used in every topic's share
-    weights = [((F.col(f"t{topic}") + term_prior) * F.col(f"b{topic}")).alias(f"w{topic}") for topic in range(k)]
-    weighed = joined.select("bucket", "ngram", "n", *weights)
-    return weighed.select("bucket", "ngram", "n", *_shares([F.col(f"w{topic}") for topic in range(k)]))
+    return _divided(joined, [(F.col(f"t{topic}") + term_prior) * F.col(f"b{topic}") for topic in range(k)])
