@@ -6,8 +6,8 @@ needs each document as one vector and holds a matrix of the whole vocabulary on
 document is a time bucket, which may hold a third of all posts, and the vocabulary is every n-gram;
 so the fit stays on the count rows. These are shuffled by term once, into a bucketed table; an
 iteration then sums over each term's rows, at most one per time bucket, where they lie, and shuffles
-only partial sums per time bucket. The driver sees two numbers: how many documents and how many
-terms there are.
+only partial sums per time bucket. The driver sees single numbers: how many cells, documents and terms
+there are, and how much an iteration moved.
 """
 
 from __future__ import annotations
