@@ -34,6 +34,14 @@ from postweave.plans import topics as topic_plans  # noqa: E402
 from postweave.schema import RAW_COLUMNS  # noqa: E402
 from postweave.sources import lookups, posts, storage  # noqa: E402
 
+try:  # an optional part of the library
+    import corpus_pipeline
+    import postweave.llm.registry as llm_registry
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "postweave.llm", "postweave.llm.registry"):
+        raise
+    corpus_pipeline = llm_registry = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 STOPWORDS = list(oracle_queries.STOPWORDS)
 ITERATIONS = oracle_queries.ITERATIONS
@@ -117,11 +125,33 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    found = dict(_QUERIES)
+    if llm_registry is not None:
+        found |= {name: _with_path(query) for name, query in llm_registry.QUERIES.items()}
+        found["pipeline"] = _with_path(corpus_pipeline.run)
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in oracle_queries.build().items() if name in _QUERIES}
+    found = {name: sql for name, sql in oracle_queries.build().items() if name in _QUERIES}
+    if llm_registry is not None:
+        found |= llm_registry.SQL
+        if corpus_pipeline.ORACLE_SQL is not None:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
+
+
+def _with_path(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query``, with this folder on the path of Python workers that are started from elsewhere."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        here = os.path.dirname(os.path.abspath(__file__))
+        known = spark.sparkContext.environment.get("PYTHONPATH", "")
+        if here not in known.split(os.pathsep):
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (here, known)))
+        return query(spark, sf_dir)
+
+    return run
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
