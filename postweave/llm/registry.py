@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postweave.llm import packing, sharding
+from postweave.llm import packing, sharding, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {"op6_interleave": sharding.SQL}
@@ -27,6 +27,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@_query
+def op3_covering_simhash(spark, sf_dir):
+    return simhash.components(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_interleave(spark, sf_dir):
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
@@ -35,3 +40,8 @@ def op6_interleave(spark, sf_dir):
 @_query
 def op9_power_of_two(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@_query
+def op10_repeated_windows(spark, sf_dir):
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
