@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postweave.llm import packing, sharding, simhash, substring_dedup
+from postweave.llm import packing, quality, sharding, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {"op6_interleave": sharding.SQL}
@@ -37,6 +37,11 @@ def op6_interleave(spark, sf_dir):
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op8_factorisation_machine(spark, sf_dir):
+    return quality.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query
 def op9_power_of_two(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
