@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postweave.llm import packing, quality, sharding, simhash, substring_dedup
+from postweave.llm import decontamination, line_dedup, packing, quality, sharding, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {"op6_interleave": sharding.SQL}
@@ -32,11 +32,21 @@ def op3_covering_simhash(spark, sf_dir):
     return simhash.components(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_template_windows(spark, sf_dir):
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op6_interleave(spark, sf_dir):
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op7_log_templates(spark, sf_dir):
+    return line_dedup.line_digest(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_factorisation_machine(spark, sf_dir):
     return quality.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
