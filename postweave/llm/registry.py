@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postweave.llm import decontamination, line_dedup, packing, quality, sharding, simhash, substring_dedup
+from postweave.llm import decontamination, line_dedup, packing, quality, sharding, simhash, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op6_interleave": sharding.SQL}
+SQL: dict[str, str] = {"op2_capture_histories": warc.SQL, "op6_interleave": sharding.SQL}
 
 
 def _query(function: Callable[[SparkSession, str], DataFrame]):
@@ -27,6 +27,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@_query
+def op2_capture_histories(spark, sf_dir):
+    made = warc.capture_histories(_table(spark, sf_dir, "pages"))
+    return made.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @_query
 def op3_covering_simhash(spark, sf_dir):
     return simhash.components(_table(spark, sf_dir, "documents"))
