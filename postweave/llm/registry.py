@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postweave.llm import decontamination, line_dedup, packing, quality, sharding, simhash, substring_dedup, warc
+from postweave.llm import decontamination, embedding_dedup, line_dedup, lm_scoring, packing, quality, sharding, simhash, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {"op2_capture_histories": warc.SQL, "op6_interleave": sharding.SQL}
@@ -27,6 +27,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@_query
+def op1_masked_pseudo_likelihood(spark, sf_dir):
+    return lm_scoring.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op2_capture_histories(spark, sf_dir):
     made = warc.capture_histories(_table(spark, sf_dir, "pages"))
@@ -43,6 +48,11 @@ def op4_template_windows(spark, sf_dir):
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op5_collision_counting(spark, sf_dir):
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op6_interleave(spark, sf_dir):
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
