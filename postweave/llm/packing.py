@@ -7,15 +7,20 @@ Sequences of one length form a bucket, and sequence numbers run through the buck
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
+# Fixed value: the published pre-tokenisation pattern of byte-level BPE.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BINS = 1024
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -28,40 +33,68 @@ def piece_lengths(tokens: int, longest: int) -> list[int]:
     return [longest] * whole + [1 << bit for bit in range(longest.bit_length() - 2, -1, -1) if rest >> bit & 1]
 
 
-class CachedTokenizer:
+class CachedTokenizer(dict):
     """Token ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer's own pre-tokenisation never joins what stands on both sides of the start of a run of white space,
-    so words with the space before them are tokenised once and remembered, up to ``CACHED_WORDS`` of them. Texts with
-    longer runs of white space are given to the tokenizer whole.
+    The pre-tokenisation of a byte-level BPE never joins what stands on both sides of the start of a run of white space,
+    so words with the space before them are encoded once and remembered, up to ``CACHED_WORDS`` of them. Words are
+    encoded by ``tiktoken`` from the vocabulary of the tokenizer file, several times faster than by the file's own
+    library and to the same ids. Texts with longer runs of white space or with a special token's string, and all
+    texts where the file is of another kind, are given to that library whole.
     """
 
     def __init__(self, path: str):
-        import re
+        import json
 
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.runs = re.compile(r"\s\s")
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.special = [token["content"] for token in spec["added_tokens"]]
+        self.encode = self._word_encoder(spec)
+
+    def _word_encoder(self, spec: dict):
+        """A function from a text to its ids, None unless the file holds a byte-level BPE in rank order."""
+        import tiktoken
+
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = not spec.get("normalizer") and not spec.get("post_processor") and not model.get("end_of_word_suffix")
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or not plain:
+            return None
+        chars = _byte_characters()
+        ranks = {bytes(chars[c] for c in token): at for token, at in model["vocab"].items() if token not in self.special}
+        made = tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return made.encode_ordinary
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        made = self[unit] = array("I", self.encode(unit)).tobytes()
+        return made
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.runs.search(text):
+        if self.encode is None or self.runs.search(text) or any(token in text for token in self.special):
             return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         first, *rest = text.split(" ")
         units = [first] * bool(first) + [" " + word for word in rest]
-        try:
-            return b"".join(map(self.known.__getitem__, units))
-        except KeyError:
-            known = self.known
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            missing = [unit for unit in dict.fromkeys(units) if unit not in known]
-            for unit, made in zip(missing, self.model.encode_batch(missing, add_special_tokens=False)):
-                known[unit] = np.array(made.ids, dtype="<u4").tobytes()
-            return b"".join(map(known.__getitem__, units))
+        return b"".join(map(self.__getitem__, units))
+
+
+def _byte_characters() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [byte for byte in range(256) if byte not in plain]
+    return {chr(byte): byte for byte in plain} | {chr(256 + k): byte for k, byte in enumerate(rest)}
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> CachedTokenizer:
+    """One per worker process, kept from task to task."""
+    return CachedTokenizer(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, longest: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -77,7 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, longest: int = 1024, end_id: i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model = CachedTokenizer(tokenizer)
+        model = _tokenizer(tokenizer)
         tail = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             kept = []
