@@ -244,13 +244,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Machin
     return train([whole], np.array(table.column("quality").to_pylist()))
 
 
-def score(docs: DataFrame, machine: Machine | None, *keep: str) -> DataFrame:
-    """``doc_id``, the columns named in ``keep`` and ``score``, the probability of quality 1; 0.5 without a machine.
+def score(docs: DataFrame, machine: Machine | None, *keep: str, out: str = "score") -> DataFrame:
+    """``doc_id``, the columns named in ``keep`` and ``out``, the probability of quality 1; 0.5 without a machine.
 
     The whole text counts; a null text is empty, a null n_chars an input of its own.
     """
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    schema = docs.select("doc_id", *keep).schema.add("score", "double")
+    schema = docs.select("doc_id", *keep).schema.add(out, "double")
     columns = [field.name for field in schema]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,4 +286,5 @@ def assess(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Dat
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """The rows of ``docs`` that score 0.5 or more, all columns kept."""
     others = [column for column in docs.columns if column != "doc_id"]
-    return score(docs, fit(docs, labels, rows), *others).filter("score >= 0.5").select(*docs.columns)
+    scored = score(docs, fit(docs, labels, rows), *others, out="score of quality")
+    return scored.filter("`score of quality` >= 0.5").select(*docs.columns)

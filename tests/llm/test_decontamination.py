@@ -1,0 +1,61 @@
+import pytest
+
+from postweave.llm.decontamination import contaminated, drop_contaminated
+
+QUESTION = "Yesterday Alice bought 12 apples at 3.50 dollars each while Bob bought 7 pears , so how much money did Alice spend in all on apples ?"
+
+
+@pytest.fixture
+def items(spark, crowded):
+    rows = [(1, QUESTION), (2, "the quick brown fox jumps over the lazy dog near the river bank"), (3, None), (4, ""), (5, "tiny item here")]
+    return crowded(spark.createDataFrame(rows, "item_id long, text string"))
+
+
+def found(docs, items):
+    return sorted(((row.doc_id, row.item_id) for row in contaminated(docs, items).collect()), key=repr)
+
+
+def test_other_numbers_and_names_are_the_same_question(make_docs, items, prose):
+    other = QUESTION.replace("Alice", "Maria").replace("Bob", "Omar").replace("12", "45").replace("3.50", "9").replace("7", "81")
+    mixed = "Yesterday Maria bought 12 apples at 3.50 dollars each while Omar bought 7 pears , so how much money did Alice spend in all on apples ?"
+    scattered = " ".join(reversed(QUESTION.split()))
+    docs = make_docs((1, f"{prose(1)}. {other} {prose(2)}"), (2, QUESTION), (3, mixed), (4, scattered), (5, prose(5)))
+    assert found(docs, items) == [(1, 1), (2, 1), (3, 1)]
+    made = {row.doc_id: row for row in contaminated(docs, items).collect()}
+    assert made[1].consistent == 1 and made[1].slots == made[2].slots > 0
+    assert made[3].consistent < 1
+
+
+def test_slots_that_disagree_are_no_copy(spark, make_docs):
+    item = "Ann paid 5 and Ann paid 5 and Ann paid 5 and Ann paid 5 today"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = make_docs((1, item.replace("5", "8")), (2, "Ann paid 1 and Bob paid 2 and Cas paid 3 and Dan paid 4 today"))
+    assert found(docs, items) == [(1, 1)]
+
+
+def test_units_after_numbers(spark, make_docs):
+    items = spark.createDataFrame([(1, "a rope of 5 meters weighs as much as 3 kg of wool or hay")], "item_id long, text string")
+    docs = make_docs((1, "a rope of 9 feet weighs as much as 4 lbs of wool or hay"), (2, "a rope of 9 lengths weighs as much as 4 bags of wool or hay"))
+    assert found(docs, items) == [(1, 1)]
+
+
+def test_part_of_an_item(make_docs, items):
+    words = "the quick brown fox jumps over the lazy dog near the river bank".split()
+    docs = make_docs((1, " ".join(words[:12])), (2, " ".join(words[:11])), (3, "The QUICK brown; fox jumps - over the lazy dog near the river bank!"))
+    # 9 windows: 8 and 7 of them are left
+    assert found(docs, items) == [(1, 2), (3, 2)]
+
+
+def test_odd_rows(make_docs, crowded, items, prose):
+    docs = [(1, None), (2, ""), (3, "!!! ..."), (4, prose(4, 30_000) + " . " + QUESTION), (5, QUESTION), (5, QUESTION), (None, QUESTION), (6, "tiny item here"), (7, "a tiny item here")]
+    table = crowded(make_docs(*docs))
+    assert found(table, items) == [(4, 1), (5, 1), (6, 5), (None, 1)]
+    assert sorted((row.doc_id for row in drop_contaminated(table, items).collect()), key=repr) == [1, 2, 3, 7, None]
+    assert drop_contaminated(table, items).columns == table.columns
+    assert contaminated(table.filter("false"), items).count() == 0
+    assert contaminated(table, items.filter("false")).count() == 0
+
+
+def test_no_python_in_the_plan(make_docs, items):
+    plan = contaminated(make_docs((1, "x")), items)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
