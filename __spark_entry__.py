@@ -31,7 +31,7 @@ from postweave.operators import (  # noqa: E402
 from postweave.params import DIVISIONS, METRICS  # noqa: E402
 from postweave.plans import metrics, ngrams, performance, sentiment, tables  # noqa: E402
 from postweave.plans import topics as topic_plans  # noqa: E402
-from postweave.schema import RAW_COLUMNS  # noqa: E402
+from postweave.schema import POSTS, RAW_COLUMNS  # noqa: E402
 from postweave.sources import lookups, posts, storage  # noqa: E402
 
 try:  # an optional part of the library
@@ -201,8 +201,7 @@ def q_load_stopwords(spark, sf_dir):
     folder = storage.fresh_folder(spark, "stopwords")
     segments = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lower("c_mktsegment").alias("word"))
     segments.write.parquet(folder)
-    listed = lookups.load_stopwords(spark, folder)
-    return spark.range(1).select(F.explode(F.array(*[F.lit(word) for word in listed])).alias("word"))
+    return lookups.load_stopwords(spark, folder)
 
 
 # --- projections, filters, scalar functions
@@ -526,6 +525,102 @@ def q_daily_trend(spark, sf_dir):
     return rounded(dated(statistics.daily_trend(daily, "n", 3), "date"), "trend")
 
 
+@_query
+def q_daily_trend_linear(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    daily = counts.count_by(events.select(F.col("event_type").alias("series"), F.to_date("ts").alias("date")), "series", "date")
+    return rounded(dated(statistics.daily_trend(daily, "n", 3, method="linear"), "date"), "trend")
+
+
+# --- rows with missing keys, texts and dates, and times of day
+
+
+def gapped_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as posts, of which some have no account, no text or no date."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.col("o_orderkey")
+    return orders.select(
+        key.cast("string").alias("status_id"),
+        F.when(key % 5 > 0, F.col("o_orderpriority")).alias("screen_name"),
+        F.when(key % 7 > 0, F.concat("o_orderpriority", F.substring(F.lit(" best"), F.lit(1), (key % 6).cast("int")))).alias("text"),
+        F.when(key % 3 > 0, F.to_date("o_orderdate")).alias("created_at"),
+        F.floor(F.col("o_totalprice") / 1000).cast("bigint").alias("favorite_count"),
+        (key % 11).cast("bigint").alias("retweet_count"),
+        F.lit(False).alias("is_retweet"),
+    )
+
+
+@_query
+def q_date_range_filter_times(spark, sf_dir):
+    # the second and third day of the events, whose times of day are kept
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").alias("created_at"))
+    first = events.agg(F.date_add(F.to_date(F.min("created_at")), 1), F.date_add(F.to_date(F.min("created_at")), 2)).first()
+    return dated(filters.date_range_filter(events, *first), "created_at")
+
+
+@_query
+def q_calendar_buckets_missing(spark, sf_dir):
+    made = [calendar.calendar_bucket(F.col("created_at"), division).alias(division) for division in DIVISIONS]
+    yearly = calendar.calendar_bucket(F.col("created_at"), "week", True).alias("week_year")
+    return gapped_posts(spark, sf_dir).select("status_id", *made, yearly)
+
+
+@_query
+def q_top_n_by_group_missing(spark, sf_dir):
+    view = gapped_posts(spark, sf_dir).select("status_id", "screen_name", "favorite_count")
+    return ranking.top_n_by_group(view, "screen_name", "favorite_count", 3)
+
+
+@_query
+def q_metric_summary_missing(spark, sf_dir):
+    made = statistics.metric_summary(gapped_posts(spark, sf_dir), "screen_name", "favorite_count")
+    return rounded(made, "median", "mean", "sd")
+
+
+@_query
+def q_group_median_missing(spark, sf_dir):
+    view = gapped_posts(spark, sf_dir).select("status_id", "screen_name", "favorite_count")
+    return statistics.group_median(view, ["screen_name"], "favorite_count")
+
+
+@_query
+def q_log_histogram_missing(spark, sf_dir):
+    return statistics.log_histogram(gapped_posts(spark, sf_dir), ["screen_name"], "favorite_count")
+
+
+@_query
+def q_tf_idf_missing(spark, sf_dir):
+    view = gapped_posts(spark, sf_dir).select("screen_name", F.month("created_at").alias("term"))
+    return rounded(tfidf.tf_idf(counts.count_by(view, "screen_name", "term"), "term", "screen_name", "n"), "tf", "idf", "tf_idf")
+
+
+@_query
+def q_metric_distribution_missing(spark, sf_dir):
+    return rounded(metrics.metric_distribution(gapped_posts(spark, sf_dir), "best"), "median")
+
+
+@_query
+def q_load_posts_csv_marks(spark, sf_dir):
+    # texts that are missing, empty or look like marks of a missing one
+    key = F.col("o_orderkey")
+    mark = F.when(key % 4 == 0, None).when(key % 4 == 1, "").when(key % 4 == 2, "\\N").otherwise("\\\\N")
+    made = {field.name: F.lit(None).cast(field.dataType).alias(field.name) for field in POSTS}
+    made |= {"status_id": key.cast("string").alias("status_id"), "text": mark.alias("text")}
+    folder = storage.fresh_folder(spark, "posts")
+    posts.write_posts_csv(spark.read.parquet(f"{sf_dir}/orders.parquet").select(*made.values()), folder)
+    return posts.load_posts_csv(spark, folder).select("status_id", "text")
+
+
+@_query
+def q_drop_stopword_ngrams_table(spark, sf_dir):
+    # a stop-word table of any size: the words of part names and of raw pages
+    named = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("word"))
+    paged = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.explode(F.split("html", " ")).alias("word"))
+    listed = named.unionByName(paged).select(F.lower("word").alias("word"))
+    grams = tokens.tokenize_ngrams(posts_view(spark, sf_dir, "text"), n=2)
+    return filters.drop_stopword_ngrams(counts.count_by(grams, "ngram"), "ngram", listed)
+
+
 # --- set operations
 
 

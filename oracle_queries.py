@@ -197,6 +197,18 @@ def _histogram(source: str, keys: str, bins: int = 30) -> str:
     )
 
 
+def _gaps(final: str) -> str:
+    """Orders as posts, of which some have no account, no text or no date."""
+    return (
+        "WITH gaps AS (SELECT CAST(o_orderkey AS VARCHAR) AS status_id, "
+        "CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS screen_name, "
+        "CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority || ' best' [:o_orderkey % 6] END AS text, "
+        "CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) END AS created_at, "
+        "CAST(floor(o_totalprice / 1000) AS BIGINT) AS favorite_count, CAST(o_orderkey % 11 AS BIGINT) AS retweet_count FROM orders) "
+        f"SELECT * FROM ({final})"
+    )
+
+
 def _z(value: str) -> str:
     return f"(ln({value} + 1) - avg(ln({value} + 1)) OVER ()) / nullif(stddev_samp(ln({value} + 1)) OVER (), 0)"
 
@@ -356,9 +368,10 @@ def build() -> dict[str, str]:
         ),
         "ngram_context": _posts(
             f"lex AS ({LEXICONS['bing']})",
-            f"g AS MATERIALIZED (SELECT *, row_number() OVER () AS key FROM ({_ngrams('posts', 2, 'status_id')}))",
-            f"w AS ({_words('g', 'key', 'ngram')})",
-            final="SELECT status_id, ngram, word, sentiment FROM w JOIN lex USING (word) JOIN g USING (key)",
+            f"g AS ({_ngrams('posts', 2, 'status_id')})",
+            "w AS (SELECT status_id, ngram, unnest(string_split(ngram, ' ')) AS word FROM g "
+            "WHERE list_has_any(string_split(ngram, ' '), (SELECT list(word) FROM lex)))",
+            final="SELECT status_id, ngram, word, sentiment FROM w JOIN lex USING (word)",
         ),
         # aggregations and reshape
         "count_by": _posts(final="SELECT screen_name, is_retweet, count(*) AS n FROM posts GROUP BY ALL"),
@@ -432,6 +445,57 @@ def build() -> dict[str, str]:
         f"FROM ({_sentiment_words('nrc', 5, '')})",
         "daily_trend": "WITH d AS (SELECT event_type AS series, CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY ALL) "
         f"SELECT series, {_day('date')} AS date, n, {_trend('d', 'series', 'n', 3)}",
+        "daily_trend_linear": "WITH d AS (SELECT event_type AS series, CAST(ts AS DATE) AS date, CAST(count(*) AS DOUBLE) AS n FROM events "
+        "GROUP BY ALL), x AS (SELECT *, CAST(date - DATE '1970-01-01' AS DOUBLE) AS day FROM d), "
+        "w AS (SELECT *, avg(n) OVER near AS mean, avg(day) OVER near AS middle, regr_slope(n, day) OVER near AS slope FROM x "
+        "WINDOW near AS (PARTITION BY series ORDER BY day RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)) "
+        f"SELECT series, {_day('date')} AS date, CAST(n AS BIGINT) AS n, "
+        "round(coalesce(mean + CASE WHEN isnan(slope) THEN NULL ELSE slope END * (day - middle), mean), 6) AS trend FROM w",
+        # rows with missing keys, texts and dates, and posts late on the last day
+        "date_range_filter_times": f"SELECT event_id, {_day('ts')} AS created_at FROM events "
+        "WHERE CAST(ts AS DATE) BETWEEN (SELECT min(CAST(ts AS DATE)) + 1 FROM events) AND (SELECT min(CAST(ts AS DATE)) + 2 FROM events)",
+        "calendar_buckets_missing": _gaps(
+            "SELECT status_id, " + ", ".join(f"{_bucket(d)} AS {d}" for d in ("month", "biweek", "week", "day", "week_year")) + " FROM gaps"
+        ),
+        "top_n_by_group_missing": _gaps(
+            "SELECT status_id, screen_name, favorite_count FROM gaps "
+            "QUALIFY rank() OVER (PARTITION BY screen_name ORDER BY favorite_count DESC) <= 3"
+        ),
+        "metric_summary_missing": _gaps(
+            "SELECT screen_name, CAST(min(favorite_count) AS BIGINT) AS min, round(median(favorite_count), 6) AS median, "
+            "round(avg(favorite_count), 6) AS mean, CAST(max(favorite_count) AS BIGINT) AS max, "
+            'round(stddev_samp(favorite_count), 6) AS sd, count(*) AS "TotalTweets" FROM gaps GROUP BY screen_name'
+        ),
+        "group_median_missing": _gaps(
+            "SELECT status_id, screen_name, favorite_count, CAST(median(favorite_count) OVER (PARTITION BY screen_name) AS DOUBLE) AS median FROM gaps"
+        ),
+        "log_histogram_missing": _gaps(
+            _histogram("(SELECT screen_name, favorite_count AS value FROM gaps)", "screen_name")
+        ),
+        "tf_idf_missing": _gaps(
+            "WITH c AS (SELECT screen_name, month(created_at) AS term, count(*) AS n FROM gaps GROUP BY ALL), "
+            "x AS (SELECT *, n / sum(n) OVER (PARTITION BY screen_name) AS tf, "
+            "ln((SELECT count(*) FROM (SELECT DISTINCT screen_name FROM c)) / count(*) OVER (PARTITION BY term)) AS idf FROM c) "
+            "SELECT screen_name, CAST(term AS INTEGER) AS term, n, round(tf, 6) AS tf, round(idf, 6) AS idf, round(tf * idf, 6) AS tf_idf FROM x"
+        ),
+        "metric_distribution_missing": _gaps(
+            "WITH x AS (SELECT 'Favorites' AS metric, text, favorite_count AS value FROM gaps UNION ALL SELECT 'Retweets', text, retweet_count FROM gaps), "
+            "y AS (SELECT metric, CASE WHEN contains(lower(text), 'best') THEN 'contains best' WHEN text IS NOT NULL "
+            "THEN 'doesn''t contain best' END AS \"Word\", value FROM x), "
+            f"h AS ({_histogram('y', 'metric, \"Word\"')}), "
+            'm AS (SELECT metric, "Word", CAST(round(median(value), 6) AS DOUBLE) AS median FROM y GROUP BY ALL) '
+            'SELECT h.metric, h."Word", bin, n, median FROM h JOIN m ON h.metric = m.metric AND h."Word" IS NOT DISTINCT FROM m."Word"'
+        ),
+        "load_posts_csv_marks": "SELECT CAST(o_orderkey AS VARCHAR) AS status_id, CASE CAST(o_orderkey AS BIGINT) % 4 WHEN 0 THEN NULL WHEN 1 THEN '' "
+        "WHEN 2 THEN chr(92) || 'N' ELSE chr(92) || chr(92) || 'N' END AS text FROM orders",
+        "drop_stopword_ngrams_table": _posts(
+            f"g AS ({_ngrams('posts', 2)})",
+            "c AS MATERIALIZED (SELECT ngram, count(*) AS n FROM g GROUP BY ngram)",
+            "s AS (SELECT DISTINCT lower(p) AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS p FROM part "
+            "UNION ALL SELECT unnest(string_split(html, ' ')) FROM pages))",
+            "h AS (SELECT DISTINCT ngram FROM (SELECT ngram, unnest(string_split(ngram, ' ')) AS word FROM c) JOIN s USING (word))",
+            final="SELECT ngram, n FROM c ANTI JOIN h USING (ngram)",
+        ),
         # set operations
         "union_series": _posts(
             final=f"SELECT CASE WHEN is_retweet THEN 'retweets' ELSE 'originals' END AS series, {_day()} AS date, count(*) AS n "
@@ -472,9 +536,9 @@ def build() -> dict[str, str]:
             final=_top("c", 25),
         ),
         "ngram_negation": _posts(
-            f"g AS MATERIALIZED (SELECT *, row_number() OVER () AS key FROM ({_ngrams('posts', text=_stripped())}))",
-            r"f AS (SELECT key FROM g WHERE regexp_extract(ngram, '^[\p{L}\p{N}]*') = 'no')",
-            "c AS (SELECT ngram, count(*) AS n FROM f JOIN g USING (key) GROUP BY ngram)",
+            f"g AS ({_ngrams('posts', text=_stripped())})",
+            r"c AS (SELECT ngram, count(*) AS n FROM g WHERE starts_with(ngram, 'no') "
+            r"AND regexp_extract(ngram, '^[\p{L}\p{N}]*') = 'no' GROUP BY ngram)",
             final=_top("c", 5),
         ),
         "sentiment_words": _sentiment_words("bing", 5, "with"),
@@ -489,10 +553,10 @@ def build() -> dict[str, str]:
         ),
         "ngram_sentiment": _posts(
             f"lex AS ({LEXICONS['bing']})",
-            f"g AS MATERIALIZED (SELECT *, row_number() OVER () AS key FROM ({_ngrams('posts', text=_stripped())}) "
-            "WHERE NOT regexp_matches(ngram, 'ing'))",
-            f"w AS ({_words('g', 'key', 'ngram')})",
-            "c AS (SELECT sentiment, ngram, count(*) AS n FROM w JOIN lex USING (word) JOIN g USING (key) GROUP BY ALL)",
+            f"g AS ({_ngrams('posts', text=_stripped())})",
+            "w AS (SELECT ngram, unnest(string_split(ngram, ' ')) AS word FROM g "
+            "WHERE list_has_any(string_split(ngram, ' '), (SELECT list(word) FROM lex)) AND NOT regexp_matches(ngram, 'ing'))",
+            "c AS (SELECT sentiment, ngram, count(*) AS n FROM w JOIN lex USING (word) GROUP BY ALL)",
             f"t AS ({_top('c', 5, 'sentiment')})",
             final="SELECT sentiment, ngram, CASE WHEN sentiment = 'negative' THEN -n ELSE n END AS n FROM t",
         ),

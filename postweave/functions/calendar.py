@@ -22,15 +22,23 @@ def calendar_bucket(day: Column, division: str, with_year: bool = False) -> Colu
     """Label of the period ``day`` falls in.
 
     Months are ``M-YYYY`` and days ``D-M-YYYY`` without zero padding. Week and biweek numbers carry
-    no year, so the same week of two years is one bucket; ``with_year`` appends the year.
+    no year, so the same week of two years is one bucket; ``with_year`` appends the year. A missing day has
+    a null label.
     """
     one_of("division", division, DIVISIONS)
     if division == "month":
-        return F.concat_ws("-", F.month(day), F.year(day))
+        return _dashed(F.month(day), F.year(day))
     if division == "day":
-        return F.concat_ws("-", F.dayofmonth(day), F.month(day), F.year(day))
+        return _dashed(F.dayofmonth(day), F.month(day), F.year(day))
     number = week_of_year(day) if division == "week" else biweek_of_year(day)
-    return F.concat_ws("-", number, F.year(day)) if with_year else number.cast("string")
+    return _dashed(number, F.year(day)) if with_year else number.cast("string")
+
+
+def _dashed(first: Column, *others: Column) -> Column:
+    parts = [first.cast("string")]
+    for other in others:
+        parts += [F.lit("-"), other.cast("string")]
+    return F.concat(*parts)
 
 
 def date_text(day: Column) -> Column:

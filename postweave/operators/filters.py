@@ -31,19 +31,30 @@ def contains_pattern(df: DataFrame, column: str, pattern: str) -> DataFrame:
     return df.filter(F.col(column).rlike(pattern)) if pattern else df
 
 
-def drop_stopword_ngrams(df: DataFrame, column: str, stopwords: Sequence[str], mode: str = "token") -> DataFrame:
+def drop_stopword_ngrams(
+    df: DataFrame, column: str, stopwords: Sequence[str] | DataFrame, mode: str = "token"
+) -> DataFrame:
     """Drop n-grams that hold a stop word.
 
     ``token`` compares whole words. ``substring`` matches the stop words joined into one regex
-    anywhere in the n-gram, so a one-letter stop word drops every n-gram with that letter.
+    anywhere in the n-gram, so a one-letter stop word drops every n-gram with that letter; it takes
+    a list. Listed words are looked up in a set. A table of stop words, first column, may be of any size:
+    the n-grams that hold one are found by a join on their words. An n-gram that is null stays.
     """
     one_of("mode", mode, STOP_MODES)
+    if isinstance(stopwords, DataFrame):
+        if mode == "substring":
+            raise ValueError("stop words to be matched as substrings must be a list")
+        listed = stopwords.select(F.col(f"`{stopwords.columns[0]}`").alias("_word")).dropna().distinct()
+        distinct = df.select(F.col(column).alias("_held")).distinct()
+        held = distinct.select("_held", F.explode(F.array_distinct(F.split("_held", " "))).alias("_word"))
+        stopped = held.join(listed, "_word").select("_held").distinct()
+        return df.join(stopped, F.col(column) == F.col("_held"), "left_anti")
     if not stopwords:
         return df
     if mode == "substring":
         return exclude_pattern(df, column, "|".join(stopwords))
-    listed = F.array(*[F.lit(word) for word in stopwords])
-    return df.filter(~F.arrays_overlap(F.split(column, " "), listed))
+    return df.filter(~F.exists(F.split(column, " "), lambda word: word.isin(list(stopwords))))
 
 
 def exclude_exact(df: DataFrame, column: str, value: str) -> DataFrame:
@@ -52,9 +63,9 @@ def exclude_exact(df: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def date_range_filter(posts: DataFrame, first: dt.date | str | None, last: dt.date | str | None) -> DataFrame:
-    """Keep posts from ``first`` to ``last``, both included; None leaves that end open."""
+    """Keep posts from ``first`` to ``last``, both days whole, whatever the time of day; None leaves that end open."""
     if first is not None:
         posts = posts.filter(F.col("created_at") >= F.lit(first).cast("date"))
     if last is not None:
-        posts = posts.filter(F.col("created_at") <= F.lit(last).cast("date"))
+        posts = posts.filter(F.col("created_at") < F.date_add(F.lit(last).cast("date"), 1))
     return posts

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postweave.operators.joins import join_groups
 from postweave.params import at_least
 
 
@@ -40,7 +41,7 @@ def top_n_by_group(df: DataFrame, group: str, value: str, n: int, few_groups: bo
     """``top_n`` within each group.
 
     Values are counted per group first, on the map side, so that what is ranked is each group's n
-    largest distinct values with their multiplicities. ``few_groups`` broadcasts the cuts, one row
+    largest distinct values with their multiplicities. A missing group is a group. ``few_groups`` broadcasts the cuts, one row
     per group; pass it where the number of groups is bounded.
     """
     at_least("n", n, 1)
@@ -50,7 +51,7 @@ def top_n_by_group(df: DataFrame, group: str, value: str, n: int, few_groups: bo
     above = F.sum("_times").over(downward.rowsBetween(Window.unboundedPreceding, -1))
     reached = largest.withColumn("_above", F.coalesce(above, F.lit(0))).filter(F.col("_above") < n)
     cuts = reached.groupBy(group).agg(F.min(value).alias("_cut"))
-    joined = df.join(F.broadcast(cuts) if few_groups else cuts, group)
+    joined = join_groups(df, cuts, group, few_groups)
     return joined.filter(F.col(value) >= F.col("_cut")).select(*df.columns)
 
 

@@ -1,7 +1,7 @@
 """Summaries, exact medians, histograms, scores and trends of metric columns.
 
 ``few_groups`` broadcasts per-group results, one or two rows per group; pass it where the number of
-groups is bounded (metric names, two-way labels), as the analytics do.
+groups is bounded (metric names, two-way labels), as the analytics do. A missing key is a group of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postweave.functions.labels import label_performance, log_scale, log_score, normal_percentile
-from postweave.params import at_least, percentile
+from postweave.operators.joins import join_groups
+from postweave.params import TREND_METHODS, at_least, one_of, percentile
 
 # Slots per unit of log(1 + |value|) in the median's first pass: at most about 45,000 slots per
 # group for any 64-bit integer, each 0.1% wide.
@@ -50,7 +51,7 @@ def tally_median(
     low, high = F.expr("(_total - 1) div 2"), F.expr("_total div 2")
     middle = placed.filter((F.col("_below") <= high) & (F.col("_below") + F.col("_held") > low))
     middle = middle.drop("_held")
-    inside = slotted.join(F.broadcast(middle) if few_groups else middle, [*groups, "_slot"])
+    inside = join_groups(slotted, middle, [*groups, "_slot"], few_groups)
     running = Window.partitionBy(*groups, "_slot").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = inside.withColumn("_upto", F.col("_below") + F.sum(times).over(running))
 
@@ -71,14 +72,14 @@ def metric_summary(df: DataFrame, key: str, value: str, few_groups: bool = False
         F.count(F.lit(1)).alias("TotalTweets"),
     )
     medians = tally_median(tally_values(df, [key], value), [key], value, few_groups=few_groups)
-    joined = moments.join(medians, key, "left")
+    joined = join_groups(moments, medians, key, few_groups, "left")
     return joined.select(key, "min", "median", "mean", "max", "sd", "TotalTweets")
 
 
 def group_median(df: DataFrame, groups: Sequence[str], value: str, few_groups: bool = False) -> DataFrame:
-    """Attach the median of its group to each row."""
+    """Attach the median of its group to each row; null where a group has no values."""
     medians = tally_median(tally_values(df, groups, value), groups, value, few_groups=few_groups)
-    return df.join(F.broadcast(medians) if few_groups else medians, list(groups))
+    return join_groups(df, medians, groups, few_groups, "left")
 
 
 def log_histogram(
@@ -98,7 +99,7 @@ def log_histogram(
     groups = list(groups)
     scaled = df.withColumn("_log", log_scale(F.col(value))).filter(F.col("_log").isNotNull())
     bounds = scaled.groupBy(*groups).agg(F.min("_log").alias("_lo"), F.max("_log").alias("_hi"))
-    spanned = scaled.join(F.broadcast(bounds) if few_groups else bounds, groups)
+    spanned = join_groups(scaled, bounds, groups, few_groups)
     share = F.try_divide(F.col("_log") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     number = F.least(F.coalesce(F.floor(share * bins) + 1, F.lit(1)), F.lit(bins)).cast("int")
     held = F.count(F.lit(1)) if times is None else F.sum(times)
@@ -137,12 +138,20 @@ def zscore_percentile(df: DataFrame, value: str, with_percentile: bool = False)
     return scored.withColumn("percentile", normal_percentile(F.col("z"))) if with_percentile else scored
 
 
-def daily_trend(series: DataFrame, value: str, days: int = 7, out: str = "trend") -> DataFrame:
-    """Centred moving average over the days within ``days`` of each (series, date) row.
+def daily_trend(series: DataFrame, value: str, days: int = 7, out: str = "trend", method: str = "mean") -> DataFrame:
+    """Smoothed value over the days within ``days`` of each (series, date) row.
 
+    ``mean`` is the centred moving average. ``linear`` fits a straight line to the same days and takes its value at the
+    day, which does not lag at the ends of a series or on slopes; it is the mean where the days are one.
     For daily aggregates: a series has at most one row per day of the calendar.
     """
     at_least("days", days, 0)
+    one_of("method", method, TREND_METHODS)
     number = F.unix_date("date")
     around = Window.partitionBy("series").orderBy(number).rangeBetween(-days, days)
-    return series.withColumn(out, F.avg(value).over(around))
+    mean = F.avg(value).over(around)
+    if method == "mean":
+        return series.withColumn(out, mean)
+    slope = F.regr_slope(F.col(value).cast("double"), number.cast("double")).over(around)
+    line = mean + slope * (number - F.avg(F.when(F.col(value).isNotNull(), number)).over(around))
+    return series.withColumn(out, F.coalesce(line, mean))

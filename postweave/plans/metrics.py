@@ -11,6 +11,7 @@ from postweave.functions.calendar import date_text
 from postweave.functions.labels import RECEIVED_NAMES, label_contains, label_metric
 from postweave.functions.text import strip_links
 from postweave.operators.counts import count_by, daily_sums, unpivot_metrics
+from postweave.operators.joins import join_groups
 from postweave.operators.filters import drop_stopword_ngrams, exclude_exact, exclude_pattern, original_posts
 from postweave.operators.ranking import capped_top, nth_value, sort_rows, top_n, top_n_by_group
 from postweave.operators.statistics import daily_trend, log_histogram, metric_summary, tally_median, tally_values
@@ -97,14 +98,15 @@ def mention_top(posts: DataFrame, top: int = 5, filterusername: str = "") -> Dat
 def metric_distribution(posts: DataFrame, wordmetric: str = "", bins: int = 30) -> DataFrame:
     """Histogram and median of each metric for posts with and without a word.
 
-    Rows are (metric, Word, bin, n, median); zeros have no bin but count in the median. The posts
+    Rows are (metric, Word, bin, n, median); zeros have no bin but count in the median. Posts without a
+    text are a group with a null ``Word``. The posts
     are read once, into counts per distinct value, from which both are derived.
     """
     labelled = original_posts(posts).select(label_contains(F.col("text"), wordmetric).alias("Word"), *METRICS)
-    long = unpivot_metrics(labelled.filter(F.col("Word").isNotNull()), ["Word"], METRICS, "metric")
+    long = unpivot_metrics(labelled, ["Word"], METRICS, "metric")
     named = long.select(label_metric(F.col("metric")).alias("metric"), "Word", "value")
     groups = ["metric", "Word"]
     tally = tally_values(named, groups, "value")
     medians = tally_median(tally, groups, "value", few_groups=True)
     histogram = log_histogram(tally, groups, "value", bins, times="times", few_groups=True)
-    return histogram.join(F.broadcast(medians), groups)
+    return join_groups(histogram, medians, groups, small=True)

@@ -18,8 +18,6 @@ FRY_100 = tuple(
     """.split()
 )
 
-MAX_STOPWORDS = 10_000
-
 
 def load_lexicon(spark: SparkSession, folder: str, name: str = "bing", fmt: str = "parquet") -> DataFrame:
     """Read lexicon ``name`` from ``folder`` as (word, sentiment).
@@ -41,16 +39,13 @@ def as_lexicon(table: DataFrame) -> DataFrame:
     )
 
 
-def load_stopwords(spark: SparkSession, path: str | None = None, fmt: str = "parquet") -> list[str]:
-    """Stop words: the first column of a table, or the hundred most frequent English words.
+def load_stopwords(spark: SparkSession, path: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """Stop words as a table of one column, ``word``: the first column of a stored table of any size.
 
-    The words become a literal of every plan that uses them, so the table's size is checked first.
+    Without a path, the hundred most frequent English words; ``FRY_100`` has them as a list, which a plan
+    looks up without a join.
     """
     if path is None:
-        return list(FRY_100)
+        return spark.createDataFrame([(word,) for word in FRY_100], "word string")
     table = spark.read.format(fmt).load(path)
-    words = table.select(F.col(f"`{table.columns[0]}`").cast("string").alias("word")).dropna().distinct()
-    size = words.count()
-    if size > MAX_STOPWORDS:
-        raise ValueError(f"{path} holds {size} stop words; at most {MAX_STOPWORDS} fit in a plan")
-    return sorted(row.word for row in words.collect())
+    return table.select(F.col(f"`{table.columns[0]}`").cast("string").alias("word")).dropna().distinct()

@@ -1,12 +1,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from postweave.sources import lookups, posts, storage
 
 
 def test_csv_round_trip_keeps_every_text(spark, make_posts, rows_of, tmp_path):
-    texts = ["line\nbreak", 'a "quoted" word', "comma, here", "é\\n ü", "", None, "\\N is not null", " padded "]
+    texts = ["line\nbreak", 'a "quoted" word', "comma, here", "é\\n ü", "", None, "\\N", "\\N is not null", "\\", " padded "]
     original = make_posts(*[{"text": t, "status_id": f"12345678901234567{i}", "favorite_count": i} for i, t in enumerate(texts)])
     path = str(tmp_path / "posts")
     posts.write_posts_csv(original, path)
@@ -57,13 +58,28 @@ def test_lexicons(spark, rows_of, tmp_path):
         lookups.load_lexicon(spark, str(tmp_path), "other")
 
 
-def test_stopwords(spark, tmp_path, monkeypatch):
-    assert len(lookups.load_stopwords(spark)) == len(set(lookups.FRY_100)) == 100
+def test_stopwords(spark, tmp_path, rows_of):
+    assert lookups.load_stopwords(spark).distinct().count() == len(set(lookups.FRY_100)) == 100
     spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "word string").write.parquet(str(tmp_path / "stop"))
-    assert lookups.load_stopwords(spark, str(tmp_path / "stop")) == ["a", "b"]
-    monkeypatch.setattr(lookups, "MAX_STOPWORDS", 1)
-    with pytest.raises(ValueError):
-        lookups.load_stopwords(spark, str(tmp_path / "stop"))
+    assert rows_of(lookups.load_stopwords(spark, str(tmp_path / "stop"))) == [("a",), ("b",)]
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    names = ["status_id", "created_at", "screen_name", "text", "is_quote", "is_retweet", "favorite_count", "retweet_count", "followers_count"]
+    values = ["1", "2024-05-06 07:08:09", "me", "hi", "FALSE", "TRUE", "3", "4", "5"]
+    for number, order in enumerate((names, names[::-1])):
+        row = dict(zip(names, values))
+        (tmp_path / f"{number}.csv").write_text(",".join(order) + "\n" + ",".join(row[name] for name in order) + "\n", encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)header"):
+        posts.load_posts_csv(spark, str(tmp_path)).collect()
+
+
+def test_strict_loading_reports_what_does_not_parse(spark, tmp_path, make_posts):
+    path = str(tmp_path / "posts")
+    posts.write_posts_csv(make_posts({"text": None}).withColumn("favorite_count", F.lit("many")), path)
+    assert posts.load_posts_csv(spark, path).first()["favorite_count"] is None
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        posts.load_posts_csv(spark, path, strict=True).collect()
 
 
 class FakeContext:
