@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become typed tokens: numbers turn into ``<num>``, a unit after a number into ``<unit>``, capitalised words inside
-a sentence into ``<name>``, other words are lower-cased. Windows of ``WINDOW`` typed tokens of documents and benchmark items
+a sentence into ``<name>``; other words, those all in capitals among them, are lower-cased. Windows of ``WINDOW`` typed tokens of documents and benchmark items
 are hash-joined, so a question whose numbers and names were changed keeps its windows. A document holds an item when it has
 at least ``SIMILARITY`` of the item's windows and the slots agree: along the best alignment, each value of the item
 stands for one value of the document, in at least that share of its places. DataFrame operations only.
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postweave.llm.stored import stored
+
 WINDOW = 5
 SIMILARITY = 0.8
 BROADCAST_WINDOWS = 1_000_000
@@ -38,20 +40,20 @@ def _typed(raw: str) -> Column:
         f"transform({raw}, (t, i) -> CASE"
         f" WHEN ascii(t) BETWEEN 48 AND 57 THEN '<num>'"
         f" WHEN i > 0 AND ascii(if(i > 0, {before}, 'x')) BETWEEN 48 AND 57 AND lower(rtrim('.!?', t)) IN ({units}) THEN '<unit>'"
-        f" WHEN i > 0 AND left(t, 1) <> lower(left(t, 1)) AND right(if(i > 0, {before}, '.'), 1) NOT IN ('.', '!', '?') THEN '<name>'"
+        f" WHEN i > 0 AND left(t, 1) <> lower(left(t, 1)) AND right(if(i > 0, {before}, '.'), 1) NOT IN ('.', '!', '?')"
+        f" AND length(rtrim('.!?', t)) > 1 AND substring(t, 2) = lower(substring(t, 2)) THEN '<name>'"
         f" ELSE lower(rtrim('.!?', t)) END)"
     )
 
 
 def _windows(typed: str, window: int) -> Column:
     """The hash of each run of ``window`` typed tokens; of all tokens where there are fewer, none where there are none."""
-    return F.expr(
-        f"transform(sequence(0, greatest(size({typed}) - {window}, 0)), i -> xxhash64(slice({typed}, cast(i + 1 as int), {window})))"
-    )
+    hashes = f"transform(sequence(0, greatest(size({typed}) - {window}, 0)), i -> xxhash64(slice({typed}, cast(i + 1 as int), {window})))"
+    return F.expr(f"if(size({typed}) = 0, array(), {hashes})")
 
 
 def _tokens(df: DataFrame, key: list, window: int) -> DataFrame:
-    made = df.select(*key, _raw(F.col("text")).alias("raw")).filter("size(raw) > 0").withColumn("typed", _typed("raw"))
+    made = df.select(*key, _raw(F.col("text")).alias("raw")).withColumn("typed", _typed("raw"))
     return made.withColumn("windows", _windows("typed", window))
 
 
@@ -67,25 +69,30 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, simila
     item_tokens = _tokens(items, ["item_id", F.xxhash64("text").alias("item_sig")], window)
     item_tokens = item_tokens.dropDuplicates(["item_id", "item_sig"])
     wanted = item_tokens.select(
-        "item_id", "item_sig", F.size(F.array_distinct("windows")).alias("item_windows"), F.explode(F.array_distinct("windows")).alias("window")
+        "item_id", "item_sig", F.size(F.array_distinct("windows")).alias("item_windows"), F.explode_outer(F.array_distinct("windows")).alias("window")
     )
+    # outer explodes: an inner one infers a filter, for which Spark computes all that the array is made of once more, and
+    # within lambdas once per element; empty arrays leave a null window, which joins with nothing
     # the benchmark is broadcast when it is measured to be small; a larger one is joined by shuffle
     few = items.limit(1).count() == 0 or wanted.count() <= BROADCAST_WINDOWS
 
-    own = _tokens(docs, ["doc_id", sig], window).select("doc_id", "sig", F.explode(F.array_distinct("windows")).alias("window"))
+    own = _tokens(docs, ["doc_id", sig], window).select("doc_id", "sig", F.explode_outer(F.array_distinct("windows")).alias("window"))
     met = own.join(F.broadcast(wanted) if few else wanted, "window")
     # full repeats of a row meet each window as often as there are rows
     counted = met.groupBy("doc_id", "sig", "item_id", "item_sig", "item_windows").agg(F.count_distinct("window").alias("found"))
-    pairs = counted.filter(F.col("found") >= F.ceil(F.col("item_windows") * similarity - 1e-9))
+    pairs = stored(counted.filter(F.col("found") >= F.ceil(F.col("item_windows") * similarity - 1e-9)), "held-items")
 
     pair = ["doc_id", "sig", "item_id", "item_sig"]
     held = pairs.select(F.col("doc_id").alias("pair_id"), F.col("sig").alias("pair_sig"), "item_id", "item_sig", "item_windows", "found")
     same = F.col("doc_id").eqNullSafe(F.col("pair_id")) & (F.col("sig") == F.col("pair_sig"))
     texts = docs.select("doc_id", sig, "text").join(held, same).select(*pair, "item_windows", "found", "text").dropDuplicates(pair)
-    doc_side = texts.select(*pair, _raw(F.col("text")).alias("raw")).withColumn("typed", _typed("raw")).withColumn("windows", _windows("typed", window))
-    doc_side = doc_side.select(*pair, F.posexplode("windows").alias("at", "window"), "raw")
-    doc_side = doc_side.select(*pair, "at", "window", F.expr(f"slice(raw, at + 1, {window})").alias("values"))
-    item_side = item_tokens.select("item_id", "item_sig", F.posexplode("windows").alias("item_at", "window"), "raw", "typed")
+    # a row per window carries its own words, not the whole document's
+    runs = F.expr(f"transform(sequence(0, greatest(size(raw) - {window}, 0)), i -> slice(raw, cast(i + 1 as int), {window}))")
+    doc_side = texts.select(*pair, _raw(F.col("text")).alias("raw")).withColumns({"typed": _typed("raw"), "runs": runs})
+    doc_side = doc_side.withColumn("windows", _windows("typed", window)).select(*pair, F.arrays_zip("windows", "runs").alias("both"))
+    doc_side = doc_side.select(*pair, F.posexplode_outer("both").alias("at", "one"))
+    doc_side = doc_side.select(*pair, "at", F.col("one.windows").alias("window"), F.col("one.runs").alias("values"))
+    item_side = item_tokens.select("item_id", "item_sig", F.posexplode_outer("windows").alias("item_at", "window"), "raw", "typed")
     item_side = item_side.select(
         F.col("item_id").alias("i_id"),
         F.col("item_sig").alias("i_sig"),
