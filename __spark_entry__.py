@@ -668,6 +668,14 @@ def q_topic_documents(spark, sf_dir):
     return rounded(topics.topic_documents(_topic_model(spark, sf_dir)), "gamma")
 
 
+@_query
+def q_fit_topics_converged(spark, sf_dir):
+    # a fit that ends by its tolerance; it divides all counts of a bucket among the topics
+    model = topic_plans.topic_model(posts_view(spark, sf_dir, "created_at", "text"), k=3, n=1, division="biweek", seed=7, tolerance=0.01)
+    held = sum((F.col(f"p{topic}") for topic in range(model.k)), F.lit(0.0))
+    return model.documents.select("bucket", F.round(held).cast("bigint").alias("n"), F.lit(model.converged).alias("converged"))
+
+
 # --- the complete analytics
 
 

@@ -519,6 +519,10 @@ def build() -> dict[str, str]:
         ),
         "topic_documents": _posts(*month_model, final=_gamma(4)),
         # the complete analytics
+        "fit_topics_converged": _posts(
+            f"c AS ({_cells(1, 'biweek')})", final="SELECT bucket, CAST(sum(n) AS BIGINT) AS n, true AS converged FROM c "
+            "WHERE bucket IS NOT NULL GROUP BY bucket"
+        ),
         "post_summary": _posts(
             METRICS_LONG.strip(),
             final="SELECT CASE metric WHEN 'favorite_count' THEN 'FavoritesReceived' ELSE 'RetweetsReceived' END AS key, "

@@ -34,7 +34,9 @@ def document_terms(tokens: DataFrame, document: str = "bucket", term: str = "ngr
 class TopicModel:
     """Expected counts in columns ``p0`` to ``p{k-1}``, per term and per document, and the priors.
 
-    ``terms`` has one row per n-gram, ``documents`` one per bucket; both are stored tables.
+    ``terms`` has one row per n-gram, ``documents`` one per bucket; both are stored tables below ``folder``, which
+    ``drop`` removes. The fit took ``iterations``, the last of which moved the share ``moved`` of all counts
+    (None without an iteration); ``converged`` says whether that was below the tolerance.
     """
 
     terms: DataFrame
@@ -43,6 +45,15 @@ class TopicModel:
     vocabulary: int
     document_prior: float
     term_prior: float
+    folder: str
+    iterations: int
+    moved: float | None
+    converged: bool
+
+    def drop(self) -> None:
+        """Remove the stored tables; ``terms`` and ``documents`` cannot be read afterwards."""
+        path = self.terms.sparkSession._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.terms.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fit_topics(
@@ -81,6 +92,7 @@ def fit_topics(
         table.write.parquet(f"{home}/{name}")
         return spark.read.schema(table.schema).parquet(f"{home}/{name}")
 
+    taken, moved = 0, None
     spark.sql(f"CREATE DATABASE {database} LOCATION '{home}/iterations'")
     try:
         # the counts are stored first, so that their number can size the buckets
@@ -96,13 +108,15 @@ def fit_topics(
             factors = _document_factors(held, k, prior, term_prior, vocabulary)
             cells = stored(_iterate(cells, factors, k, term_prior, few_documents), f"cells_{turn}", buckets)
             before, held = held, stored(_sums(cells, "bucket", k), f"held_{turn}")
-            if tolerance and _moved(before, held, k) < tolerance:
+            taken, moved = step, _moved(before, held, k)
+            if moved < tolerance:
                 break
         terms = kept(_sums(cells, "ngram", k), "terms")
         documents = kept(held, "documents")
     finally:
         spark.sql(f"DROP DATABASE {database} CASCADE")
-    return TopicModel(terms, documents, k, vocabulary, prior, term_prior)
+    converged = moved is not None and moved < tolerance
+    return TopicModel(terms, documents, k, vocabulary, prior, term_prior, home, taken, moved, converged)
 
 
 def topic_terms(model: TopicModel, top: int = 5) -> DataFrame:
