@@ -32,6 +32,11 @@ def ngram_top(
 
 
 def ngram_negation(posts: DataFrame, negationword: str = "not", n: int = 2, top: int = 5) -> DataFrame:
-    """The most frequent n-grams that begin with a word, as (ngram, n)."""
-    ngrams = tokenize_ngrams(posts.select(strip_links(F.col("text")).alias("text")), n=n)
-    return top_n(count_by(ngrams.filter(first_word(F.col("ngram")) == negationword), "ngram"), "n", top)
+    """The most frequent n-grams that begin with a word, as (ngram, n).
+
+    Texts without the word are passed over before they are tokenised.
+    """
+    texts = posts.select(strip_links(F.col("text")).alias("text")).filter(F.lower("text").contains(negationword))
+    ngrams = tokenize_ngrams(texts, n=n)
+    begun = F.col("ngram").startswith(negationword) & (first_word(F.col("ngram")) == negationword)
+    return top_n(count_by(ngrams.filter(begun), "ngram"), "n", top)
