@@ -141,8 +141,8 @@ def train(given: list[Inputs], labels: np.ndarray, passes: int = 10, batch: int
         return None
     dense = np.concatenate([part.dense for part in given])
     sizes = np.concatenate([np.bincount(part.row, minlength=len(part.dense)) for part in given]).astype(np.int64)
-    word = np.concatenate([part.word for part in given])
-    value = np.concatenate([part.value for part in given])
+    word = given[0].word if len(given) == 1 else np.concatenate([part.word for part in given])
+    value = given[0].value if len(given) == 1 else np.concatenate([part.value for part in given])
     ends = np.cumsum(sizes)
     draw = np.random.default_rng(seed)
     scale = dense.std(axis=0)
@@ -233,15 +233,25 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Machin
                 first += rows
 
     table = chosen.mapInArrow(made, "doc_id long, quality int, word binary, value binary, dense binary").toArrow()
-    table = table.sort_by("doc_id")
-    words = [np.frombuffer(cell.as_py(), "<u4").astype(np.int64) for cell in table.column("word")]
-    if not words:
+    if not table.num_rows:
         return None
-    values = [np.frombuffer(cell.as_py(), "<f4") for cell in table.column("value")]
-    dense = np.stack([np.frombuffer(cell.as_py(), np.float64) for cell in table.column("dense")])
-    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    whole = Inputs(row, np.concatenate(words), np.concatenate(values), dense)
-    return train([whole], np.array(table.column("quality").to_pylist()))
+    table = table.sort_by("doc_id")
+    word, sizes = _joined(table, "word", "<u4")
+    value, _ = _joined(table, "value", "<f4")
+    dense = _joined(table, "dense", "<f8")[0].reshape(-1, STATISTICS)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    return train([Inputs(row, word, value, dense)], np.array(table.column("quality").to_pylist()))
+
+
+def _joined(table: pa.Table, name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, how many of each row) of a column of packed numbers, without a copy where it is one chunk."""
+    column = table.column(name).combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+    _, at, data = column.buffers()
+    offsets = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    numbers = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data is not None else np.zeros(0, kind)
+    return numbers, np.diff(offsets) // np.dtype(kind).itemsize
 
 
 def score(docs: DataFrame, machine: Machine | None, *keep: str, out: str = "score") -> DataFrame:
