@@ -63,9 +63,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     lines = stored(_lines(docs), "lines")
     leaves = lines.groupBy("leaf").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     shared = lines.join(leaves.filter("first < last").select("leaf"), "leaf", "left_semi")
+    # the leaf is left out of the grouping, so that no step above the join needs a leaf's rows together and Spark can
+    # split a large leaf; equal lines meet before they are shuffled again
+    grouped = shared.groupBy("exact", "n", "segments")
     distinct = stored(
-        shared.groupBy("leaf", "n", "exact", "segments").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")),
-        "distinct-lines",
+        grouped.agg(F.min("leaf").alias("leaf"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "distinct-lines"
     )
     mixed = distinct.groupBy("leaf").agg(F.min("exact").alias("low"), F.max("exact").alias("high")).filter("low <> high")
     made = _templates(distinct.join(mixed.select("leaf"), "leaf", "left_semi"))
