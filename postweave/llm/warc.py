@@ -137,8 +137,8 @@ def records_of(chunks: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, int,
             yield archive, number, headers, whole[:need]
             number += 1
             headers, parts, rest = None, [], whole[need:]
-            if not rest:
-                break
+            if rest in (b"", RECORD_END):
+                break  # the separator alone: the archive's last block ended in part of a blank line
             chunk = rest[len(RECORD_END) :]  # the block ended in part of a blank line
     if headers is not None:
         raise ValueError(f"{archive} ends within a record")

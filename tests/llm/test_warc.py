@@ -53,6 +53,13 @@ def test_archives_are_sorted_runs_and_the_merge_is_in_order(spark, rows):
     assert merged == sorted(merged) and len(merged) == len(rows)
 
 
+@pytest.mark.parametrize("html", ["ends\r\n", "\r\n", "ends\r\n\r\n\r\n", "ends\r\n\r\n", "ends\r"])
+def test_an_archive_whose_last_page_ends_in_line_ends(spark, html):
+    for given in ([(1, "http://x/", html)], [(1, "http://x/", "first"), (2, "http://x/", html)]):
+        made = warc.capture_histories(spark.createDataFrame(given, PAGES).coalesce(1)).collect()
+        assert [(row.page_id, row.payload_bytes, row.record_type) for row in made] == [(k, len(t), "response") for k, _, t in given]
+
+
 def test_files_are_warc(spark, rows):
     import glob
 
