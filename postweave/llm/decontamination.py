@@ -33,28 +33,59 @@ def _raw(text: Column) -> Column:
 
 
 def _typed(raw: str) -> Column:
-    """The typed token for each of the column ``raw``."""
+    """The typed token for each of the column ``raw``; a capitalised word that opens a sentence is a name here."""
     units = ", ".join(f"'{unit}'" for unit in UNITS)
     before = f"{raw}[i - 1]"
     return F.expr(
         f"transform({raw}, (t, i) -> CASE"
         f" WHEN ascii(t) BETWEEN 48 AND 57 THEN '<num>'"
         f" WHEN i > 0 AND ascii(if(i > 0, {before}, 'x')) BETWEEN 48 AND 57 AND lower(rtrim('.!?', t)) IN ({units}) THEN '<unit>'"
-        f" WHEN i > 0 AND left(t, 1) <> lower(left(t, 1)) AND right(if(i > 0, {before}, '.'), 1) NOT IN ('.', '!', '?')"
+        f" WHEN left(t, 1) <> lower(left(t, 1))"
         f" AND length(rtrim('.!?', t)) > 1 AND substring(t, 2) = lower(substring(t, 2)) THEN '<name>'"
         f" ELSE lower(rtrim('.!?', t)) END)"
     )
 
 
+def _openers(raw: str, typed: str) -> Column:
+    """The places of the names that open a sentence and may as well be words."""
+    opens = f"if(i > 0, right({raw}[i - 1], 1) IN ('.', '!', '?'), true)"
+    return F.expr(f"filter(sequence(0, size({typed}) - 1), i -> i < size({typed}) AND i >= 0 AND {typed}[i] = '<name>' AND {opens})")
+
+
+def _plain(raw: str, typed: str, openers: str) -> Column:
+    """``typed`` with the openers as words."""
+    word = f"lower(rtrim('.!?', {raw}[i]))"
+    return F.expr(f"if(size({openers}) = 0, {typed}, transform({typed}, (t, i) -> if(t = '<name>' AND array_contains({openers}, i), {word}, t)))")
+
+
 def _windows(typed: str, window: int) -> Column:
     """The hash of each run of ``window`` typed tokens; of all tokens where there are fewer, none where there are none."""
     hashes = f"transform(sequence(0, greatest(size({typed}) - {window}, 0)), i -> xxhash64(slice({typed}, cast(i + 1 as int), {window})))"
     return F.expr(f"if(size({typed}) = 0, array(), {hashes})")
 
 
+def _readings(at: str, window: int) -> str:
+    """The hashes of the window at ``at`` that read at least one opener as a word: one, or all mixed readings."""
+    words = f"xxhash64(slice(plain, cast({at} + 1 as int), {window}))"
+    run = f"slice(typed, cast({at} + 1 as int), {window})"
+    mixed = f"transform(sequence(1, {(1 << window) - 1}), m -> xxhash64(transform({run}, (t, k) -> if(shiftright(m, k) % 2 = 1, plain[{at} + k], t))))"
+    several = f"size(filter(openers, o -> o BETWEEN {at} AND {at} + {window - 1})) > 1"
+    return f"if({several}, array_distinct({mixed}), array({words}))"
+
+
 def _tokens(df: DataFrame, key: list, window: int) -> DataFrame:
-    made = df.select(*key, _raw(F.col("text")).alias("raw")).withColumn("typed", _typed("raw"))
-    return made.withColumn("windows", _windows("typed", window))
+    """``key``, raw, typed, openers, plain and windows; ``open_at``: the places of the windows that hold an opener."""
+    made = df.select(*key, _raw(F.col("text")).alias("raw")).withColumn("typed", _typed("raw")).withColumn("openers", _openers("raw", "typed"))
+    made = made.withColumn("plain", _plain("raw", "typed", "openers")).withColumn("windows", _windows("typed", window))
+    last = f"greatest(size(typed) - {window}, 0)"
+    places = f"flatten(transform(openers, o -> sequence(greatest(o - {window - 1}, 0), least(o, {last}))))"
+    return made.withColumn("open_at", F.expr(f"array_distinct({places})"))
+
+
+def _every_reading(window: int) -> Column:
+    """The hashes of all readings, one array for each window."""
+    both = f"array_distinct(concat(array(w), {_readings('i', window)}))"
+    return F.expr(f"transform(windows, (w, i) -> if(array_contains(open_at, i), {both}, array(w)))")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
@@ -68,18 +99,26 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, simila
     sig = F.xxhash64("text").alias("sig")
     item_tokens = _tokens(items, ["item_id", F.xxhash64("text").alias("item_sig")], window)
     item_tokens = item_tokens.dropDuplicates(["item_id", "item_sig"])
+    # a window of the item counts once, whichever of its readings is met: it goes by the one in which openers are words
+    item_tokens = item_tokens.withColumns({"own": _windows("plain", window), "readings": _every_reading(window)})
     wanted = item_tokens.select(
-        "item_id", "item_sig", F.size(F.array_distinct("windows")).alias("item_windows"), F.explode_outer(F.array_distinct("windows")).alias("window")
+        "item_id",
+        "item_sig",
+        F.size(F.array_distinct("own")).alias("item_windows"),
+        F.explode_outer(F.arrays_zip("own", "readings")).alias("one"),
     )
+    wanted = wanted.select("item_id", "item_sig", "item_windows", F.col("one.own").alias("own"), F.explode_outer("one.readings").alias("window")).distinct()
     # outer explodes: an inner one infers a filter, for which Spark computes all that the array is made of once more, and
     # within lambdas once per element; empty arrays leave a null window, which joins with nothing
     # the benchmark is broadcast when it is measured to be small; a larger one is joined by shuffle
     few = items.limit(1).count() == 0 or wanted.count() <= BROADCAST_WINDOWS
 
-    own = _tokens(docs, ["doc_id", sig], window).select("doc_id", "sig", F.explode_outer(F.array_distinct("windows")).alias("window"))
+    further = F.expr(f"flatten(transform(open_at, i -> {_readings('i', window)}))")
+    every = F.array_distinct(F.concat("windows", further))
+    own = _tokens(docs, ["doc_id", sig], window).select("doc_id", "sig", F.explode_outer(every).alias("window"))
     met = own.join(F.broadcast(wanted) if few else wanted, "window")
     # full repeats of a row meet each window as often as there are rows
-    counted = met.groupBy("doc_id", "sig", "item_id", "item_sig", "item_windows").agg(F.count_distinct("window").alias("found"))
+    counted = met.groupBy("doc_id", "sig", "item_id", "item_sig", "item_windows").agg(F.count_distinct("own").alias("found"))
     pairs = stored(counted.filter(F.col("found") >= F.ceil(F.col("item_windows") * similarity - 1e-9)), "held-items")
 
     pair = ["doc_id", "sig", "item_id", "item_sig"]
@@ -88,27 +127,32 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, simila
     texts = docs.select("doc_id", sig, "text").join(held, same).select(*pair, "item_windows", "found", "text").dropDuplicates(pair)
     # a row per window carries its own words, not the whole document's
     runs = F.expr(f"transform(sequence(0, greatest(size(raw) - {window}, 0)), i -> slice(raw, cast(i + 1 as int), {window}))")
-    doc_side = texts.select(*pair, _raw(F.col("text")).alias("raw")).withColumns({"typed": _typed("raw"), "runs": runs})
-    doc_side = doc_side.withColumn("windows", _windows("typed", window)).select(*pair, F.arrays_zip("windows", "runs").alias("both"))
+    doc_side = _tokens(texts, pair, window).withColumns({"runs": runs, "readings": _every_reading(window)})
+    doc_side = doc_side.select(*pair, F.arrays_zip("readings", "runs").alias("both"))
     doc_side = doc_side.select(*pair, F.posexplode_outer("both").alias("at", "one"))
-    doc_side = doc_side.select(*pair, "at", F.col("one.windows").alias("window"), F.col("one.runs").alias("values"))
-    item_side = item_tokens.select("item_id", "item_sig", F.posexplode_outer("windows").alias("item_at", "window"), "raw", "typed")
+    doc_side = doc_side.select(*pair, "at", F.explode_outer("one.readings").alias("window"), F.col("one.runs").alias("values"))
+    item_side = item_tokens.select("item_id", "item_sig", F.posexplode_outer("readings").alias("item_at", "hashes"), "raw", "typed", "plain")
     item_side = item_side.select(
         F.col("item_id").alias("i_id"),
         F.col("item_sig").alias("i_sig"),
         "item_at",
-        F.col("window").alias("i_window"),
+        F.explode_outer("hashes").alias("i_window"),
         F.expr(f"slice(raw, item_at + 1, {window})").alias("item_values"),
         F.expr(f"slice(typed, item_at + 1, {window})").alias("types"),
+        F.expr(f"slice(plain, item_at + 1, {window})").alias("plain_types"),
     )
     on = F.col("item_id").eqNullSafe(F.col("i_id")) & (F.col("item_sig") == F.col("i_sig")) & (F.col("window") == F.col("i_window"))
     aligned = doc_side.join(F.broadcast(item_side) if few else item_side, on)
+    aligned = aligned.dropDuplicates([*pair, "at", "item_at"])
     # an item's window is compared at the place on the diagonal with the most windows
     diagonal = Window.partitionBy(*pair, F.col("at") - F.col("item_at"))
     best = Window.partitionBy(*pair, "item_at").orderBy(F.desc("on_diagonal"), "at")
     aligned = aligned.withColumn("on_diagonal", F.count("*").over(diagonal)).withColumn("place", F.row_number().over(best)).filter("place = 1")
-    slots = aligned.select(*pair, "item_at", F.posexplode(F.arrays_zip("types", "item_values", "values")).alias("k", "slot"))
+    slots = aligned.select(*pair, "item_at", F.posexplode(F.arrays_zip("types", "plain_types", "item_values", "values")).alias("k", "slot"))
     slots = slots.filter(F.col("slot.types").isin("<num>", "<unit>", "<name>"))
+    # an opener is a slot where the document has another word
+    word = F.expr("rtrim('.!?', lower(slot.values))")
+    slots = slots.filter((F.col("slot.types") == F.col("slot.plain_types")) | (F.col("slot.plain_types") != word))
     values = slots.select(
         *pair,
         F.expr("rtrim('.!?', lower(slot.item_values))").alias("item_value"),

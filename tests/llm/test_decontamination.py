@@ -33,6 +33,25 @@ def test_slots_that_disagree_are_no_copy(spark, make_docs):
     assert found(docs, items) == [(1, 1)]
 
 
+def test_names_that_open_sentences(spark, make_docs, prose):
+    item = "Alice has 12 apples. Bob has 7 pears. Carol has 3 plums. How many do they have in all?"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = item.replace("Alice", "Maria").replace("Bob", "Omar").replace("Carol", "Dana")
+    inside = "We know that Maria has 12 apples. Bob has 7 pears; Dana has 3 plums. how many do they have in all?"
+    docs = make_docs((1, other), (2, f"{prose(1)}. {other} {prose(2)}"), (3, item.lower()), (4, inside), (5, item), (6, prose(6)))
+    # 15 windows, 12 needed; in 4 two names stand within sentences and a word opens without a capital
+    assert found(docs, items) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1)]
+    made = {row.doc_id: row for row in contaminated(docs, items).collect()}
+    assert made[1].item_windows == made[1].found == made[3].found == made[5].found and made[1].consistent == 1
+
+
+def test_openers_that_disagree_are_no_copy(spark, make_docs):
+    item = "Ann pays now. Ann pays now. Ann pays now. Ann pays now. Ann pays now."
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = make_docs((1, item.replace("Ann", "Eve")), (2, "Bob pays now. Cas pays now. Dan pays now. Eve pays now. Fay pays now."))
+    assert found(docs, items) == [(1, 1)]
+
+
 def test_units_after_numbers(spark, make_docs):
     items = spark.createDataFrame([(1, "a rope of 5 meters weighs as much as 3 kg of wool or hay")], "item_id long, text string")
     docs = make_docs((1, "a rope of 9 feet weighs as much as 4 lbs of wool or hay"), (2, "a rope of 9 lengths weighs as much as 4 bags of wool or hay"))
