@@ -1,0 +1,123 @@
+import re
+from collections import Counter
+from itertools import permutations
+
+import pytest
+
+from postweave.llm import filter_audit as fa
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def failed(text, doc_id, rows):
+    text = text or ""
+    words = WORDS.findall(text)
+    return {
+        "A": len(words) < 50,
+        "B": 100 * len(set(words)) < 65 * len(words),
+        "C": 100 * len(re.findall("[A-Z]", text)) > 5 * len(text),
+        "D": bool(re.search(r"[#$%&*|]", text)),
+        "E": doc_id is not None and any(other is not None and other < doc_id and (t or "") == text for other, t, _ in rows),
+    }
+
+
+def brute(rows, labels):
+    """{(part, order, step): counts} by applying every order to every row."""
+    made, own = Counter(), [(source or "", {f for f, bad in failed(text, doc_id, rows).items() if bad}, doc_id) for doc_id, text, source in rows]
+    good = {i for i, quality, _ in labels if quality == 1}
+    toxic = {i for i, _, bad in labels if bad == 1}
+    names = "kept removed redundant unique_fails good_lost toxic_lost".split()
+    result, shapley = {}, Counter()
+    for order in map("".join, permutations("ABCDE")):
+        for part in {part for part, _, _ in own}:
+            left = [(bad, i) for p, bad, i in own if p == part]
+            gone = []
+            for step, f in enumerate(order, 1):
+                here = [(bad, i) for bad, i in left if f in bad]
+                redundant = sum(f in bad for bad, _ in gone)
+                left = [(bad, i) for bad, i in left if f not in bad]
+                gone += here
+                values = (
+                    len(left),
+                    len(here),
+                    redundant,
+                    sum(bad == {f} for p, bad, _ in own if p == part),
+                    sum(i in good for _, i in here),
+                    sum(i in toxic for _, i in here),
+                )
+                result[part, order, step] = dict(zip(names, values))
+                shapley[part, f] += len(here)
+    for (part, order, step), values in result.items():
+        values["shapley"] = shapley[part, order[step - 1]]
+    return result
+
+
+def as_dict(df):
+    return {(r.part, r.filter_order, r.step): {k: v for k, v in r.asDict().items() if k not in ("part", "filter_order", "step")} for r in df.collect()}
+
+
+@pytest.fixture(scope="module")
+def rows(prose):
+    long = prose(3, 30_000)
+    made = [(k, prose(k, 30 + 7 * k), ["a", "b", None][k % 3]) for k in range(12)]
+    made += [(20 + k, prose(5, 65), "a") for k in range(9)]  # copies of document 5 under larger ids
+    made += [(40, "SHOUT " * 60, "b"), (41, "a b " * 40, "b"), (42, prose(9, 60) + " #tag", None), (43, long, ""), (44, long, "a")]
+    made += [(50, None, "a"), (51, "", None), (52, " \t\n", "b"), (53, "\x0b", "b"), (54, "é" * 3 + " x", "b")]
+    made += [(None, prose(5, 65), "a"), (None, prose(5, 65), "a"), (3, prose(3, 51), "a"), (3, prose(3, 51), "a"), (2, prose(5, 65), "c")]
+    return made
+
+
+LABELS = [(20, 1, 0), (21, 0, 1), (40, 1, 1), (41, None, 1), (44, 1, None), (44, 0, 1), (3, 1, 0), (None, 1, 1), (50, 0, 0)]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return docs, spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+
+
+def test_every_order_against_brute_force(tables, rows, crowded):
+    docs, labels = tables
+    expected = brute(rows, LABELS)
+    assert len(expected) == 600 * len({source or "" for *_, source in rows})
+    assert as_dict(fa.audit(crowded(docs.repartition(3)), crowded(labels))) == expected
+
+
+def test_words_and_bits(tables, rows):
+    docs, _ = tables
+    bits = {(r.doc_id, r.part, r.hash): r.bits for r in fa.own_failures(docs).collect()}
+    expected = Counter()
+    for doc_id, text, source in rows:
+        bad = failed(text, doc_id, rows)
+        expected[doc_id, source or "", sum(1 << k for k, f in enumerate("ABCD") if bad[f])] += 1
+    assert Counter((i, p, b) for (i, p, _), b in bits.items()).keys() == expected.keys()
+
+
+def test_hot_copies_are_dealt_and_large_sets_are_joined_by_shuffle(spark, prose, monkeypatch):
+    text = prose(1, 60)
+    rows = [(k, text if k % 2 else prose(k, 60), "s") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    failures = fa.own_failures(docs).cache()
+    expected = {k for k, t, _ in rows if t == text} - {1}
+    assert {r.doc_id for r in fa.later_copies(docs, failures).collect()} == expected
+    monkeypatch.setattr(fa, "BROADCAST_HASHES", -1)
+    monkeypatch.setattr(fa, "HOT_SHARE", 10)
+    assert {r.doc_id for r in fa.later_copies(docs, failures).collect()} == expected
+    counted = {r.bits: r.documents for r in fa.combinations(docs, labels).collect()}
+    assert counted == {0: 201, 16: 199}
+
+
+def test_equal_hashes_of_other_texts_are_no_copies(spark, prose, monkeypatch):
+    """The text itself decides, not its hash."""
+    docs = spark.createDataFrame([(k, prose(k % 5, 60), "s") for k in range(10)], "doc_id long, text string, source string")
+    F = fa.F
+    monkeypatch.setattr(fa, "_hashes", lambda: [F.lit(1).cast("long").alias("hash"), F.lit(1).cast("long").alias("hash2")])
+    assert sorted(r.doc_id for r in fa.later_copies(docs, fa.own_failures(docs)).collect()) == [5, 6, 7, 8, 9]
+
+
+def test_empty_tables(tables):
+    docs, labels = tables
+    assert fa.audit(docs.filter("false"), labels).count() == 0
+    rows = fa.audit(docs.filter("doc_id = 40"), labels.filter("false")).collect()
+    assert len(rows) == 600 and {r.good_lost + r.toxic_lost for r in rows} == {0}
