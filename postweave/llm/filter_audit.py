@@ -112,14 +112,13 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     words passes B. Rows with a null doc_id fail E never and make no other fail it, and have no label. A document with
     several labels is good, or toxic, if one of them says so. An empty table gives no rows; other columns are ignored.
     """
-    steps = [
-        (order, at + 1, 1 << FILTERS.index(own), sum(1 << FILTERS.index(f) for f in order[:at]))
-        for order in map("".join, permutations(FILTERS))
-        for at, own in enumerate(order)
-    ]
-    listed = ", ".join(f"named_struct('filter_order', '{o}', 'step', {s}, 'own', {f}, 'before', {b})" for o, s, f, b in steps)
+    orders = " ".join(map("".join, permutations(FILTERS)))
+    bit = [f"if(instr(left(filter_order, step - 1), '{f}') > 0, {1 << place}, 0)" for place, f in enumerate(FILTERS)]
     counted = combinations(docs, labels)
-    placed = counted.select("*", F.expr(f"inline(array({listed}))"))
+    placed = counted.withColumn("filter_order", F.explode(F.split(F.lit(orders), " ")))
+    placed = placed.withColumn("step", F.explode(F.expr("sequence(1, 5)")))
+    own = F.expr(f"shiftleft(1, instr('{FILTERS}', substring(filter_order, step, 1)) - 1)")
+    placed = placed.withColumns({"own": own, "before": F.expr(" + ".join(bit))})
     fails, earlier = "(bits & own) <> 0", "(bits & before) <> 0"
     here = f"{fails} AND NOT {earlier}"
 
