@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postweave.llm import decontamination, embedding_dedup, filter_audit, line_dedup, lm_scoring, packing, quality, sharding, simhash, substring_dedup, warc
+from postweave.llm import chat_format, decontamination, embedding_dedup, filter_audit, line_dedup, lm_scoring, packing, quality, sharding, simhash, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op2_capture_histories": warc.SQL, "op6_interleave": sharding.SQL, "op13_existential_self_join": filter_audit.SQL}
+SQL: dict[str, str] = {
+    "op2_capture_histories": warc.SQL,
+    "op6_interleave": sharding.SQL,
+    "op11_turn_machine": chat_format.SQL,
+    "op13_existential_self_join": filter_audit.SQL,
+}
 
 
 def _query(function: Callable[[SparkSession, str], DataFrame]):
@@ -78,6 +83,11 @@ def op10_repeated_windows(spark, sf_dir):
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_turn_machine(spark, sf_dir):
+    return chat_format.digest(_table(spark, sf_dir, "conversations"))
+
+
 @_query
 def op13_existential_self_join(spark, sf_dir):
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
