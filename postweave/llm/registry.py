@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postweave.llm import chat_format, decontamination, embedding_dedup, filter_audit, line_dedup, lm_scoring, packing, quality, sharding, simhash, substring_dedup, warc
+from postweave.llm import chat_format, decontamination, embedding_dedup, filter_audit, line_dedup, lm_scoring, packing, quality, sharding, simhash, substring_dedup, vector_codes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {
     "op2_capture_histories": warc.SQL,
     "op6_interleave": sharding.SQL,
     "op11_turn_machine": chat_format.SQL,
+    "op12_resident_lloyd": vector_codes.SQL,
     "op13_existential_self_join": filter_audit.SQL,
 }
 
@@ -88,6 +89,11 @@ def op11_turn_machine(spark, sf_dir):
     return chat_format.digest(_table(spark, sf_dir, "conversations"))
 
 
+@_query
+def op12_resident_lloyd(spark, sf_dir):
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op13_existential_self_join(spark, sf_dir):
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
