@@ -6,8 +6,8 @@ what it returns. All stages but the last return the columns of ``documents``.
 1. quality: documents that the factorisation machine scores below 0.5 go.
 2. line deduplication: lines of recurring templates are dropped; the document with the smallest doc_id keeps them.
    A document of which every line is dropped stays, with an empty text.
-3. near-duplicates: of the documents whose five-word shingles have a Jaccard similarity of 0.8 or more, directly or
-   through others, the smallest doc_id stays.
+3. near-duplicates: of the documents whose SimHash fingerprints (three-word shingles) differ in at most three bits,
+   directly or through others, the smallest doc_id stays.
 4. decontamination: documents that hold a benchmark item go.
 5. packing: the rest is cut into pieces of power-of-two lengths.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postweave.llm import decontamination, line_dedup, packing, quality, registry, shingle_dedup
+from postweave.llm import decontamination, line_dedup, packing, quality, registry, simhash
 from postweave.llm.stored import stored
 
 
@@ -29,7 +29,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingle_dedup.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
