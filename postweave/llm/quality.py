@@ -21,6 +21,7 @@ from postweave.llm.words import groups, lower_ascii, word_hashes, word_spans
 WORD_INPUTS = 1 << 16
 FACTORS = 8
 TRAINING_ROWS = 20_000
+BATCH_ROWS = 1024
 _BASE = 0x9E3779B97F4A7C15
 _KINDS = np.zeros(256, dtype=np.uint8)  # 1 letters and bytes beyond ASCII, 2 digits, 3 space, 4 line ends, 0 the rest
 _KINDS[65:91] = _KINDS[97:123] = _KINDS[128:] = 1
@@ -254,28 +255,28 @@ def _joined(table: pa.Table, name: str, kind: str) -> tuple[np.ndarray, np.ndarr
     return numbers, np.diff(offsets) // np.dtype(kind).itemsize
 
 
-def score(docs: DataFrame, machine: Machine | None, *keep: str, out: str = "score") -> DataFrame:
-    """``doc_id``, the columns named in ``keep`` and ``out``, the probability of quality 1; 0.5 without a machine.
+def _scores(machine: Machine | None, texts: pa.Array, chars: pa.Array) -> np.ndarray:
+    """The probability of quality 1 of each of the binary ``texts``; 0.5 without a machine."""
+    if machine is None:
+        return np.full(len(texts), 0.5)
+    parts = [machine.score(part) for part in inputs(texts, chars)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
+    """``doc_id`` and ``score``, the probability of quality 1; 0.5 without a machine.
 
     The whole text counts; a null text is empty, a null n_chars an input of its own.
     """
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    schema = docs.select("doc_id", *keep).schema.add(out, "double")
-    columns = [field.name for field in schema]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
         for batch in batches:
-            kept = [batch.column(i) for i in range(len(keep) + 1)]
-            if model is None:
-                scores = np.full(batch.num_rows, 0.5)
-            else:
-                parts = [model.score(part) for part in inputs(batch.column(len(keep) + 1), batch.column(len(keep) + 2))]
-                scores = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(kept + [pa.array(scores, pa.float64())], columns)
+            scores = _scores(sent.value, batch.column(1), batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    extra = [F.col("text").cast("binary").alias("scored text"), F.col("n_chars").cast("long").alias("scored chars")]
-    return docs.select("doc_id", *keep, *extra).mapInArrow(made, schema)
+    own = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
+    return own.mapInArrow(made, docs.select("doc_id").schema.add("score", "double"))
 
 
 def assess(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
@@ -294,7 +295,21 @@ def assess(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """The rows of ``docs`` that score 0.5 or more, all columns kept."""
-    others = [column for column in docs.columns if column != "doc_id"]
-    scored = score(docs, fit(docs, labels, rows), *others, out="score of quality")
-    return scored.filter("`score of quality` >= 0.5").select(*docs.columns)
+    """The rows of ``docs`` that score 0.5 or more, all columns kept.
+
+    A row crosses to Python once, its text as the bytes that are scored; rows that go do not come back.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
+    names = docs.columns
+    text, chars = names.index("text"), names.index("n_chars")
+    own = docs.select(*[F.col(f"`{name}`").cast("binary").alias(name) if name == "text" else F.col(f"`{name}`") for name in names])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(first, BATCH_ROWS)
+                good = _scores(sent.value, part.column(text), part.column(chars).cast(pa.int64())) >= 0.5
+                yield part.filter(pa.array(good))
+
+    kept = own.mapInArrow(made, own.schema)
+    return kept.select(*[F.col("text").cast("string").alias("text") if name == "text" else F.col(f"`{name}`") for name in names])

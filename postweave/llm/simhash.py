@@ -191,6 +191,15 @@ def links(distinct: DataFrame, limit: int = BUCKET) -> DataFrame:
     return found.filter("mask = -1").select("a", "b").unionByName(close.select("a", "b"))
 
 
+def _rooted(docs: DataFrame, words: int, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, the columns named in ``keep`` and fp of each row; fp, first and root of each fingerprint)."""
+    own = stored(fingerprints(docs, words, *keep), "simhash")
+    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    found = connected(links(nodes.select("fp")), "simhash-links")
+    found = found.select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    return own, nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, words: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 lower-case hex digits), component_id.
 
@@ -198,11 +207,7 @@ def components(docs: DataFrame, words: int = 3) -> DataFrame:
     any other but never name a component unless all its ids are null. Null and empty texts have the fingerprint
     zero. Repeated rows repeat in the result; an empty table gives no rows; other columns are ignored.
     """
-    own = stored(fingerprints(docs, words), "simhash")
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = connected(links(nodes.select("fp")), "simhash-links")
-    found = found.select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    own, rooted = _rooted(docs, words)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = rooted.join(named, "root").select("fp", "component_id")
     return own.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -211,10 +216,19 @@ def components(docs: DataFrame, words: int = 3) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays, all columns kept.
 
-    Of several rows with that doc_id one stays. Rows with a null doc_id cannot be named and all stay.
+    Rows that share a doc_id but not their text are documents of their own, each in its component. Where several rows of
+    a component have its smallest doc_id, the one of least text hash stays, of those the one of least hash over all
+    columns; of full repeats one stays. Rows with a null doc_id cannot be named and all stay.
     """
-    marked = components(docs, words).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(marked, "doc_id", "left_semi").select(*docs.columns)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    once = kept.withColumn("place in doc_id", place).filter("`place in doc_id` = 1").drop("place in doc_id")
+    columns = [F.col(f"`{name}`") for name in docs.columns]
+    keys = [F.xxhash64("text").alias("sig"), F.xxhash64(*columns).alias("row"), F.xxhash64(F.lit(1), *columns).alias("row2")]
+    own, rooted = _rooted(docs.select("doc_id", *keys, "text"), words, "sig", "row", "row2")
+    # the least row of a fingerprint first: copies are many, fingerprints of a component few
+    least = F.min(F.struct("doc_id", "sig", "row", "row2")).alias("least")
+    best = own.filter("doc_id is not null").groupBy("fp").agg(least).join(rooted, "fp").groupBy("root").agg(F.min("least").alias("least"))
+    best = best.select(F.col("least.row").alias("kept row"), F.col("least.row2").alias("kept row2"))
+    named = docs.filter("doc_id is not null").withColumns({"kept row": F.xxhash64(*columns), "kept row2": F.xxhash64(F.lit(1), *columns)})
+    kept = named.join(best, ["kept row", "kept row2"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("kept row", "kept row2").orderBy("doc_id"))
+    once = kept.withColumn("kept place", place).filter("`kept place` = 1").select(*columns)
     return once.unionByName(docs.filter("doc_id is null"))

@@ -1,6 +1,11 @@
+import random
+from collections import Counter
+from itertools import product
+
 import pytest
+import regex
 
-from postweave.llm.decontamination import contaminated, drop_contaminated
+from postweave.llm.decontamination import UNITS, contaminated, drop_contaminated
 
 QUESTION = "Yesterday Alice bought 12 apples at 3.50 dollars each while Bob bought 7 pears , so how much money did Alice spend in all on apples ?"
 
@@ -69,12 +74,125 @@ def test_odd_rows(make_docs, crowded, items, prose):
     docs = [(1, None), (2, ""), (3, "!!! ..."), (4, prose(4, 30_000) + " . " + QUESTION), (5, QUESTION), (5, QUESTION), (None, QUESTION), (6, "tiny item here"), (7, "a tiny item here")]
     table = crowded(make_docs(*docs))
     assert found(table, items) == [(4, 1), (5, 1), (6, 5), (None, 1)]
-    assert sorted((row.doc_id for row in drop_contaminated(table, items).collect()), key=repr) == [1, 2, 3, 7, None]
+    assert sorted((row.doc_id for row in drop_contaminated(table, items).collect()), key=repr) == [1, 2, 3, 7]
     assert drop_contaminated(table, items).columns == table.columns
     assert contaminated(table.filter("false"), items).count() == 0
     assert contaminated(table, items.filter("false")).count() == 0
 
 
+def test_short_items_stand_as_sentences(spark, make_docs, prose):
+    items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "Paris"), (3, "Add 12 and 7.")], "item_id long, text string")
+    docs = make_docs(
+        (1, f"{prose(1)}. who wrote hamlet? {prose(2)}"),
+        (2, f"{prose(1)} who wrote hamlet in {prose(2)}"),
+        (3, "The capital? Paris. The river? The Seine."),
+        (4, "In Paris it rains. Paris in spring."),
+        (5, "Add 12 and 7."),
+        (6, "Add 13 and 8."),
+        (7, "Paris"),
+    )
+    assert found(docs, items) == [(1, 1), (3, 2), (5, 3), (7, 2)]
+
+
+def test_rows_that_share_an_id_go_by_their_text(make_docs, items, prose):
+    docs = make_docs((1, QUESTION), (1, prose(1)), (None, QUESTION), (None, prose(2)), (2, None), (None, None))
+    kept = sorted((row.doc_id or 0, row.text or "") for row in drop_contaminated(docs, items).collect())
+    assert kept == sorted([(1, prose(1)), (0, prose(2)), (2, ""), (0, "")])
+
+
+TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’.,:/-][\p{L}\p{M}\p{N}]+)*[.!?]?")
+
+
+def typed_tokens(text):
+    raw = TOKEN.findall(text or "")
+    made = []
+    for k, token in enumerate(raw):
+        word = token.rstrip(".!?").lower()
+        if "0" <= token[0] <= "9":
+            kind = "<num>"
+        elif k and "0" <= raw[k - 1][0] <= "9" and word in UNITS:
+            kind = "<unit>"
+        elif not k or raw[k - 1][-1] in ".!?":
+            kind = "<open>"
+        elif token[0] != token[0].lower() and len(word) > 1 and token[1:] == token[1:].lower():
+            kind = "<name>"
+        else:
+            kind = word
+        made.append((kind, word))
+    return made
+
+
+def readings(window):
+    """What a document may show for a window of an item; numbers and units are themselves only."""
+    own = tuple(kind for kind, _ in window)
+    made = set(product(*[("<open>", "<name>", word) if kind == "<open>" else (kind,) for kind, word in window]))
+    return own, made | {(*own[:k], "<open>", *own[k + 1 :]) for k, kind in enumerate(own) if kind not in ("<num>", "<unit>")}
+
+
+def brute(text, item):
+    """(windows, those found, slots, share that agrees) of an item of five tokens or more, window by window."""
+    doc, own = typed_tokens(text), typed_tokens(item)
+    runs = {}
+    for at in range(len(doc) - 4):
+        runs.setdefault(tuple(kind for kind, _ in doc[at : at + 5]), []).append(at)
+    met, windows = [], {}
+    for at in range(len(own) - 4):
+        window, shown = readings(own[at : at + 5])
+        places = [place for reading in shown for place in runs.get(reading, ())]
+        windows[window] = windows.get(window, False) or bool(places)
+        met += [(place, at) for place in places]
+    on = Counter(place - at for place, at in met)
+    slots = set()
+    for at in {at for _, at in met}:
+        place = min((place for place, own_at in met if own_at == at), key=lambda p: (-on[p - at], p))
+        slots |= {(*own[at + k], doc[place + k][1], at + k) for k in range(5)}
+    slots = [(a, b) for kind, a, b, _ in slots if kind in ("<num>", "<unit>", "<name>") or a != b]
+    tally = Counter(slots)
+    kept = sum(max(n for (a, _), n in tally.items() if a == value) for value in {a for a, _ in slots})
+    return len(windows), sum(windows.values()), len(slots), kept / len(slots) if slots else 1.0
+
+
+def test_against_brute_force_over_typed_windows(spark, make_docs):
+    draw = random.Random(5)
+    words = "the of a ran Bob Ann Eve 12 7 3.5 km kg said. Then. went? up DOWN it's".split()
+    items = [" ".join(draw.choice(words) for _ in range(draw.randint(5, 14))) for _ in range(25)]
+    docs = []
+    for k in range(150):
+        base = draw.choice(items).split()
+        for _ in range(draw.randint(0, 3)):
+            base[draw.randrange(len(base))] = draw.choice(words)
+        before, after = ([draw.choice(words) for _ in range(draw.randint(0, 6))] for _ in range(2))
+        docs.append((k, " ".join(before + base + after)))
+    expected = set()
+    for doc_id, text in docs:
+        for item_id, item in enumerate(items):
+            windows, hits, slots, share = brute(text, item)
+            if windows and hits >= -(-windows * 4 // 5) and share >= 0.8:
+                expected.add((doc_id, item_id, windows, hits, slots, round(share, 6)))
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {tuple(row) for row in contaminated(make_docs(*docs), table).collect()} == expected and len(expected) > 40
+
+
+def test_the_work_is_linear_in_a_text(spark, make_docs, prose, items):
+    """Long texts cost no more a word than short ones."""
+    import time
+
+    words = prose(3, 160_000).replace(" b", ". B").split()
+
+    def seconds(size):
+        docs = make_docs(*[(k, " ".join(words[k * size : (k + 1) * size])) for k in range(160_000 // size)], parts=1).cache()
+        docs.count()
+        times = []
+        for _ in range(2):
+            start = time.time()
+            contaminated(docs, items).collect()
+            times.append(time.time() - start)
+        return min(times)
+
+    seconds(200)
+    assert seconds(20_000) < 2 * seconds(200) + 1
+
+
 def test_no_python_in_the_plan(make_docs, items):
     plan = contaminated(make_docs((1, "x")), items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan

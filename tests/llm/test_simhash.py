@@ -74,6 +74,16 @@ def test_keep_one(make_docs, prose):
     assert sorted((row.doc_id for row in kept.collect()), key=repr) == [1, 3, 5, None, None]
 
 
+def test_rows_that_share_an_id_but_not_their_text(make_docs, prose):
+    docs = [(8, prose(1)), (8, prose(2)), (9, prose(1)), (8, prose(1)), (10, prose(2)), (3, prose(4)), (3, prose(4) + " more"), (12, prose(5))]
+    results = set()
+    for parts in (1, 2, 3, 4):
+        kept = simhash.keep_one(make_docs(*docs, parts=parts)).collect()
+        results.add(tuple(sorted((row.doc_id, row.text) for row in kept)))
+    assert len(results) == 1
+    assert [row[0] for row in results.pop()] == [3, 8, 8, 12]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(k, k + 1) for k in range(60)] + [(1000, k) for k in range(1001, 1200)] + [(5000, 5000), (None, 3), (7, 6)]
     made = components.connected(spark.createDataFrame(chain, "a long, b long").withColumn("c", F.lit(1)))
