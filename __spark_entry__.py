@@ -44,7 +44,6 @@ except ModuleNotFoundError as missing:
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 STOPWORDS = list(oracle_queries.STOPWORDS)
-ITERATIONS = oracle_queries.ITERATIONS
 
 _FROM_ORDERS = {"screen_name", "created_at", "is_retweet", "favorite_count", "followers_count"}
 _FROM_CUSTOMERS = {"screen_name", "followers_count"}
@@ -641,7 +640,7 @@ def q_union_series(spark, sf_dir):
 
 def _topic_model(spark, sf_dir):
     view = posts_view(spark, sf_dir, "created_at", "text")
-    return topic_plans.topic_model(view, k=4, iterations=ITERATIONS, tolerance=0)
+    return topic_plans.topic_model(view, k=4)
 
 
 @_query
@@ -793,7 +792,7 @@ def q_topic_buckets(spark, sf_dir):
 def q_topic_terms_job(spark, sf_dir):
     view = posts_view(spark, sf_dir, "created_at", "text")
     job = topic_plans.topic_terms_job(
-        view, top=5, k=3, iterations=ITERATIONS, seed=7, tolerance=0, n=1, division="biweek", stopwords=STOPWORDS
+        view, top=5, k=3, seed=7, n=1, division="biweek", stopwords=STOPWORDS
     )
     return rounded(job, "beta")
 
@@ -802,7 +801,7 @@ def q_topic_terms_job(spark, sf_dir):
 def q_topic_documents_job(spark, sf_dir):
     view = posts_view(spark, sf_dir, "created_at", "text")
     job = topic_plans.topic_documents_job(
-        view, k=3, iterations=ITERATIONS, seed=7, tolerance=0, n=1, division="biweek", stopwords=STOPWORDS
+        view, k=3, seed=7, n=1, division="biweek", stopwords=STOPWORDS
     )
     return rounded(job, "gamma")
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 # Hand-made lookups: the documents' sentiment words and a few frequent ones. Valid in both engines.
 STOPWORDS = ("the", "of", "and", "to", "a", "in", "is")
-ITERATIONS = 5
+TOLERANCE = 1e-3  # the library's own
+MOST_ITERATIONS = 60
 
 
 def _values(rows: str) -> str:
@@ -214,38 +215,54 @@ def _z(value: str) -> str:
 
 
 def _topics(cells: str, k: int, seed: int) -> tuple[str, ...]:
-    """Unrolled expectation maximisation; tables ``held`` (bucket, topic, d), ``totals``, ``beta``."""
+    """Unrolled expectation maximisation; tables ``held`` (bucket, topic, d), ``totals``, ``beta``.
 
-    def weight(text: str) -> str:
-        digest = f"md5('{seed}.' || (topic - 1) // 8 || '|' || {text})"
-        bits = f"substr({digest}, CAST(4 * ((topic - 1) % 8) + 1 AS INTEGER), 4)"
-        return f"(CAST('0x' || {bits} AS BIGINT) + 1.0::DOUBLE)"
+    An iteration that moves less than ``TOLERANCE`` is the last: the tables of later ones are empty.
+    """
+    topics = range(1, k + 1)
 
+    def weight(topic: int, text: str) -> str:
+        digest = f"md5('{seed}.{(topic - 1) // 8}|' || {text})"
+        return f"(CAST('0x' || substr({digest}, {4 * ((topic - 1) % 8) + 1}, 4) AS BIGINT) + 1.0::DOUBLE)"
+
+    def divided(weights: list[str], source: str) -> str:
+        total = " + ".join(f"w{t}" for t in topics)
+        shares = ", ".join(f"n * w{t} / ({total}) AS p{t}" for t in topics)
+        named = ", ".join(f"{w} AS w{t}" for t, w in zip(topics, weights))
+        return f"SELECT bucket, ngram, n, {shares} FROM (SELECT bucket, ngram, n, {named} FROM {source})"
+
+    sums = ", ".join(f"sum(p{t}) AS p{t}" for t in topics)
+    cell = "bucket || '|' || ngram"
     steps = [
-        f"""cells AS MATERIALIZED ({cells})""",
-        f"""e0 AS MATERIALIZED (
-  SELECT bucket, ngram, n, topic, n * w / sum(w) OVER (PARTITION BY bucket, ngram) AS p FROM (
-    SELECT bucket, ngram, n, topic, {weight("bucket")} * {weight("bucket || '|' || ngram")} AS w
-    FROM cells, (SELECT unnest(range(1, {k + 1})) AS topic)))""",
-        "size AS MATERIALIZED (SELECT count(DISTINCT ngram) AS v FROM cells)",
+        f"cells AS MATERIALIZED (SELECT * FROM ({cells}) WHERE bucket IS NOT NULL AND ngram IS NOT NULL)",
+        "size AS MATERIALIZED (SELECT 0.1::DOUBLE * count(DISTINCT ngram) AS v FROM cells)",
+        f"e0 AS MATERIALIZED ({divided([f'{weight(t, "bucket")} * {weight(t, cell)}' for t in topics], 'cells')})",
+        f"h0 AS MATERIALIZED (SELECT bucket, {sums} FROM e0 GROUP BY bucket)",
+        f"t0 AS MATERIALIZED (SELECT ngram, {sums} FROM e0 GROUP BY ngram)",
+        "m0 AS MATERIALIZED (SELECT 1.0::DOUBLE AS moved)",
     ]
-    for i in range(ITERATIONS):
+    for i in range(MOST_ITERATIONS):
+        moved = " + ".join(f"abs(a.p{t} - b.p{t})" for t in topics)
+        whole = " + ".join(f"a.p{t}" for t in topics)
+        weights = [f"(t.p{t} + 0.1::DOUBLE) * (h.p{t} + {50 / k!r}::DOUBLE) / (k.p{t} + v)" for t in topics]
         steps += [
-            f"h{i} AS MATERIALIZED (SELECT bucket, topic, sum(p) AS d FROM e{i} GROUP BY ALL)",
-            f"k{i} AS MATERIALIZED (SELECT topic, sum(d) AS s FROM h{i} GROUP BY ALL)",
-            f"t{i} AS MATERIALIZED (SELECT ngram, topic, sum(p) AS t FROM e{i} GROUP BY ALL)",
-            f"""e{i + 1} AS MATERIALIZED (
-  SELECT bucket, ngram, n, topic, n * w / sum(w) OVER (PARTITION BY bucket, ngram) AS p FROM (
-    SELECT e.bucket, e.ngram, e.n, e.topic, (t.t + 0.1::DOUBLE) * (h.d + {50 / k!r}::DOUBLE) / (k.s + 0.1::DOUBLE * v) AS w
-    FROM e{i} e JOIN h{i} h ON h.bucket = e.bucket AND h.topic = e.topic JOIN k{i} k ON k.topic = e.topic
-    JOIN t{i} t ON t.ngram = e.ngram AND t.topic = e.topic CROSS JOIN size))""",
+            f"k{i} AS MATERIALIZED (SELECT {sums} FROM h{i})",
+            f"e{i + 1} AS MATERIALIZED ("
+            + divided(weights, f"(SELECT bucket, ngram, n, t, h, k, v FROM cells JOIN t{i} t USING (ngram) JOIN h{i} h USING (bucket), k{i} k, size, m{i} m WHERE m.moved >= {TOLERANCE!r})")
+            + ")",
+            f"h{i + 1} AS MATERIALIZED (SELECT bucket, {sums} FROM e{i + 1} GROUP BY bucket)",
+            f"t{i + 1} AS MATERIALIZED (SELECT ngram, {sums} FROM e{i + 1} GROUP BY ngram)",
+            f"m{i + 1} AS MATERIALIZED (SELECT sum({moved}) / (2 * sum({whole})) AS moved FROM h{i + 1} a JOIN h{i} b USING (bucket))",
         ]
+    last = [f"SELECT h.* FROM h{i} h, m{i} WHERE moved < {TOLERANCE!r}" for i in range(1, MOST_ITERATIONS + 1)]
+    listed = [f"SELECT t.* FROM t{i} t, m{i} WHERE moved < {TOLERANCE!r}" for i in range(1, MOST_ITERATIONS + 1)]
+    long = ", ".join(f"({t}, p{t})" for t in topics)
     return (
         *steps,
-        f"held AS (SELECT bucket, topic, sum(p) AS d FROM e{ITERATIONS} GROUP BY ALL)",
+        f"held AS MATERIALIZED (SELECT bucket, topic, d FROM ({' UNION ALL '.join(last)}), LATERAL (VALUES {long}) x(topic, d))",
         "totals AS (SELECT topic, sum(d) AS s FROM held GROUP BY ALL)",
-        f"beta AS (SELECT ngram AS term, topic, (sum(p) + 0.1::DOUBLE) / (any_value(s) + 0.1::DOUBLE * any_value(v)) AS beta "
-        f"FROM e{ITERATIONS} JOIN totals USING (topic) CROSS JOIN size GROUP BY ALL)",
+        f"beta AS (SELECT ngram AS term, topic, (p + 0.1::DOUBLE) / (s + v) AS beta, round(p, 6) AS expected "
+        f"FROM (SELECT ngram, topic, p FROM ({' UNION ALL '.join(listed)}), LATERAL (VALUES {long}) x(topic, p)) JOIN totals USING (topic) CROSS JOIN size)",
     )
 
 
@@ -514,7 +531,7 @@ def build() -> dict[str, str]:
         ),
         "topic_terms": _posts(
             *month_model,
-            f"t AS ({_top('beta', 25, 'topic', 'beta')})",
+            f"t AS ({_top('beta', 25, 'topic', 'expected')})",
             final=f"SELECT {_TOPIC}, term, round(beta, 6) AS beta FROM t",
         ),
         "topic_documents": _posts(*month_model, final=_gamma(4)),
@@ -613,7 +630,7 @@ def build() -> dict[str, str]:
         ),
         "topic_terms_job": _posts(
             *biweek_model,
-            f"t AS ({_top('beta', 5, 'topic', 'beta')})",
+            f"t AS ({_top('beta', 5, 'topic', 'expected')})",
             final=f"SELECT {_TOPIC}, term, round(beta, 6) AS beta FROM t",
         ),
         "topic_documents_job": _posts(*biweek_model, final=_gamma(3)),

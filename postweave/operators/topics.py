@@ -4,9 +4,10 @@ The model is latent Dirichlet allocation, fitted by expectation maximisation of
 (Asuncion, Welling, Smyth, Teh: "On smoothing and inference for topic models", 2009). Spark ML's LDA
 needs each document as one vector and holds a matrix of the whole vocabulary on the driver. Here a
 document is a time bucket, which may hold a third of all posts, and the vocabulary is every n-gram;
-so the fit stays on the count rows. These are shuffled by term once, into a bucketed table; an
-iteration then sums over each term's rows, at most one per time bucket, where they lie, and shuffles
-only partial sums per time bucket. The driver sees single numbers: how many cells, documents and terms
+so the fit stays on the count rows. These are shuffled by term once, into a bucketed table that is never
+written again: what an iteration carries on is not how each cell is divided but the sums per term and per
+time bucket that the division follows from. The sums per term are a table of the same buckets, joined
+to the cells where they lie; only partial sums per time bucket are shuffled. The driver sees single numbers: how many cells, documents and terms
 there are, and how much an iteration moved.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postweave.operators.counts import count_by
@@ -24,6 +25,8 @@ from postweave.operators.scalars import attach
 from postweave.params import at_least
 from postweave.sources.storage import fresh_folder
 
+BUCKET_ROWS = 1_000_000
+
 
 def document_terms(tokens: DataFrame, document: str = "bucket", term: str = "ngram") -> DataFrame:
     """The document-term matrix as its non-zero cells: (document, term, n)."""
@@ -72,7 +75,7 @@ def fit_topics(
     each expected count (a Dirichlet parameter less one); ``document_prior`` is 50/k by default.
 
     The start is a hash of seed, bucket and n-gram, so a fit is repeatable whatever the
-    partitioning. Each iteration is written as a table to the shared folder, over that of two
+    partitioning. Each iteration's sums are written as tables to the shared folder, over those of two
     iterations before: a lost executor repeats one iteration at most. These tables are in a database
     of their own, dropped with its files at the end.
     """
@@ -98,20 +101,22 @@ def fit_topics(
         # the counts are stored first, so that their number can size the buckets
         counted = stored(counts.dropna(subset=["bucket", "ngram"]), "counts")
         buckets = _bucket_number(counted.count(), spark.sparkContext.defaultParallelism)
-        placed = counted.repartition(buckets, "ngram")
-        cells = stored(_divided(placed, [_start_weight(seed, topic) for topic in range(k)]), "cells_even", buckets)
-        held = stored(_sums(cells, "bucket", k), "held_even")
-        vocabulary = cells.select("ngram").distinct().count()
+        cells = stored(counted.repartition(buckets, "ngram"), "cells", buckets)
+        divided = _divided(cells, [_start_weight(seed, topic) for topic in range(k)])
+        listed, held = stored(_sums(divided, "ngram", k), "terms_even", buckets), stored(_sums(divided, "bucket", k), "held_even")
+        vocabulary = listed.count()
         few_documents = _few(held.count(), k)
+        hint = "shuffle_hash" if counted.count() <= buckets * BUCKET_ROWS else "merge"
         for step in range(1, iterations + 1):
             turn = "odd" if step % 2 else "even"
             factors = _document_factors(held, k, prior, term_prior, vocabulary)
-            cells = stored(_iterate(cells, factors, k, term_prior, few_documents), f"cells_{turn}", buckets)
-            before, held = held, stored(_sums(cells, "bucket", k), f"held_{turn}")
+            divided = _iterate(cells, listed, factors, k, term_prior, few_documents, hint)
+            listed = stored(_sums(divided, "ngram", k), f"terms_{turn}", buckets)
+            before, held = held, stored(_sums(divided, "bucket", k), f"held_{turn}")
             taken, moved = step, _moved(before, held, k)
             if moved < tolerance:
                 break
-        terms = kept(_sums(cells, "ngram", k), "terms")
+        terms = kept(listed, "terms")
         documents = kept(held, "documents")
     finally:
         spark.sql(f"DROP DATABASE {database} CASCADE")
@@ -120,22 +125,30 @@ def fit_topics(
 
 
 def topic_terms(model: TopicModel, top: int = 5) -> DataFrame:
-    """The ``top`` terms of each topic, as (topic, term, beta); a topic's betas sum to one over all terms."""
-    return top_n_by_group(all_topic_terms(model), "topic", "beta", top, few_groups=True)
+    """The ``top`` terms of each topic, as (topic, term, beta); a topic's betas sum to one over all terms.
+
+    Terms tie when their expected counts agree to a millionth of an occurrence: sums of parts, taken in any order, do.
+    """
+    return top_n_by_group(_listed_terms(model), "topic", "expected", top, few_groups=True).drop("expected")
 
 
 def all_topic_terms(model: TopicModel) -> DataFrame:
     """Every term's share of every topic, as (topic, term, beta)."""
+    return _listed_terms(model).drop("expected")
+
+
+def _listed_terms(model: TopicModel) -> DataFrame:
     spread = model.term_prior * model.vocabulary
     shares = [
         F.struct(
             F.lit(topic + 1).alias("topic"),
             ((F.col(p) + model.term_prior) / (F.col(f"total_{p}") + spread)).alias("beta"),
+            F.round(p, 6).alias("expected"),
         )
         for topic, p in enumerate(_columns(model.k))
     ]
     listed = attach(model.terms, _totals(model.documents, model.k))
-    return listed.select(F.col("ngram").alias("term"), F.inline(F.array(*shares))).select("topic", "term", "beta")
+    return listed.select(F.col("ngram").alias("term"), F.inline(F.array(*shares))).select("topic", "term", "beta", "expected")
 
 
 def topic_documents(model: TopicModel) -> DataFrame:
@@ -188,7 +201,7 @@ def _totals(held: DataFrame, k: int) -> DataFrame:
 
 def _bucket_number(rows: int, cores: int) -> int:
     """A bucket per core while each holds 50,000 rows, then one per million, within Spark's limit."""
-    return max(1, min(max(min(cores, rows // 50_000), rows // 1_000_000), 100_000))
+    return max(1, min(max(min(cores, rows // 50_000), -(-rows // BUCKET_ROWS)), 100_000))
 
 
 def _few(documents: int, k: int) -> bool:
@@ -214,11 +227,13 @@ def _moved(before: DataFrame, after: DataFrame, k: int) -> float:
     return both.agg(F.try_divide(F.sum(moved), 2 * F.sum(held))).first()[0] or 0.0
 
 
-def _iterate(cells: DataFrame, factors: DataFrame, k: int, term_prior: float, few_documents: bool) -> DataFrame:
-    """Divide each cell's count anew, by its term's and its document's sums."""
-    of_term = Window.partitionBy("ngram")
-    sums = [F.sum(p).over(of_term).alias(f"t{topic}") for topic, p in enumerate(_columns(k))]
-    joined = cells.select("bucket", "ngram", "n", *sums).join(
-        F.broadcast(factors) if few_documents else factors, "bucket"
-    )
+def _iterate(cells: DataFrame, terms: DataFrame, factors: DataFrame, k: int, term_prior: float, few_documents: bool, hint: str = "shuffle_hash") -> DataFrame:
+    """Divide each cell's count anew, by its term's and its document's sums.
+
+    Cells and terms lie in the same buckets and are joined there: by a hash of the bucket's terms, of which a bucket of
+    bounded size has one row each, or with ``hint`` "merge" by sorting.
+    """
+    summed = terms.select("ngram", *[F.col(p).alias(f"t{topic}") for topic, p in enumerate(_columns(k))])
+    joined = cells.select("bucket", "ngram", "n").join(summed.hint(hint), "ngram")
+    joined = joined.join(F.broadcast(factors) if few_documents else factors, "bucket")
     return _divided(joined, [(F.col(f"t{topic}") + term_prior) * F.col(f"b{topic}") for topic in range(k)])

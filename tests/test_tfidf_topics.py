@@ -136,6 +136,23 @@ def test_a_fit_leaves_only_its_results(spark, monkeypatch, tmp_path):
     assert [row[0] for row in spark.sql("SHOW DATABASES").collect()] == ["default"]
 
 
+def test_cells_are_written_once(spark, monkeypatch, tmp_path):
+    """No file of the cells changes after the first pass, and iterations write no table of their columns."""
+    monkeypatch.setattr(topics, "fresh_folder", lambda session, name: str(tmp_path / "topics-2"))
+    seen = []
+    moved = topics._moved
+
+    def spy(*args):
+        home = tmp_path / "topics-2" / "iterations"
+        seen.append({p.name: p.stat().st_mtime_ns for p in (home / "cells").iterdir()})
+        assert {p.name for p in home.iterdir()} <= {"counts", "cells", "terms_even", "terms_odd", "held_even", "held_odd"}
+        return moved(*args)
+
+    monkeypatch.setattr(topics, "_moved", spy)
+    topics.fit_topics(spark.createDataFrame(CELLS, "bucket string, ngram string, n bigint"), 2, 4, tolerance=0)
+    assert len(seen) == 4 and all(files == seen[0] for files in seen)
+
+
 def test_iterations_do_not_shuffle_the_cells(spark, monkeypatch):
     plans = []
     iterate = topics._iterate
