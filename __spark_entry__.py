@@ -335,6 +335,15 @@ def q_tokenize_words(spark, sf_dir):
     return tokens.tokenize_words(posts_view(spark, sf_dir, "status_id", "text"))
 
 
+@_query
+def q_tokenize_words_numbers(spark, sf_dir):
+    # numbers, joiners and scripts beside order numbers; the expression is SQL of both engines
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    numbered = oracle_queries.NUMBERED.replace("''", "\\'")
+    made = orders.select(F.col("o_orderkey").cast("string").alias("status_id"), F.expr(numbered).alias("text"))
+    return tokens.tokenize_words(made)
+
+
 @_query
 def q_tokenize_ngrams(spark, sf_dir):
     return tokens.tokenize_ngrams(posts_view(spark, sf_dir, "status_id", "text"), n=2)

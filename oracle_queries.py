@@ -45,7 +45,15 @@ LEXICONS = {
     ),
 }
 
-TOKEN = r"[\p{L}\p{M}\p{N}_]+(?:[''’.][\p{L}\p{M}\p{N}_]+)*"
+# letters, digits and underscores with what joins them; ideographs, hiragana and runs of katakana are set apart first
+TOKEN = r"(?:\p{L}[\p{L}\p{M}]*(?:[''’.]\p{L}[\p{L}\p{M}]*)*|\p{N}[\p{N}\p{M}]*(?:[''’.,;]\p{N}[\p{N}\p{M}]*)*|_\p{M}*)+"
+APART = r"[\p{Han}\p{Hiragana}]\p{M}*|(?:[\p{Katakana}ー]\p{M}*)+"
+NUMBERED = (
+    "CASE o_orderkey % 6 WHEN 0 THEN 'Paid ' || o_orderkey || ',000.50; or ' || o_custkey || ',x' "
+    "WHEN 1 THEN 'a.' || o_orderkey || ' 3.a v' || o_custkey || '.5' WHEN 2 THEN o_orderkey || '.14 km e.g. U.S.A.' "
+    "WHEN 3 THEN 'don''t_' || o_orderkey || ' it’s ' || o_custkey || '’5' WHEN 4 THEN '中文' || o_orderkey || 'かな カタカナー' || o_custkey || '中.文' "
+    "ELSE 'naïve, ' || o_orderkey || ';' || o_custkey || ' _x_ é’é 한국어 नमस्ते' END"
+)
 SPACE = r"[\t\n\f\r\p{Z}]+"
 
 POSTS = """
@@ -83,9 +91,13 @@ def _cleaned(text: str = "text") -> str:
     return f"regexp_replace(replace({_stripped(text)}, 'https:', ''), '<[^>]+>', '', 'g')"
 
 
+def _tokens(text: str) -> str:
+    return f"regexp_extract_all(regexp_replace(lower({text}), '({APART})', ' \\1 ', 'g'), '{TOKEN}')"
+
+
 def _words(source: str, columns: str = "", text: str = "text", out: str = "word") -> str:
     kept = f"{columns}, " if columns else ""
-    return f"SELECT {kept}unnest(regexp_extract_all(lower({text}), '{TOKEN}')) AS {out} FROM {source}"
+    return f"SELECT {kept}unnest({_tokens(text)}) AS {out} FROM {source}"
 
 
 def _ngrams(source: str, n: int = 2, columns: str = "", text: str = "text") -> str:
@@ -93,7 +105,7 @@ def _ngrams(source: str, n: int = 2, columns: str = "", text: str = "text") -> s
     grams = f"list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' '))"
     return (
         f"SELECT {kept}unnest({grams}) AS ngram FROM "
-        f"(SELECT {kept}regexp_extract_all(lower({text}), '{TOKEN}') AS w FROM {source}) WHERE len(w) >= {n}"
+        f"(SELECT {kept}{_tokens(text)} AS w FROM {source}) WHERE len(w) >= {n}"
     )
 
 
@@ -358,6 +370,8 @@ def build() -> dict[str, str]:
         ),
         # tokenisation
         "tokenize_words": _posts(final=_words("posts", "status_id")),
+        "tokenize_words_numbers": "SELECT CAST(o_orderkey AS VARCHAR) AS status_id, "
+        f"unnest({_tokens(NUMBERED)}) AS word FROM orders",
         "tokenize_ngrams": _posts(final=_ngrams("posts", 2, "status_id")),
         "tokenize_ngrams_1": _ngram_counts(1),
         "tokenize_ngrams_3": _ngram_counts(3),

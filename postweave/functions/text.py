@@ -12,10 +12,21 @@ SCHEME = "https:"
 TAG_PATTERN = "<[^>]+>"
 NOT_LOWER_LATIN = "[^a-z]"
 
-# A token is a run of letters, marks, digits and underscores; one apostrophe or full stop may join
-# two runs. The quantifiers are possessive, so that java.util.regex loops over a text such as
-# "a.a.a.…" where backtracking ones would recurse and overflow the executor's stack.
-TOKEN_PATTERN = r"[\p{L}\p{M}\p{N}_]++(?:['’.][\p{L}\p{M}\p{N}_]++)*+"
+# Words are cut as by the Unicode word boundaries (annex 29): a full stop or an apostrophe joins two letters, these, a
+# comma or a semicolon two digits, an underscore anything; ideographs and hiragana stand singly, katakana in runs.
+# The quantifiers are possessive, so that java.util.regex loops over a text such as "a.a.a.…" where backtracking ones
+# would recurse and overflow the executor's stack. Below U+2E80 no letter's script needs to be looked up.
+_SINGLE = r"\p{IsHan}\p{IsHiragana}"
+_KATAKANA = r"\p{IsKatakana}\x{30FC}"
+_LETTER = rf"[a-z[\p{{L}}&&[\x{{0}}-\x{{2E7F}}]][\p{{L}}&&[^\x{{0}}-\x{{2E7F}}{_SINGLE}{_KATAKANA}]]]"
+_LETTERS = rf"{_LETTER}[a-z{_LETTER}\p{{M}}]*+"
+_DIGITS = r"\p{N}[0-9\p{N}\p{M}]*+"
+# The common case first: plain letters before a blank.
+TOKEN_PATTERN = (
+    r"(?=[a-z\p{L}\p{N}_])(?:[a-z]++(?=[ ,\n])"
+    rf"|(?:{_LETTERS}(?:['’.]{_LETTERS})*+|{_DIGITS}(?:['’.,;]{_DIGITS})*+|_\p{{M}}*+)++"
+    rf"|[\p{{L}}&&[{_SINGLE}]]\p{{M}}*+|(?:[\p{{L}}&&[{_KATAKANA}]]\p{{M}}*+)++)"
+)
 
 # White space including the Unicode separators, which java's \s leaves out.
 SPACE_PATTERN = r"[\t\n\f\r\p{Z}]+"

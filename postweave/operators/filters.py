@@ -54,7 +54,8 @@ def drop_stopword_ngrams(
         return df
     if mode == "substring":
         return exclude_pattern(df, column, "|".join(stopwords))
-    return df.filter(~F.exists(F.split(column, " "), lambda word: word.isin(list(stopwords))))
+    held = F.exists(F.split(column, " "), lambda word: word.isin(list(stopwords)))
+    return df.filter(~F.coalesce(held, F.lit(False)))
 
 
 def exclude_exact(df: DataFrame, column: str, value: str) -> DataFrame:

@@ -60,6 +60,13 @@ def test_stop_words_by_token_and_by_substring(spark, rows_of):
         filters.drop_stopword_ngrams(grams, "ngram", ["a"], "prefix")
 
 
+def test_an_ngram_that_is_null_stays(spark):
+    grams = spark.createDataFrame([(1, "a cat"), (2, None), (3, "big cat")], "id int, ngram string")
+    table = spark.createDataFrame([("a",)], "word string")
+    for stopwords in (["a"], table):
+        assert sorted(r.id for r in filters.drop_stopword_ngrams(grams, "ngram", stopwords).collect()) == [2, 3]
+
+
 def test_patterns_and_exact(spark, rows_of):
     grams = spark.createDataFrame([("ab",), ("bc",)], "ngram string")
     assert rows_of(filters.exclude_pattern(grams, "ngram", "^a")) == [("bc",)]

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,9 +36,11 @@ def test_strip_links_leaves_scheme_and_tags(spark):
     ("raw", "words"),
     [
         ("Don't stop", ["don't", "stop"]),
-        ("it’s 3.14, a.1 b. 'quoted' x__y", ["it’s", "3.14", "a.1", "b", "quoted", "x__y"]),
+        ("it’s 3.14, a.1 b. 'quoted' x__y", ["it’s", "3.14", "a", "1", "b", "quoted", "x__y"]),
         ("Café ÉTÉ naïve", ["café", "été", "naïve"]),
-        ("1,000 a..b a.'b", ["1", "000", "a", "b", "a", "b"]),
+        ("10,000 1,000.5; 1;2 3, 4 a,b a..b a.'b", ["10,000", "1,000.5", "1;2", "3", "4", "a", "b", "a", "b", "a", "b"]),
+        ("中文 10中 中.文 ひら カタカナー カタabc 한국어", ["中", "文", "10", "中", "中", "文", "ひ", "ら", "カタカナー", "カタ", "abc", "한국어"]),
+        ("e.g. U.S.A. 5km 3.a ab_1.5_c नमस्ते", ["e.g", "u.s.a", "5km", "3", "a", "ab_1.5_c", "नमस्ते"]),
         ("... !?", []),
         ("", []),
     ],
@@ -45,6 +49,48 @@ def test_words(spark, raw, words):
     assert one(spark, raw, text.words) == words
 
 
+def automaton(raw):
+    """Words by walking the characters: a joiner counts where letters, or digits, stand on both its sides."""
+
+    def kind(char):
+        name, category = unicodedata.name(char, ""), unicodedata.category(char)[0]
+        if char == "_":
+            return "_"
+        if category == "L":
+            return "S" if name.startswith(("CJK UNIFIED", "HIRAGANA LETTER")) else "K" if name.startswith("KATAKANA") else "L"
+        return category if category in "MN" else ""
+
+    made, at, text_of = [], 0, raw.lower()
+    kinds = [kind(char) for char in text_of]
+    while at < len(text_of):
+        first = at
+        state = kinds[at]
+        if state in ("", "M"):
+            at += 1
+            continue
+        at += 1
+        while at < len(text_of):
+            now = kinds[at]
+            joins = "'’." if state == "L" else "'’.,;" if state == "N" else ""
+            if now == "M":
+                at += 1
+            elif state in "LN_" and now and now in "LN_" or state == now == "K":
+                state, at = now, at + 1
+            elif text_of[at] in joins and at + 1 < len(text_of) and kinds[at + 1] == state:
+                at += 2
+            else:
+                break
+        made.append(text_of[first:at])
+    return made
+
+
+def test_words_against_an_automaton(spark):
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("ab12_.,;'’ \n-é\u0301中ひカター한") for _ in range(draw.randint(0, 25))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.words(F.col("t")).alias("w")).collect()
+    assert [row.w for row in rows] == [automaton(t) for t in texts]
+
+
 def test_words_of_a_long_dotted_run_do_not_overflow_the_stack(spark):
     assert one(spark, "a" + ".a" * 200_000, lambda c: F.size(text.words(c))) == 1
 
