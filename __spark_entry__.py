@@ -540,6 +540,13 @@ def q_daily_trend_linear(spark, sf_dir):
     return rounded(dated(statistics.daily_trend(daily, "n", 3, method="linear"), "date"), "trend")
 
 
+@_query
+def q_daily_trend_local(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    daily = counts.count_by(events.select(F.col("event_type").alias("series"), F.to_date("ts").alias("date")), "series", "date")
+    return rounded(dated(statistics.daily_trend(daily, "n", 3, method="local"), "date"), "trend")
+
+
 # --- rows with missing keys, texts and dates, and times of day
 
 
@@ -735,6 +742,12 @@ def q_sentiment_trend(spark, sf_dir):
     return rounded(dated(sentiment.sentiment_trend(view, lexicon(spark)), "date"), "trend")
 
 
+@_query
+def q_sentiment_trend_local(spark, sf_dir):
+    view = posts_view(spark, sf_dir, "created_at", "is_retweet", "text")
+    return rounded(dated(sentiment.sentiment_trend(view, lexicon(spark), 14, method="local"), "date"), "trend")
+
+
 @_query
 def q_ngram_sentiment(spark, sf_dir):
     return sentiment.ngram_sentiment(posts_view(spark, sf_dir, "text"), lexicon(spark), filterword="ing")
@@ -757,6 +770,12 @@ def q_metric_trend(spark, sf_dir):
     return rounded(dated(metrics.metric_trend(view), "date"), "trend")
 
 
+@_query
+def q_metric_trend_local(spark, sf_dir):
+    view = posts_view(spark, sf_dir, "created_at", "is_retweet", *METRICS)
+    return rounded(dated(metrics.metric_trend(view, 14, method="local"), "date"), "trend")
+
+
 @_query
 def q_top_posts(spark, sf_dir):
     view = posts_view(spark, sf_dir, "status_id", "created_at", "is_retweet", "text", *METRICS)

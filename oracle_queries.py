@@ -190,6 +190,19 @@ def _trend(source: str, series: str, value: str, days: int) -> str:
     )
 
 
+def _local_trend(source: str, series: str, value: str, days: int, columns: str) -> str:
+    # every pair of days within reach, its weight written out
+    moments = ", ".join([f"sum(w * u ** {k}) AS s{k}" for k in range(5)] + [f"sum(w * u ** {k} * y) AS t{k}" for k in range(3)])
+    return (
+        f"SELECT {columns}, round(CASE count WHEN 1 THEN t0 / s0 WHEN 2 THEN (t0 * s2 - t1 * s1) / (s0 * s2 - s1 * s1) ELSE "
+        "(t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / "
+        "(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)) END, 6) AS trend "
+        f"FROM (SELECT {series}, date, {value}, count(y) AS count, {moments} FROM (SELECT a.{series}, a.date, a.{value}, "
+        f"CAST(b.{value} AS DOUBLE) AS y, (b.date - a.date) / {days + 1}.0::DOUBLE AS u, (1 - abs(u) ** 3) ** 3 AS w "
+        f"FROM {source} a JOIN {source} b ON a.{series} = b.{series} AND abs(b.date - a.date) <= {days}) GROUP BY ALL)"
+    )
+
+
 def _top_posts_ngrams(posts: int, top: int, where: str) -> str:
     return _posts(
         METRICS_LONG.strip(),
@@ -482,6 +495,8 @@ def build() -> dict[str, str]:
         "WINDOW near AS (PARTITION BY series ORDER BY day RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)) "
         f"SELECT series, {_day('date')} AS date, CAST(n AS BIGINT) AS n, "
         "round(coalesce(mean + CASE WHEN isnan(slope) THEN NULL ELSE slope END * (day - middle), mean), 6) AS trend FROM w",
+        "daily_trend_local": "WITH d AS (SELECT event_type AS series, CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY ALL) "
+        + _local_trend("d", "series", "n", 3, f"series, {_day('date')} AS date, n"),
         # rows with missing keys, texts and dates, and posts late on the last day
         "date_range_filter_times": f"SELECT event_id, {_day('ts')} AS created_at FROM events "
         "WHERE CAST(ts AS DATE) BETWEEN (SELECT min(CAST(ts AS DATE)) + 1 FROM events) AND (SELECT min(CAST(ts AS DATE)) + 2 FROM events)",
@@ -586,6 +601,12 @@ def build() -> dict[str, str]:
             "FROM posts WHERE NOT is_retweet GROUP BY created_at)",
             final=f"SELECT series, {_day('date')} AS date, n, {_trend('u', 'series', 'n', 7)}",
         ),
+        "sentiment_trend_local": _posts(
+            *_sentiment_daily(),
+            "u AS (SELECT sentiment AS series, CAST(date AS DATE) AS date, n FROM s UNION ALL SELECT 'Tweets/Day', CAST(created_at AS DATE), "
+            "count(*) FROM posts WHERE NOT is_retweet GROUP BY 2)",
+            final=_local_trend("u", "series", "n", 14, f"series, {_day('date')} AS date, n"),
+        ),
         "ngram_sentiment": _posts(
             f"lex AS ({LEXICONS['bing']})",
             f"g AS ({_ngrams('posts', text=_stripped())})",
@@ -606,6 +627,11 @@ def build() -> dict[str, str]:
         "metric_trend": _posts(
             *_daily(), final=f"SELECT {_day('date')} AS date, type, value, {_trend('m', 'type', 'value', 7)}"
         ),
+        "metric_trend_local": _posts(
+            *_daily(),
+            "l AS (SELECT * REPLACE (CAST(date AS DATE) AS date) FROM m)",
+            final=_local_trend("l", "type", "value", 14, f"{_day('date')} AS date, type, value"),
+        ),
         "top_posts": _posts(
             final=f"SELECT text, {_day()} AS date, 'retweet_count' AS type, retweet_count AS value FROM posts "
             "WHERE NOT is_retweet QUALIFY rank() OVER (ORDER BY retweet_count DESC) <= 5"

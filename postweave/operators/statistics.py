@@ -142,7 +142,9 @@ def daily_trend(series: DataFrame, value: str, days: int = 7, out: str = "trend"
     """Smoothed value over the days within ``days`` of each (series, date) row.
 
     ``mean`` is the centred moving average. ``linear`` fits a straight line to the same days and takes its value at the
-    day, which does not lag at the ends of a series or on slopes; it is the mean where the days are one.
+    day, which does not lag at the ends of a series or on slopes; it is the mean where the days are one. ``local`` is
+    local regression: a parabola fitted with tricube weights that fall to zero at ``days + 1``, a line where two days
+    have a value, that value where one has.
     For daily aggregates: a series has at most one row per day of the calendar.
     """
     at_least("days", days, 0)
@@ -152,6 +154,36 @@ def daily_trend(series: DataFrame, value: str, days: int = 7, out: str = "trend"
     mean = F.avg(value).over(around)
     if method == "mean":
         return series.withColumn(out, mean)
+    if method == "local":
+        # at most 2 * days + 1 entries, one per day
+        valued = F.when(F.col(value).isNotNull(), F.struct(number.alias("day"), F.col(value).cast("double").alias("value")))
+        near = series.withColumns({"_near": F.collect_list(valued).over(around), "_mean": mean})
+        return near.withColumn(out, F.coalesce(_local_value("_near", number, days + 1), "_mean")).drop("_near", "_mean")
     slope = F.regr_slope(F.col(value).cast("double"), number.cast("double")).over(around)
     line = mean + slope * (number - F.avg(F.when(F.col(value).isNotNull(), number)).over(around))
     return series.withColumn(out, F.coalesce(line, mean))
+
+
+def _local_value(near: str, day: Column, width: int) -> Column:
+    """Value at ``day`` of the polynomial fitted to a row's (day, value) entries with tricube weights; null without one day.
+
+    Distances count in widths from the row's own day, so that sums of their fourth powers lose no digits: sums of
+    powers of the date itself, from which running totals could be subtracted, would lose all of them.
+    """
+
+    def weighted(power: int, valued: bool = False) -> Column:
+        def add(total: Column, entry: Column) -> Column:
+            distance = (entry["day"] - day) / F.lit(float(width))
+            term = F.pow(1 - F.pow(F.abs(distance), F.lit(3)), F.lit(3)) * F.pow(distance, F.lit(power))
+            return total + (term * entry["value"] if valued else term)
+
+        return F.aggregate(near, F.lit(0.0), add)
+
+    s0, s1, s2, s3, s4 = (weighted(power) for power in range(5))
+    t0, t1, t2 = (weighted(power, valued=True) for power in range(3))
+    parabola = F.try_divide(
+        t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2),
+        s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2),
+    )
+    line = F.try_divide(t0 * s2 - t1 * s1, s0 * s2 - s1 * s1)
+    return F.when(F.size(near) > 2, parabola).when(F.size(near) == 2, line)

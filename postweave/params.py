@@ -7,7 +7,7 @@ METRICS = ("favorite_count", "retweet_count")
 DIVISIONS = ("month", "biweek", "week", "day")
 LEXICONS = ("bing", "afinn", "loughran", "nrc")
 STOP_MODES = ("token", "substring")
-TREND_METHODS = ("mean", "linear")
+TREND_METHODS = ("mean", "linear", "local")
 
 
 def at_least(name: str, value: int, low: int) -> int:

@@ -33,10 +33,10 @@ def metric_daily(posts: DataFrame) -> DataFrame:
     return unpivot_metrics(daily_sums(original_posts(posts)), ["date"], _DAILY)
 
 
-def metric_trend(posts: DataFrame, days: int = 7) -> DataFrame:
-    """``metric_daily`` with a moving average per type, as (date, type, value, trend)."""
+def metric_trend(posts: DataFrame, days: int = 7, method: str = "mean") -> DataFrame:
+    """``metric_daily`` smoothed by ``method`` per type, as (date, type, value, trend)."""
     series = metric_daily(posts).withColumnRenamed("type", "series")
-    return daily_trend(series, "value", days).withColumnRenamed("series", "type")
+    return daily_trend(series, "value", days, method=method).withColumnRenamed("series", "type")
 
 
 def top_posts(posts: DataFrame, tweetmetric: str = "favorite_count", top: int = 5) -> DataFrame:

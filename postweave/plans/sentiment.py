@@ -42,11 +42,11 @@ def posts_daily(posts: DataFrame) -> DataFrame:
     return count_by(original_posts(posts).select(F.to_date("created_at").alias("date")), "date")
 
 
-def sentiment_trend(posts: DataFrame, bing: DataFrame, days: int = 7) -> DataFrame:
-    """Sentiment words and posts per day with a moving average, as (series, date, n, trend)."""
+def sentiment_trend(posts: DataFrame, bing: DataFrame, days: int = 7, method: str = "mean") -> DataFrame:
+    """Sentiment words and posts per day, smoothed by ``method``, as (series, date, n, trend)."""
     sentiment = sentiment_daily(posts, bing).withColumnRenamed("sentiment", "series")
     volume = posts_daily(posts).select(F.lit("Tweets/Day").alias("series"), "date", "n")
-    return daily_trend(union_series(sentiment, volume), "n", days)
+    return daily_trend(union_series(sentiment, volume), "n", days, method=method)
 
 
 def ngram_sentiment(

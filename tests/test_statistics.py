@@ -2,6 +2,7 @@ import datetime as dt
 import statistics as plain
 from math import erf, log, sqrt
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -98,6 +99,37 @@ def test_daily_trend_averages_the_days_around(spark):
     assert found == {1: 3.0, 2: 3.0, 5: 9.0}
 
 
+def fitted(points, day, width, degree):
+    """The value at ``day`` of a weighted polynomial, by numpy's least squares."""
+    days = np.array([d for d, _ in points], dtype=float)
+    root = np.sqrt((1 - np.abs((days - day) / width) ** 3) ** 3)
+    powers = np.vander((days - day) / width, degree + 1, increasing=True)
+    return np.linalg.lstsq(powers * root[:, None], np.array([v for _, v in points]) * root, rcond=None)[0][0]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.dictionaries(st.integers(0, 24), st.one_of(st.none(), st.integers(-9, 10**6)), min_size=1), st.integers(0, 9))
+def test_local_trend_is_the_weighted_fit(spark, held, days):
+    start = dt.date(2024, 1, 1)
+    df = spark.createDataFrame([("s", start + dt.timedelta(d), n) for d, n in held.items()], "series string, date date, n bigint")
+    for row in statistics.daily_trend(df, "n", days, method="local").collect():
+        day = (row["date"] - start).days
+        near = [(d, n) for d, n in held.items() if n is not None and abs(d - day) <= days]
+        if near:
+            assert row["trend"] == pytest.approx(fitted(near, day, days + 1, min(len(near), 3) - 1), rel=1e-6, abs=1e-3)
+        else:
+            assert row["trend"] is None
+
+
+def test_local_trend_follows_a_parabola_and_keeps_series_and_missing_dates_apart(spark):
+    start = dt.date(2024, 1, 1)
+    bent = [("a", start + dt.timedelta(d), float(d * d - 3 * d)) for d in range(12)]
+    df = spark.createDataFrame([*bent, ("b", start, 7.0), ("b", None, 5.0), (None, start, 2.0)], "series string, date date, n double")
+    for row in statistics.daily_trend(df, "n", 4, method="local").collect():
+        assert row["trend"] == pytest.approx(row["n"], abs=1e-8)
+    assert statistics.daily_trend(df.limit(0), "n", 4, method="local").count() == 0
+
+
 def test_unpivot(spark, rows_of):
     df = spark.createDataFrame([("1", 2, 3)], "id string, a bigint, b bigint")
     assert rows_of(unpivot_metrics(df, ["id"], ["a", "b"])) == [("1", "a", 2), ("1", "b", 3)]
