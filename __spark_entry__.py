@@ -32,7 +32,7 @@ from postweave.params import DIVISIONS, METRICS  # noqa: E402
 from postweave.plans import metrics, ngrams, performance, sentiment, tables  # noqa: E402
 from postweave.plans import topics as topic_plans  # noqa: E402
 from postweave.schema import POSTS, RAW_COLUMNS  # noqa: E402
-from postweave.sources import lookups, posts, storage  # noqa: E402
+from postweave.sources import csv_folders, lookups, posts, storage  # noqa: E402
 
 try:  # an optional part of the library
     import corpus_pipeline
@@ -636,6 +636,36 @@ def q_drop_stopword_ngrams_table(spark, sf_dir):
     return filters.drop_stopword_ngrams(counts.count_by(grams, "ngram"), "ngram", listed)
 
 
+def _two_makers(spark, sf_dir, written) -> str:
+    """A folder of posts in two headers: every second post as the library writes them, the others in another order."""
+    folder = storage.fresh_folder(spark, "posts")
+    odd = F.col("status_id").cast("bigint") % 2 == 1
+    posts.write_posts_csv(written.filter(~odd), f"{folder}/own")
+    other = written.filter(odd).select(F.lit("x,y").alias("maker"), *reversed(written.columns), F.col("text").alias("again"))
+    other.write.options(**posts.CSV).option("quoteAll", True).csv(f"{folder}/other")
+    return f"{folder}/*"
+
+
+@_query
+def q_load_posts_csv_mixed(spark, sf_dir):
+    folder = _two_makers(spark, sf_dir, marked_posts(spark, sf_dir, *RAW_COLUMNS))
+    loaded, _ = csv_folders.load_posts_folder(spark, folder)
+    return loaded.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@_query
+def q_load_posts_csv_rejected(spark, sf_dir):
+    # some of the dates and counts are words
+    key, made = F.col("status_id").cast("bigint"), posts_view(spark, sf_dir, *RAW_COLUMNS)
+    made = made.withColumns({
+        "created_at": F.when(key % 7 == 0, "someday").otherwise(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")),
+        "favorite_count": F.when(key % 5 == 0, "many").otherwise(F.col("favorite_count").cast("string")),
+    })
+    _, rejected = csv_folders.load_posts_folder(spark, _two_makers(spark, sf_dir, made))
+    maker = F.regexp_extract("file", "/(own|other)/[^/]*$", 1)
+    return rejected.select(F.get_json_object("row", "$.status_id").alias("status_id"), maker.alias("maker"), "reason")
+
+
 # --- set operations
 
 

@@ -542,6 +542,15 @@ def build() -> dict[str, str]:
             "h AS (SELECT DISTINCT ngram FROM (SELECT ngram, unnest(string_split(ngram, ' ')) AS word FROM c) JOIN s USING (word))",
             final="SELECT ngram, n FROM c ANTI JOIN h USING (ngram)",
         ),
+        "load_posts_csv_mixed": _posts(
+            final=f"SELECT strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, {RAW} FROM marked"
+        ),
+        "load_posts_csv_rejected": _posts(
+            "k AS (SELECT *, CAST(status_id AS BIGINT) AS id FROM posts)",
+            final="SELECT status_id, CASE id % 2 WHEN 1 THEN 'other' ELSE 'own' END AS maker, "
+            "concat_ws('; ', CASE id % 7 WHEN 0 THEN 'created_at is no timestamp' END, "
+            "CASE id % 5 WHEN 0 THEN 'favorite_count is no bigint' END) AS reason FROM k WHERE id % 7 = 0 OR id % 5 = 0",
+        ),
         # set operations
         "union_series": _posts(
             final=f"SELECT CASE WHEN is_retweet THEN 'retweets' ELSE 'originals' END AS series, {_day()} AS date, count(*) AS n "

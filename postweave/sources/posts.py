@@ -12,8 +12,8 @@ from postweave.schema import POSTS
 
 # Set alike on both sides. All values are written quoted, so a missing string and an empty one look alike;
 # which strings of a row are missing stands in a column of its own.
-_MISSING = "missing_columns"
-_CSV = {
+MISSING = "missing_columns"
+CSV = {
     "header": True,
     "quote": '"',
     "escape": '"',
@@ -29,23 +29,24 @@ def load_posts_csv(spark: SparkSession, path: str, multi_line: bool = True, stri
     """Read posts from UTF-8 CSV with a header; only the posts columns are kept.
 
     Columns are found by name, as a file may hold many others in any order; all files of a folder must have them in
-    the same order, or reading fails. A value that does not parse is null, or with ``strict`` an error. In files of
+    the same order, or reading fails (``csv_folders.load_posts_folder`` reads such folders). A value that does not parse is null, or with ``strict`` an error. In files of
     other makers an empty value without quotes is a missing one. A quoted text may hold
     line breaks; such files cannot be split, so large exports should be many files (which
     ``write_posts_csv`` makes). ``multi_line=False`` splits files whose texts hold no line breaks.
     """
-    header = spark.read.options(**_CSV).option("multiLine", multi_line).option("enforceSchema", False).csv(path)
-    marked = _MISSING in header.columns
-    return header.select(*[_typed(field.name, field.dataType.simpleString(), marked, strict) for field in POSTS])
+    header = spark.read.options(**CSV).option("multiLine", multi_line).option("enforceSchema", False).csv(path)
+    marked = MISSING in header.columns
+    return header.select(*[typed(field.name, field.dataType.simpleString(), marked, strict) for field in POSTS])
 
 
-def _typed(name: str, kind: str, marked: bool, strict: bool):
+def typed(name: str, kind: str, marked: bool, strict: bool):
+    """The raw column ``name`` as a ``kind``; ``marked`` if a column names the missing strings of a row."""
     value = F.col(name)
     if kind == "string":
         if not marked:
             return value.alias(name)
         # Spark reads an empty value as a missing one, quoted or not
-        listed = F.array_contains(F.split(F.coalesce(_MISSING, F.lit("")), " "), name)
+        listed = F.array_contains(F.split(F.coalesce(MISSING, F.lit("")), " "), name)
         return F.when(~listed, F.coalesce(value, F.lit(""))).alias(name)
     value = F.nullif(value, F.lit(""))
     if kind == "timestamp":
@@ -62,7 +63,7 @@ def write_posts_csv(posts: DataFrame, path: str, rows_per_file: int = 1_000_000)
     strings = [field.name for field in posts.schema if field.dataType.simpleString() == "string"]
     missing = F.concat_ws(" ", *[F.when(F.col(name).isNull(), name) for name in strings])
     (
-        posts.withColumn(_MISSING, missing).write.options(**_CSV)
+        posts.withColumn(MISSING, missing).write.options(**CSV)
         .option("quoteAll", True)
         .option("maxRecordsPerFile", rows_per_file)
         .mode("errorifexists")

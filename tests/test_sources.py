@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from postweave.sources import lookups, posts, storage
+from postweave.schema import POSTS
+from postweave.sources import csv_folders, lookups, posts, storage
 
 
 def test_csv_round_trip_keeps_every_text(spark, make_posts, rows_of, tmp_path):
@@ -82,6 +83,59 @@ def test_strict_loading_reports_what_does_not_parse(spark, tmp_path, make_posts)
         posts.load_posts_csv(spark, path, strict=True).collect()
 
 
+def written(folder, name, header, *rows):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_bytes("\n".join([header, *rows, ""]).encode("utf-8"))
+
+
+def test_a_folder_of_several_headers(spark, make_posts, tmp_path):
+    folder = tmp_path / "exports of [two] makers"
+    own = make_posts({"text": None}, {"text": ""}, {"text": "line\nbreak, and 'more'"})
+    posts.write_posts_csv(own, str(tmp_path / "own"))
+    names = [field.name for field in POSTS]
+    values = dict(zip(names, ["9", "2024-05-06 07:08:09", "me", '"hi, there\nyou"', "FALSE", "TRUE", "3", "4", "5"]))
+    back = names[::-1]
+    line = ",".join(values[name] for name in back)
+    written(folder, "a b%20c.csv", "\ufeff" + ",".join(back), line, line.replace("9", "8", 1))
+    written(folder, "quoted.csv", "".join(f'"{name}",' for name in back) + '"a, b"', line + ",x", line, line + ",x,y")
+    written(folder, "other.csv", "status_id,text", "7,seven")
+    written(folder, "lone header.csv", ",".join(back))
+    (folder / "empty.csv").write_bytes(b"")
+    taken, rejected = csv_folders.load_posts_folder(spark, str(folder).replace("[", "\\[").replace("]", "\\]"))
+    assert [r["status_id"] for r in taken.collect()] == ["9"] * 3
+    assert {r["text"] for r in taken.collect()} == {"hi, there\nyou"}
+    assert taken.schema.simpleString() == POSTS.simpleString()
+    assert sorted((r["file"].rsplit("/")[-1], r["reason"]) for r in rejected.collect()) == [
+        ("other.csv", "no header with every posts column"),
+        ("other.csv", "no header with every posts column"),
+        ("quoted.csv", "not 10 values"),
+        ("quoted.csv", "not 10 values"),
+    ]
+    taken, rejected = csv_folders.load_posts_folder(spark, str(tmp_path / "own"))
+    assert {r["status_id"]: r["text"] for r in taken.collect()} == {"1": None, "2": "", "3": "line\nbreak, and 'more'"}
+    assert rejected.isEmpty()
+
+
+def test_rows_that_do_not_parse_are_set_apart_with_their_reasons(spark, tmp_path):
+    names = [field.name for field in POSTS]
+    good = ["1", "2024-05-06 07:08:09", "me", "hi", "FALSE", "TRUE", "3", "", "5"]
+    bad = ["2", "yesterday", "me", "hi", "perhaps", "TRUE", "3", "4.5.6", "5"]
+    written(tmp_path / "in", "x.csv", ",".join(names), ",".join(good), ",".join(bad), "3,short")
+    taken, rejected = csv_folders.load_posts_folder(spark, str(tmp_path / "in"))
+    assert [(r["status_id"], r["retweet_count"]) for r in taken.collect()] == [("1", None)]
+    assert taken.count() + rejected.count() == 3
+    rows = {r["reason"]: r["row"] for r in rejected.collect()}
+    assert rows["not 9 values"] == "3,short"
+    reason = "created_at is no timestamp; is_quote is no boolean; retweet_count is no bigint"
+    assert '"created_at":"yesterday"' in rows[reason] and len(rows) == 2
+
+
+def test_a_folder_without_rows(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    taken, rejected = csv_folders.load_posts_folder(spark, str(tmp_path / "none"))
+    assert taken.columns == [field.name for field in POSTS] and taken.isEmpty() and rejected.isEmpty()
+
+
 class FakeContext:
     def __init__(self, master, folder=None):
         self.master, self.folder = master, folder
