@@ -636,6 +636,16 @@ def q_drop_stopword_ngrams_table(spark, sf_dir):
     return filters.drop_stopword_ngrams(counts.count_by(grams, "ngram"), "ngram", listed)
 
 
+@_query
+def q_drop_stopword_ngrams_substring_table(spark, sf_dir):
+    # some ten thousand stop words: the words of part names, without their last two letters, and the digits of order keys
+    named = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("word"))
+    named = named.select(F.expr("substr(word, 1, length(word) - 2)").alias("word")).filter("length(word) > 1")
+    keyed = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("word"))
+    grams = counts.count_by(tokens.tokenize_ngrams(posts_view(spark, sf_dir, "text"), n=2), "ngram")
+    return filters.drop_stopword_ngrams(grams, "ngram", named.unionByName(keyed), "substring")
+
+
 def _two_makers(spark, sf_dir, written) -> str:
     """A folder of posts in two headers: every second post as the library writes them, the others in another order."""
     folder = storage.fresh_folder(spark, "posts")

@@ -542,6 +542,16 @@ def build() -> dict[str, str]:
             "h AS (SELECT DISTINCT ngram FROM (SELECT ngram, unnest(string_split(ngram, ' ')) AS word FROM c) JOIN s USING (word))",
             final="SELECT ngram, n FROM c ANTI JOIN h USING (ngram)",
         ),
+        "drop_stopword_ngrams_substring_table": _posts(
+            f"g AS ({_ngrams('posts', 2)})",
+            "c AS MATERIALIZED (SELECT ngram, count(*) AS n FROM g GROUP BY ngram)",
+            "p AS (SELECT DISTINCT substr(w, 1, length(w) - 2) AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE length(w) > 3)",
+            "k AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS word FROM orders)",
+            # a key is digits, so only n-grams with a digit can hold one
+            "h AS (SELECT DISTINCT ngram FROM c JOIN p ON contains(ngram, word) UNION SELECT DISTINCT ngram FROM "
+            "(SELECT ngram FROM c WHERE regexp_matches(ngram, '[0-9]')) JOIN k ON contains(ngram, word))",
+            final="SELECT ngram, n FROM c ANTI JOIN h USING (ngram)",
+        ),
         "load_posts_csv_mixed": _posts(
             final=f"SELECT strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, {RAW} FROM marked"
         ),

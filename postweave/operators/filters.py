@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postweave.operators.lookup_joins import fits_broadcast
 from postweave.params import STOP_MODES, one_of
 
 
@@ -37,27 +38,43 @@ def drop_stopword_ngrams(
     """Drop n-grams that hold a stop word.
 
     ``token`` compares whole words. ``substring`` matches the stop words joined into one regex
-    anywhere in the n-gram, so a one-letter stop word drops every n-gram with that letter; it takes
-    a list. Listed words are looked up in a set. A table of stop words, first column, may be of any size:
-    the n-grams that hold one are found by a join on their words. An n-gram that is null stays.
+    anywhere in the n-gram, so a one-letter stop word drops every n-gram with that letter. Listed words are
+    looked up in a set. A table of stop words, first column, may be of any size: the n-grams that hold one are found
+    by a join on their words, or on their substrings of the lengths that occur among the stop words; these are
+    plain text, no regex. An n-gram that is null stays.
     """
     one_of("mode", mode, STOP_MODES)
     if isinstance(stopwords, DataFrame):
-        if mode == "substring":
-            raise ValueError("stop words to be matched as substrings must be a list")
         listed = stopwords.select(F.col(f"`{stopwords.columns[0]}`").alias("_word")).dropna().distinct()
-        distinct = df.select(F.col(column).alias("_held")).distinct()
-        held = distinct.select("_held", F.explode(F.array_distinct(F.split("_held", " "))).alias("_word"))
+        distinct = df.select(F.col(column).alias("_held")).dropna().distinct()
+        if mode == "substring":
+            held = _substrings(distinct, listed)
+            listed = F.broadcast(listed) if fits_broadcast(listed) else listed
+        else:
+            held = distinct.select("_held", F.explode(F.array_distinct(F.split("_held", " "))).alias("_word"))
         stopped = held.join(listed, "_word").select("_held").distinct()
         return df.join(stopped, F.col(column) == F.col("_held"), "left_anti")
     if not stopwords:
         return df
     if mode == "substring":
-        return exclude_pattern(df, column, "|".join(stopwords))
-    held = F.exists(F.split(column, " "), lambda word: word.isin(list(stopwords)))
+        held = F.col(column).rlike("|".join(stopwords))
+    else:
+        held = F.exists(F.split(column, " "), lambda word: word.isin(list(stopwords)))
     return df.filter(~F.coalesce(held, F.lit(False)))
 
 
+def _substrings(grams: DataFrame, listed: DataFrame) -> DataFrame:
+    """The parts of each n-gram, as ``_word``, that are as long as some stop word.
+
+    Each meets at most one stop word in the join, however many stop words begin alike.
+    """
+    sizes = listed.agg(F.collect_set(F.length("_word")).alias("sizes")).scalar()
+    sized = grams.select("_held", F.explode(sizes).alias("_size")).filter(F.col("_size") <= F.length("_held"))
+    last = F.length("_held") - F.col("_size") + 1
+    placed = sized.select("_held", "_size", F.explode(F.sequence(F.lit(1), last)).alias("_at"))
+    return placed.select("_held", F.col("_held").substr(F.col("_at"), F.col("_size")).alias("_word"))
+
+
 def exclude_exact(df: DataFrame, column: str, value: str) -> DataFrame:
     """Drop rows whose value equals ``value``."""
     return df.filter(F.col(column) != value)

@@ -60,6 +60,27 @@ def test_stop_words_by_token_and_by_substring(spark, rows_of):
         filters.drop_stopword_ngrams(grams, "ngram", ["a"], "prefix")
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text("ab.é ", max_size=7), min_size=1, max_size=12), st.lists(st.text("ab.é ", max_size=4), max_size=6), st.booleans())
+def test_substring_stop_words_as_a_table(spark, grams, stops, large):
+    with pytest.MonkeyPatch.context() as patch:
+        if large:
+            patch.setattr(filters, "fits_broadcast", lambda table: False)
+        df = spark.createDataFrame([*[(gram,) for gram in grams], (None,)], "ngram string")
+        table = spark.createDataFrame([*[(stop,) for stop in stops], (None,)], "word string")
+        kept = filters.drop_stopword_ngrams(df, "ngram", table, "substring").collect()
+    expected = [gram for gram in grams if not any(stop in gram for stop in stops)]
+    assert sorted((r[0] for r in kept), key=str) == sorted([*expected, None], key=str)
+
+
+def test_missing_ngrams_stay_in_every_mode(spark):
+    df = spark.createDataFrame([(None,), ("a b",)], "ngram string")
+    table = spark.createDataFrame([("a",)], "word string")
+    for stops in (["a"], table):
+        for mode in ("token", "substring"):
+            assert [r[0] for r in filters.drop_stopword_ngrams(df, "ngram", stops, mode).collect()] == [None]
+
+
 def test_an_ngram_that_is_null_stays(spark):
     grams = spark.createDataFrame([(1, "a cat"), (2, None), (3, "big cat")], "id int, ngram string")
     table = spark.createDataFrame([("a",)], "word string")
