@@ -489,6 +489,13 @@ def q_top_n(spark, sf_dir):
     return ranking.top_n(posts_view(spark, sf_dir, "status_id", "retweet_count"), "retweet_count", 25)
 
 
+@_query
+def q_top_n_deep(spark, sf_dir):
+    # more distinct values than one list takes
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return ranking.top_n(lines, "l_extendedprice", 25_000)
+
+
 @_query
 def q_top_n_by_group(spark, sf_dir):
     view = posts_view(spark, sf_dir, "status_id", "screen_name", "retweet_count")

@@ -552,6 +552,7 @@ def build() -> dict[str, str]:
             "(SELECT ngram FROM c WHERE regexp_matches(ngram, '[0-9]')) JOIN k ON contains(ngram, word))",
             final="SELECT ngram, n FROM c ANTI JOIN h USING (ngram)",
         ),
+        "top_n_deep": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY rank() OVER (ORDER BY l_extendedprice DESC) <= 25000",
         "load_posts_csv_mixed": _posts(
             final=f"SELECT strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, {RAW} FROM marked"
         ),

@@ -12,10 +12,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postweave.operators.joins import join_groups
+from postweave.operators.order_statistics import values_at
 from postweave.params import at_least
 
+# The most distinct values that are put in one list.
+LISTED = 10_000
+
 
 def top_n(df: DataFrame, value: str, n: int) -> DataFrame:
     """Rows whose value is among the ``n`` largest, ties of the n-th kept."""
@@ -24,8 +29,15 @@ def top_n(df: DataFrame, value: str, n: int) -> DataFrame:
 
 
 def nth_value(df: DataFrame, value: str, n: int, descending: bool = True) -> Column:
-    """The ``n``-th largest (or smallest) value of a column, or the last if there are fewer; a subquery."""
+    """The ``n``-th largest (or smallest) value of a column, or the last if there are fewer; a subquery.
+
+    Up to ``LISTED`` it comes from a list of n distinct values; beyond, numbers, dates and times are found by
+    counting ranges of values, so that no task holds n of them; other columns always come from the list.
+    """
     tally = df.select(value).dropna().groupBy(value).agg(F.count(F.lit(1)).alias("times"))
+    if n > LISTED and isinstance(df.schema[value].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        rank = f"greatest(_total - {n}, 0)" if descending else f"least({n} - 1, _total - 1)"
+        return values_at(tally, [], value, "times", {"nth": rank}).scalar()
     extreme = tally.orderBy(F.desc(value) if descending else F.asc(value)).limit(n)
     listed = F.sort_array(F.collect_list(F.struct(F.col(value).alias("value"), "times")), asc=not descending)
     start = F.struct(F.lit(0).cast("bigint").alias("passed"), F.lit(None).cast(df.schema[value].dataType).alias("value"))

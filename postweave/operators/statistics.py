@@ -14,12 +14,9 @@ from pyspark.sql import functions as F
 
 from postweave.functions.labels import label_performance, log_scale, log_score, normal_percentile
 from postweave.operators.joins import join_groups
+from postweave.operators.order_statistics import values_at
 from postweave.params import TREND_METHODS, at_least, one_of, percentile
 
-# Slots per unit of log(1 + |value|) in the median's first pass: at most about 45,000 slots per
-# group for any 64-bit integer, each 0.1% wide.
-_SLOTS = 512
-
 
 def tally_values(df: DataFrame, groups: Sequence[str], value: str, out: str = "times") -> DataFrame:
     """Rows per group and distinct value; what medians and histograms can be read from."""
@@ -27,43 +24,19 @@ def tally_values(df: DataFrame, groups: Sequence[str], value: str, out: str = "t
 
 
 def tally_median(
-    tally: DataFrame, groups: Sequence[str], value: str, times: str = "times", few_groups: bool = False
+    tally: DataFrame, groups: Sequence[str], value: str, times: str = "times", few_groups: bool = False, cuts: int = 2
 ) -> DataFrame:
-    """Exact median per group of counted values.
-
-    Two passes, so that no task sees a whole group. The values are first counted in slots whose
-    order is that of the values; running totals over the slots tell which one or two hold the
-    middle ranks. Only the distinct values in those are then put in order.
-    """
-    groups = list(groups)
-    magnitude = F.log1p(F.abs(F.col(value).cast("double")))
-    slotted = tally.withColumn("_slot", F.floor(F.signum(F.col(value).cast("double")) * magnitude * _SLOTS))
-    slots = slotted.groupBy(*groups, "_slot").agg(F.sum(times).alias("_held"))
-    whole = Window.partitionBy(*groups)
-    upward = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = slots.select(
-        *groups,
-        "_slot",
-        F.coalesce(F.sum("_held").over(upward), F.lit(0)).alias("_below"),
-        "_held",
-        F.sum("_held").over(whole).alias("_total"),
-    )
-    low, high = F.expr("(_total - 1) div 2"), F.expr("_total div 2")
-    middle = placed.filter((F.col("_below") <= high) & (F.col("_below") + F.col("_held") > low))
-    middle = middle.drop("_held")
-    inside = join_groups(slotted, middle, [*groups, "_slot"], few_groups)
-    running = Window.partitionBy(*groups, "_slot").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("_upto", F.col("_below") + F.sum(times).over(running))
-
-    def at(rank: Column) -> Column:
-        here = (F.col("_upto") > rank) & (F.col("_upto") - F.col(times) <= rank)
-        return F.max(F.when(here, F.col(value).cast("double")))
-
-    return ranked.groupBy(*groups).agg(((at(low) + at(high)) / 2).alias("median"))
+    """Exact median per group of counted values: the mean of the one or two in the middle, rounded once, to a double."""
+    middle = {"_lower": "(_total - 1) div 2", "_upper": "_total div 2"}
+    found = values_at(tally, groups, value, times, middle, few_groups, cuts)
+    lower, upper = F.col("_lower"), F.col("_upper")
+    if tally.schema[value].dataType.typeName() == "long":
+        lower, upper = lower.cast("decimal(20,0)"), upper.cast("decimal(20,0)")
+    return found.select(*groups, ((lower + upper) / 2).cast("double").alias("median"))
 
 
-def metric_summary(df: DataFrame, key: str, value: str, few_groups: bool = False) -> DataFrame:
-    """Minimum, median, mean, maximum, sample deviation and number of values per key."""
+def metric_summary(df: DataFrame, key: str, value: str, few_groups: bool = False, cuts: int = 2) -> DataFrame:
+    """Minimum, median, mean, maximum, sample deviation and number of values per key; ``cuts`` as in ``values_at``."""
     moments = df.groupBy(key).agg(
         F.min(value).alias("min"),
         F.avg(value).alias("mean"),
@@ -71,7 +44,7 @@ def metric_summary(df: DataFrame, key: str, value: str, few_groups: bool = False
         F.stddev_samp(value).alias("sd"),
         F.count(F.lit(1)).alias("TotalTweets"),
     )
-    medians = tally_median(tally_values(df, [key], value), [key], value, few_groups=few_groups)
+    medians = tally_median(tally_values(df, [key], value), [key], value, few_groups=few_groups, cuts=cuts)
     joined = join_groups(moments, medians, key, few_groups, "left")
     return joined.select(key, "min", "median", "mean", "max", "sd", "TotalTweets")
 

@@ -25,7 +25,7 @@ def post_summary(posts: DataFrame) -> DataFrame:
     """Minimum, median, mean, maximum, deviation and number of posts per metric."""
     long = unpivot_metrics(original_posts(posts), [], METRICS, "key", "value")
     named = long.select(label_metric(F.col("key"), RECEIVED_NAMES).alias("key"), "value")
-    return metric_summary(named, "key", "value", few_groups=True)
+    return metric_summary(named, "key", "value", few_groups=True, cuts=1)
 
 
 def metric_daily(posts: DataFrame) -> DataFrame:
@@ -107,6 +107,6 @@ def metric_distribution(posts: DataFrame, wordmetric: str = "", bins: int = 30)
     named = long.select(label_metric(F.col("metric")).alias("metric"), "Word", "value")
     groups = ["metric", "Word"]
     tally = tally_values(named, groups, "value")
-    medians = tally_median(tally, groups, "value", few_groups=True)
+    medians = tally_median(tally, groups, "value", few_groups=True, cuts=1)
     histogram = log_histogram(tally, groups, "value", bins, times="times", few_groups=True)
     return join_groups(histogram, medians, groups, small=True)

@@ -69,6 +69,27 @@ def test_nth_value_counts_repeats(spark, n):
     assert ranking.top_n(df.limit(0), "v", n).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 3, 4, 6, 50])
+@pytest.mark.parametrize("kind", ["int", "double", "decimal(30,3)", "date", "timestamp"])
+def test_nth_value_by_ranges(spark, monkeypatch, n, kind):
+    monkeypatch.setattr(ranking, "LISTED", 0)
+    values = [9, 9, 9, 4, 4, -1]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v int")
+    made = {"date": F.date_add(F.lit("2024-01-01").cast("date"), "v"), "timestamp": F.timestamp_micros(F.col("v").cast("bigint"))}
+    df = df.select("v", made.get(kind, F.col("v").cast(kind)).alias("made"))
+    for down, order in ((True, values), (False, sorted(values))):
+        reached = df.filter(F.col("made") == ranking.nth_value(df, "made", n, down)).select("v").distinct()
+        assert [r[0] for r in reached.collect()] == [order[min(n, 6) - 1]]
+    assert ranking.top_n(df.limit(0), "made", n).count() == 0
+
+
+def test_a_million_of_close_values_without_a_list(spark):
+    close = spark.range(0, 1_200_000, 1, 8).select((F.col("id") + 2**60).alias("v"))
+    best = ranking.top_n(close, "v", 1_000_000)
+    assert "collect_list" not in best._jdf.queryExecution().toString()
+    assert tuple(best.agg(F.count("v"), F.min("v")).first()) == (1_000_000, 2**60 + 200_000)
+
+
 @pytest.mark.parametrize("bad", [0, -1])
 def test_n_is_checked(spark, bad):
     df = counts(spark, ("a", "x", 3))

@@ -1,14 +1,16 @@
 import datetime as dt
 import statistics as plain
+from decimal import Decimal
 from math import erf, log, sqrt
 
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from postweave.functions.labels import HIGH, LOW
-from postweave.operators import statistics
+from postweave.operators import order_statistics, statistics
 from postweave.operators.counts import unpivot_metrics
 
 
@@ -33,6 +35,30 @@ def test_median_is_exact(spark, rows):
     assert medians(values(spark, *rows)) == expected
 
 
+def test_medians_of_whole_numbers_beyond_doubles_and_of_decimals(spark):
+    big = 2**53
+    df = values(spark, ("a", big + 1), ("a", big + 3), ("b", 2**63 - 1), ("b", -(2**63)), ("b", 2**63 - 3))
+    assert medians(df) == {"a": float(big + 2), "b": float(2**63 - 3)}
+    tally = statistics.tally_values(df, ["g"], "v")
+    found = order_statistics.values_at(tally, ["g"], "v", "times", {"least": "0", "middle": "_total div 2", "none": "_total"})
+    assert sorted(map(tuple, found.collect())) == [("a", big + 1, big + 3, None), ("b", -(2**63), 2**63 - 3, None)]
+    exact = [Decimal("1" + "0" * 20 + f".{i:03}") for i in (1, 2, 4)]
+    tally = statistics.tally_values(values(spark, *[("a", v) for v in exact], kind="decimal(30,3)"), ["g"], "v")
+    found = order_statistics.values_at(tally, ["g"], "v", "times", {"middle": "_total div 2"})
+    assert found.first()["middle"] == exact[1]
+
+
+def test_close_values_are_spread(spark, monkeypatch):
+    rows = spark.range(0, 200_000, 1, 4).select(F.lit("a").alias("g"), (10**15 + F.col("id")).alias("v"))
+    tally = statistics.tally_values(rows, ["g"], "v")
+    seen = []
+    cut = order_statistics._cut
+    monkeypatch.setattr(order_statistics, "_cut", lambda *args: seen.append(cut(*args)) or seen[-1])
+    assert statistics.tally_median(tally, ["g"], "v").first()["median"] == 10**15 + 99_999.5
+    # of 200,000 values in one slot, those two parts are put in order that hold the middle
+    assert seen[0].count() < 200_000 / 4096 * 2 + 4
+
+
 def test_median_of_doubles_and_nulls(spark):
     df = values(spark, ("a", 1.5), ("a", None), ("a", 2.5), ("b", None), kind="double")
     assert medians(df) == {"a": 2.0}
