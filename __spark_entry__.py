@@ -393,6 +393,15 @@ def q_lexicon_join(spark, sf_dir):
     return lookup_joins.lexicon_join(words, lexicon(spark, "nrc")).select("status_id", "word", "sentiment")
 
 
+@_query
+def q_lexicon_join_large(spark, sf_dir):
+    # a lexicon that grows with the posts: every word of theirs, by its first letter and under one common label
+    words = tokens.tokenize_words(posts_view(spark, sf_dir, "status_id", "text"))
+    labels = F.explode(F.array(F.substring("word", 1, 1), F.lit("any")))
+    listed = words.select("word").distinct().select("word", labels.alias("sentiment"))
+    return lookup_joins.count_sentiments(words, listed, ["status_id"], small=False)
+
+
 @_query
 def q_join_back_text(spark, sf_dir):
     words = tokens.tokenize_words(posts_view(spark, sf_dir, "status_id", "text"))

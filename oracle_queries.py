@@ -404,6 +404,10 @@ def build() -> dict[str, str]:
             f"w AS ({_words('posts', 'status_id')})",
             final="SELECT status_id, word, sentiment FROM w JOIN lex USING (word)",
         ),
+        "lexicon_join_large": _posts(
+            f"w AS ({_words('posts', 'status_id')})",
+            final="SELECT status_id, sentiment, count(*) AS n FROM (SELECT status_id, unnest([substr(word, 1, 1), 'any']) AS sentiment FROM w) GROUP BY ALL",
+        ),
         "join_back_text": _posts(
             f"lex AS ({LEXICONS['bing']})",
             f"w AS ({_words('posts', 'status_id')})",

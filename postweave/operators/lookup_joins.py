@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast up to this many bytes of values; each executor holds one copy.
 BROADCAST_BYTES = 32 * 1024 * 1024
+# A word with over one in so many of the rows of a shuffled join is dealt in pieces of about that size.
+PIECES = 1000
 
 
 def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -27,11 +29,32 @@ def lexicon_join(words: DataFrame, lexicon: DataFrame, small: bool | None = None
     """Inner join on ``word``; a word with several labels gives several rows.
 
     A lexicon that fits is broadcast, so the words are not shuffled. ``small`` passes on an earlier
-    measurement.
+    measurement. With a larger one, frequent words are dealt by their other columns.
     """
     if small is None:
         small = fits_broadcast(lexicon)
-    return words.join(F.broadcast(lexicon) if small else lexicon, "word")
+    if small:
+        return words.join(F.broadcast(lexicon), "word")
+    return _dealt_join(words, lexicon, [name for name in words.columns if name != "word"])
+
+
+def _dealt_join(words: DataFrame, lexicon: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Inner join on ``word`` by shuffle, in which no word's rows meet in one task if they are many.
+
+    The rows are counted per word first. The frequent words, fewer than ``PIECES`` whatever the input, are broadcast with
+    the number of pieces each is dealt into by a hash of ``by``; the lexicon's rows of such a word are
+    repeated once for each piece, fewer than 2 * ``PIECES`` times for all words together and each label.
+    """
+    if not by:
+        return words.join(lexicon, "word")
+    tally = words.groupBy("word").agg(F.count(F.lit(1)).alias("_rows"))
+    total = tally.agg(F.sum("_rows")).scalar()
+    pieces = F.ceil(F.col("_rows") * PIECES / total).cast("int")
+    often = F.broadcast(tally.filter(F.col("_rows") * PIECES > total).select("word", pieces.alias("_pieces")))
+    number = F.coalesce("_pieces", F.lit(1))
+    dealt = words.join(often, "word", "left").withColumn("_piece", F.pmod(F.xxhash64(*by), number).cast("int")).drop("_pieces")
+    copies = lexicon.join(often, "word", "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), number - 1)))
+    return dealt.join(copies.drop("_pieces"), ["word", "_piece"]).drop("_piece")
 
 
 def count_sentiments(
@@ -41,14 +64,14 @@ def count_sentiments(
 
     With a broadcast lexicon, only the words it lists reach the shuffle. With a larger one, the words
     are counted per key before they are shuffled by word, which takes the repetition out of a
-    frequent word's share.
+    frequent word's share; what remains of it is dealt by key.
     """
     keys = list(keys)
     if fits_broadcast(lexicon) if small is None else small:
         found = lexicon_join(words.select(*dict.fromkeys([*keys, "word"])), lexicon, small=True)
         return found.groupBy(*keys, "sentiment").agg(F.count(F.lit(1)).alias("n"))
     folded = words.groupBy(*dict.fromkeys([*keys, "word"])).agg(F.count(F.lit(1)).alias("_times"))
-    found = lexicon_join(folded, lexicon, small=False)
+    found = _dealt_join(folded, lexicon, [key for key in keys if key != "word"])
     return found.groupBy(*keys, "sentiment").agg(F.sum("_times").alias("n"))
 
 

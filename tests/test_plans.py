@@ -2,6 +2,7 @@ import datetime as dt
 from math import log
 
 import pytest
+from pyspark.sql import functions as F
 
 from postweave.functions.labels import HIGH, LOW
 from postweave.operators import lookup_joins
@@ -71,6 +72,24 @@ def test_a_large_lexicon_gives_the_same_results(make_posts, lexicon, rows_of, mo
     assert results() == small
 
 
+def test_a_word_with_half_of_all_rows_is_dealt_over_the_tasks(spark):
+    word = F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("w"), F.col("id") % 5000))
+    words = spark.range(0, 400_000, 1, 8).select(F.col("id").cast("string").alias("status_id"), word.alias("word"))
+    lexicon = words.select("word").distinct().select("word", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("sentiment"))
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for name, value in zip(kept, ("false", "-1")):
+            spark.conf.set(name, value)
+        joined = lookup_joins.lexicon_join(words, lexicon, small=False)
+        assert joined.columns == ["word", "status_id", "sentiment"]
+        tasks = sorted(r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(tasks) == 800_000 and joined.distinct().count() == 800_000
+        assert tasks[-1] < 2 * tasks[len(tasks) // 2]
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+
+
 def test_lexicon_is_measured(lexicon):
     assert lookup_joins.fits_broadcast(lexicon)
     assert not lookup_joins.fits_broadcast(lexicon, limit=50)
