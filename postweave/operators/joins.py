@@ -18,3 +18,23 @@ def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str] | str, sma
     named = groups.withColumnsRenamed({key: f"_joined {key}" for key in keys})
     same = reduce(lambda a, b: a & b, [F.col(f"`{key}`").eqNullSafe(F.col(f"`_joined {key}`")) for key in keys])
     return df.join(F.broadcast(named) if small else named, same, how).drop(*[f"_joined {key}" for key in keys])
+
+
+# A key with over one in so many of the rows is dealt in pieces of about that size.
+PIECES = 1000
+
+
+def dealt_join(df: DataFrame, groups: DataFrame, tally: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
+    """``join_groups`` on one key, in which the rows of a frequent key do not meet in one task.
+
+    ``tally`` holds the number of ``df``'s rows per key as ``_rows``. The frequent keys, fewer than ``PIECES`` whatever the
+    input, are broadcast with the number of pieces each is dealt into by a hash of the columns ``by``; a row
+    of ``groups`` with such a key is repeated once for each piece: for one row per key, fewer than 2 * ``PIECES`` times in all.
+    """
+    total = tally.agg(F.sum("_rows")).scalar()
+    pieces = F.ceil(F.col("_rows") * PIECES / total).cast("int")
+    often = tally.filter(F.col("_rows") * PIECES > total).select(key, pieces.alias("_pieces"))
+    number = F.coalesce("_pieces", F.lit(1))
+    dealt = join_groups(df, often, key, True, "left").withColumn("_piece", F.pmod(F.xxhash64(*by), number).cast("int"))
+    copies = join_groups(groups, often, key, True, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), number - 1)))
+    return join_groups(dealt.drop("_pieces"), copies.drop("_pieces"), [key, "_piece"]).drop("_piece")

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postweave.operators.joins import dealt_join
+
 # A side is broadcast up to this many bytes of values; each executor holds one copy.
 BROADCAST_BYTES = 32 * 1024 * 1024
-# A word with over one in so many of the rows of a shuffled join is dealt in pieces of about that size.
-PIECES = 1000
 
 
 def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -39,22 +39,13 @@ def lexicon_join(words: DataFrame, lexicon: DataFrame, small: bool | None = None
 
 
 def _dealt_join(words: DataFrame, lexicon: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Inner join on ``word`` by shuffle, in which no word's rows meet in one task if they are many.
-
-    The rows are counted per word first. The frequent words, fewer than ``PIECES`` whatever the input, are broadcast with
-    the number of pieces each is dealt into by a hash of ``by``; the lexicon's rows of such a word are
-    repeated once for each piece, fewer than 2 * ``PIECES`` times for all words together and each label.
-    """
+    """Inner join on ``word`` by shuffle; frequent words are dealt by the columns ``by``."""
     if not by:
         return words.join(lexicon, "word")
+    words, others = words.dropna(subset=["word"]), [name for name in words.columns if name != "word"]
     tally = words.groupBy("word").agg(F.count(F.lit(1)).alias("_rows"))
-    total = tally.agg(F.sum("_rows")).scalar()
-    pieces = F.ceil(F.col("_rows") * PIECES / total).cast("int")
-    often = F.broadcast(tally.filter(F.col("_rows") * PIECES > total).select("word", pieces.alias("_pieces")))
-    number = F.coalesce("_pieces", F.lit(1))
-    dealt = words.join(often, "word", "left").withColumn("_piece", F.pmod(F.xxhash64(*by), number).cast("int")).drop("_pieces")
-    copies = lexicon.join(often, "word", "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), number - 1)))
-    return dealt.join(copies.drop("_pieces"), ["word", "_piece"]).drop("_piece")
+    labels = [name for name in lexicon.columns if name != "word"]
+    return dealt_join(words, lexicon, tally, "word", by).select("word", *others, *labels)
 
 
 def count_sentiments(

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postweave.operators.joins import join_groups
+from postweave.operators.joins import dealt_join, join_groups
 from postweave.operators.scalars import attach
 
 
 def tf_idf(counts: DataFrame, term: str, doc: str, n: str, few_docs: bool = False) -> DataFrame:
     """Add tf (share of the document), idf (ln of documents over documents with the term), tf_idf.
 
-    ``counts`` has one row per document and term; a missing document or term counts as one. ``few_docs`` broadcasts the documents' totals.
+    ``counts`` has one row per document and term; a missing document or term counts as one. ``few_docs`` broadcasts the documents' totals. The
+    rows of a document with many terms, and those of a term in many documents, are dealt over several tasks.
     """
-    totals = counts.groupBy(doc).agg(F.sum(n).alias("_total"))
+    totals = counts.groupBy(doc).agg(F.sum(n).alias("_total"), F.count(F.lit(1)).alias("_rows"))
     documents = totals.agg(F.count(F.lit(1)).alias("_documents"))
     holders = counts.groupBy(term).agg(F.count(F.lit(1)).alias("_holders"))
-    joined = join_groups(join_groups(counts, totals, doc, few_docs), holders, term)
+    sized = totals.drop("_rows")
+    whole = join_groups(counts, sized, doc, True) if few_docs else dealt_join(counts, sized, totals, doc, [term])
+    joined = dealt_join(whole, holders, holders.withColumnRenamed("_holders", "_rows"), term, [doc])
     weighed = attach(joined, documents).withColumns(
         {"tf": F.col(n) / F.col("_total"), "idf": F.ln(F.col("_documents") / F.col("_holders"))}
     )

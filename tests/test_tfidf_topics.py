@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postweave.operators import tfidf, topics
+from postweave.operators import joins, tfidf, topics
 from postweave.plans.topics import topic_buckets
 
 
@@ -182,3 +182,28 @@ def test_no_posts_give_no_topics(spark, make_posts):
 
     model = topic_model(make_posts({"text": "a b"}), k=2, iterations=2, first="2030-01-01")
     assert (model.vocabulary, topics.topic_terms(model).count(), topics.topic_documents(model).count()) == (0, 0, 0)
+
+
+def test_weights_with_a_document_of_half_of_all_terms(spark):
+    # document 0 holds every second row, term "t0" lies in every document
+    rows = spark.range(0, 200_000, 1, 8).select(
+        F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 4999 + 1).alias("doc"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("t"), F.col("id"))).otherwise(F.lit("t0")).alias("term"),
+    )
+    counts = rows.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("doc").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("_rows"))
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for name, value in zip(kept, ("false", "-1")):
+            spark.conf.set(name, value)
+        joined = joins.dealt_join(counts, totals.drop("_rows"), totals, "doc", ["term"])
+        tasks = sorted(r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+        assert tasks[-1] < 2 * tasks[len(tasks) // 2]
+        weighed = tfidf.tf_idf(counts, "term", "doc", "n")
+        assert weighed.count() == counts.count() == sum(tasks)
+        documents = totals.count()
+        found = weighed.filter("doc = 0 and term in ('t0', 't2')").select("term", "tf", "idf").collect()
+        assert {r[0]: r[1:] for r in found} == {"t0": (1e-5, 0.0), "t2": (1e-5, pytest.approx(log(documents)))}
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
