@@ -26,6 +26,7 @@ from postweave.operators import (  # noqa: E402
     statistics,
     tfidf,
     tokens,
+    topic_updates,
     topics,
 )
 from postweave.params import DIVISIONS, METRICS  # noqa: E402
@@ -747,6 +748,25 @@ def q_fit_topics_converged(spark, sf_dir):
     return model.documents.select("bucket", F.round(held).cast("bigint").alias("n"), F.lit(model.converged).alias("converged"))
 
 
+@_query
+def q_update_topics(spark, sf_dir):
+    # fitted on the older posts, then updated with the newer in two batches: the sums per n-gram are those of all posts
+    view = posts_view(spark, sf_dir, "created_at", "text")
+    older = {"n": 1, "division": "biweek", "last": "1995-06-30"}
+    model = topic_plans.topic_model(view, k=3, seed=7, tolerance=0.01, **older)
+    newer = topic_plans.topic_buckets(view, first="1995-07-01", n=1, division="biweek")
+    updated = topic_updates.update_topics(model, newer, batches=2, tolerance=0.01)
+    held = sum((F.col(f"p{topic}") for topic in range(updated.k)), F.lit(0.0))
+    return updated.terms.select("ngram", F.round(held).cast("bigint").alias("n"))
+
+
+@_query
+def q_topic_likelihood(spark, sf_dir):
+    view = posts_view(spark, sf_dir, "created_at", "text")
+    told = topic_updates.topic_likelihood(_topic_model(spark, sf_dir), topic_plans.topic_buckets(view))
+    return rounded(told.select("document", "n", (F.col("log_likelihood") / F.col("n")).alias("per_word")), "per_word")
+
+
 # --- the complete analytics
 
 

@@ -588,6 +588,18 @@ def build() -> dict[str, str]:
             final=f"SELECT {_TOPIC}, term, round(beta, 6) AS beta FROM t",
         ),
         "topic_documents": _posts(*month_model, final=_gamma(4)),
+        "topic_likelihood": _posts(
+            *month_model,
+            f"gamma AS (SELECT bucket, topic, (d + {50 / 4!r}::DOUBLE) / (sum(d) OVER (PARTITION BY bucket) + {50.0!r}::DOUBLE) AS g FROM held)",
+            "chances AS (SELECT bucket, ngram, n, sum(g * beta) AS chance FROM cells JOIN gamma USING (bucket) "
+            "JOIN beta ON term = ngram AND beta.topic = gamma.topic GROUP BY ALL)",
+            final="SELECT bucket AS document, CAST(sum(n) AS BIGINT) AS n, round(sum(n * ln(chance)) / sum(n), 6) AS per_word "
+            "FROM chances GROUP BY bucket",
+        ),
+        "update_topics": _posts(
+            f"c AS ({_cells(1, 'biweek')})", final="SELECT ngram, CAST(sum(n) AS BIGINT) AS n FROM c "
+            "WHERE bucket IS NOT NULL AND ngram IS NOT NULL GROUP BY ngram"
+        ),
         # the complete analytics
         "fit_topics_converged": _posts(
             f"c AS ({_cells(1, 'biweek')})", final="SELECT bucket, CAST(sum(n) AS BIGINT) AS n, true AS converged FROM c "

@@ -13,9 +13,11 @@ there are, and how much an iteration moved.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postweave.operators.counts import count_by
@@ -83,21 +85,10 @@ def fit_topics(
     at_least("iterations", iterations, 0)
     spark = counts.sparkSession
     home = fresh_folder(spark, "topics")
-    database = home.rsplit("/", 1)[1].replace("-", "_")
     prior = 50.0 / k if document_prior is None else document_prior
 
-    def stored(table: DataFrame, name: str, buckets: int = 0) -> DataFrame:
-        writer = table.write.mode("overwrite").format("parquet")
-        (writer.bucketBy(buckets, "ngram") if buckets else writer).saveAsTable(f"{database}.{name}")
-        return spark.table(f"{database}.{name}")
-
-    def kept(table: DataFrame, name: str) -> DataFrame:
-        table.write.parquet(f"{home}/{name}")
-        return spark.read.schema(table.schema).parquet(f"{home}/{name}")
-
     taken, moved = 0, None
-    spark.sql(f"CREATE DATABASE {database} LOCATION '{home}/iterations'")
-    try:
+    with work_tables(spark, home) as stored:
         # the counts are stored first, so that their number can size the buckets
         counted = stored(counts.dropna(subset=["bucket", "ngram"]), "counts")
         buckets = _bucket_number(counted.count(), spark.sparkContext.defaultParallelism)
@@ -116,14 +107,35 @@ def fit_topics(
             taken, moved = step, _moved(before, held, k)
             if moved < tolerance:
                 break
-        terms = kept(listed, "terms")
-        documents = kept(held, "documents")
-    finally:
-        spark.sql(f"DROP DATABASE {database} CASCADE")
+        terms = kept_table(listed, home, "terms")
+        documents = kept_table(held, home, "documents")
     converged = moved is not None and moved < tolerance
     return TopicModel(terms, documents, k, vocabulary, prior, term_prior, home, taken, moved, converged)
 
 
+@contextmanager
+def work_tables(spark: SparkSession, home: str) -> Iterator[Callable[..., DataFrame]]:
+    """A function that stores a table, in buckets of n-grams if asked, below ``home``; all go at the end."""
+    database = home.rsplit("/", 1)[1].replace("-", "_")
+
+    def stored(table: DataFrame, name: str, buckets: int = 0, parts: Sequence[str] = ()) -> DataFrame:
+        writer = table.write.mode("overwrite").format("parquet")
+        writer = writer.partitionBy(*parts) if parts else writer
+        (writer.bucketBy(buckets, "ngram") if buckets else writer).saveAsTable(f"{database}.{name}")
+        return spark.table(f"{database}.{name}")
+
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{home}/iterations'")
+    try:
+        yield stored
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def kept_table(table: DataFrame, home: str, name: str) -> DataFrame:
+    table.write.parquet(f"{home}/{name}")
+    return table.sparkSession.read.schema(table.schema).parquet(f"{home}/{name}")
+
+
 def topic_terms(model: TopicModel, top: int = 5) -> DataFrame:
     """The ``top`` terms of each topic, as (topic, term, beta); a topic's betas sum to one over all terms.
 
