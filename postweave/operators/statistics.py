@@ -18,6 +18,9 @@ from postweave.operators.order_statistics import values_at
 from postweave.params import TREND_METHODS, at_least, one_of, percentile
 
 
+_WHOLE = ("byte", "short", "integer", "long")
+
+
 def tally_values(df: DataFrame, groups: Sequence[str], value: str, out: str = "times") -> DataFrame:
     """Rows per group and distinct value; what medians and histograms can be read from."""
     return df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias(out))
@@ -36,17 +39,31 @@ def tally_median(
 
 
 def metric_summary(df: DataFrame, key: str, value: str, few_groups: bool = False, cuts: int = 2) -> DataFrame:
-    """Minimum, median, mean, maximum, sample deviation and number of values per key; ``cuts`` as in ``values_at``."""
-    moments = df.groupBy(key).agg(
+    """Minimum, median, mean, maximum, sample deviation and number of rows per key; ``cuts`` as in ``values_at``.
+
+    All come from one count of distinct values, so the input is read once. Sums of whole numbers are exact; deviations
+    are taken from the mean, not from a difference of large sums.
+    """
+    # no branch leaves a count out, and filters on counts stay above the aggregate: so all branches share its shuffle
+    tally = df.groupBy(key, value).agg(F.count(value).alias("_times"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 0")
+    valued = tally.filter("_times > 0")
+    number = F.col(value).cast("decimal(20,0)") if df.schema[value].dataType.typeName() in _WHOLE else F.col(value).cast("double")
+    means = tally.groupBy(key).agg(
         F.min(value).alias("min"),
-        F.avg(value).alias("mean"),
         F.max(value).alias("max"),
-        F.stddev_samp(value).alias("sd"),
-        F.count(F.lit(1)).alias("TotalTweets"),
+        F.try_divide(F.sum(number * F.col("_times")), F.sum("_times")).alias("_mean"),
+        F.sum("_times").alias("_values"),
+        F.sum("_rows").alias("TotalTweets"),
     )
-    medians = tally_median(tally_values(df, [key], value), [key], value, few_groups=few_groups, cuts=cuts)
-    joined = join_groups(moments, medians, key, few_groups, "left")
-    return joined.select(key, "min", "median", "mean", "max", "sd", "TotalTweets")
+    # differences are taken before values become doubles, which whole numbers from 2^53 on do not fit
+    apart = (number - F.col("_mean")).cast("double")
+    spread = join_groups(valued, means.select(key, "_mean"), key, few_groups)
+    spread = spread.groupBy(key).agg(F.sum(apart * apart * F.col("_times")).alias("_squares"))
+    medians = tally_median(valued, [key], value, "_times", few_groups=few_groups, cuts=cuts)
+    joined = join_groups(join_groups(means, medians, key, few_groups, "left"), spread, key, few_groups, "left")
+    deviation = F.sqrt(F.try_divide(F.col("_squares"), F.col("_values") - 1))
+    mean = F.col("_mean").cast("double").alias("mean")
+    return joined.select(key, "min", "median", mean, "max", deviation.alias("sd"), "TotalTweets")
 
 
 def group_median(df: DataFrame, groups: Sequence[str], value: str, few_groups: bool = False) -> DataFrame:

@@ -94,6 +94,31 @@ def test_metric_summary(spark):
     assert found["b"]["sd"] is None
 
 
+def test_metric_summary_of_missing_close_and_large_values(spark):
+    big = 2**53
+    rows = [("a", None), ("a", big + 1), ("a", big + 3), ("a", big + 3), ("b", None), (None, 4), (None, 4), ("c", -7), ("c", 7)]
+    df = spark.createDataFrame(rows, "g string, v bigint")
+    for few in (True, False):
+        found = {r["g"]: tuple(r)[1:] for r in statistics.metric_summary(df, "g", "v", few).collect()}
+        assert found["a"][:5] == (big + 1, float(big + 3), pytest.approx(big + 7 / 3, rel=1e-15), big + 3, pytest.approx(2 / sqrt(3)))
+        assert found["a"][5] == 4
+        assert found["b"] == (None, None, None, None, None, 1)
+        assert found[None] == (4, 4.0, 4.0, 4, 0.0, 2)
+        assert found["c"] == (-7, 0.0, 0.0, 7, pytest.approx(sqrt(98)), 2)
+    # values that lie close together far from zero
+    close = spark.createDataFrame([("a", 1e9 + x / 8) for x in range(9)], "g string, v double")
+    assert statistics.metric_summary(close, "g", "v").first()["sd"] == pytest.approx(plain.stdev([x / 8 for x in range(9)]))
+
+
+def test_a_summary_reads_its_input_once(spark, tmp_path):
+    path = str(tmp_path / "values")
+    values(spark, ("a", 1), ("a", 2), ("b", 5)).write.parquet(path)
+    df = statistics.metric_summary(spark.read.parquet(path), "g", "v", few_groups=True)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1
+
+
 def test_equal_values_have_no_label(spark):
     df = values(spark, ("a", 3), ("a", 3))
     assert statistics.label_high_low(df, "v", 50).count() == 0
