@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from postweave.operators.lookup_joins import fits_broadcast
 from postweave.params import STOP_MODES, one_of
 
-
 def select_columns(df: DataFrame, columns: Sequence[str], renamed: Mapping[str, str] | None = None) -> DataFrame:
     """Project to ``columns`` and rename some of them."""
     return df.select(*columns).withColumnsRenamed(dict(renamed or {}))
@@ -39,21 +38,27 @@ def drop_stopword_ngrams(
 
     ``token`` compares whole words. ``substring`` matches the stop words joined into one regex
     anywhere in the n-gram, so a one-letter stop word drops every n-gram with that letter. Listed words are
-    looked up in a set. A table of stop words, first column, may be of any size: the n-grams that hold one are found
-    by a join on their words, or on their substrings of the lengths that occur among the stop words; these are
-    plain text, no regex. An n-gram that is null stays.
+    looked up in a set. A table of stop words, first column, may be of any size, and its words are plain text, no regex.
+    Its join is on the words of the n-grams; for substrings, these words are first looked through themselves, each once.
+    An n-gram that is null stays.
     """
     one_of("mode", mode, STOP_MODES)
     if isinstance(stopwords, DataFrame):
         listed = stopwords.select(F.col(f"`{stopwords.columns[0]}`").alias("_word")).dropna().distinct()
-        distinct = df.select(F.col(column).alias("_held")).dropna().distinct()
+        # a condition that always holds: this branch needs all columns, as the other does, and shares its shuffle
+        read = df.filter(F.xxhash64(*[F.col(f"`{name}`") for name in df.columns]) >= F.lit(-(2**63)))
+        distinct = read.select(F.col(column).alias("_held")).distinct()
+        # outer, though no split is empty: a plain one puts a condition of its own below the counts
+        split = distinct.select("_held", F.explode_outer(F.array_distinct(F.split("_held", " "))).alias("_word"))
         if mode == "substring":
-            held = _substrings(distinct, listed)
-            listed = F.broadcast(listed) if fits_broadcast(listed) else listed
+            within, across = listed.filter(~F.contains("_word", F.lit(" "))), listed.filter(F.contains("_word", F.lit(" ")))
+            stopped = split.join(_with_substring(split.select("_word").distinct(), "_word", within), "_word").select("_held")
+            if not across.isEmpty():
+                stopped = stopped.unionByName(_with_substring(distinct, "_held", across, " "))
         else:
-            held = distinct.select("_held", F.explode(F.array_distinct(F.split("_held", " "))).alias("_word"))
-        stopped = held.join(listed, "_word").select("_held").distinct()
-        return df.join(stopped, F.col(column) == F.col("_held"), "left_anti")
+            stopped = split.join(F.broadcast(listed) if fits_broadcast(listed) else listed, "_word").select("_held")
+        # not an anti join, which would be put below the counts
+        return df.join(stopped.distinct(), F.col(column) == F.col("_held"), "left").filter(F.col("_held").isNull()).drop("_held")
     if not stopwords:
         return df
     if mode == "substring":
@@ -63,16 +68,40 @@ def drop_stopword_ngrams(
     return df.filter(~F.coalesce(held, F.lit(False)))
 
 
-def _substrings(grams: DataFrame, listed: DataFrame) -> DataFrame:
-    """The parts of each n-gram, as ``_word``, that are as long as some stop word.
+# The parts of a value are looked up by so many of their first characters before they are shuffled.
+HEAD = 3
+
 
-    Each meets at most one stop word in the join, however many stop words begin alike.
+def _with_substring(values: DataFrame, column: str, listed: DataFrame, mark: str = "") -> DataFrame:
+    """The distinct ``values`` of which some part is in ``listed``, whose words all hold ``mark``.
+
+    Listed words of at most ``HEAD`` characters and the beginnings of longer ones are broadcast if they fit: values with one
+    of the former are not looked through further, parts that begin like none of the latter are not shuffled.
+    """
+    heads = listed.select(F.length("_word").alias("_size"), F.substring("_word", 1, HEAD).alias("_head")).distinct()
+    if not fits_broadcast(heads):
+        return _parts(values, column, listed, mark).join(listed.withColumnRenamed("_word", "_part"), "_part").select(column).distinct()
+    heads = F.broadcast(heads)
+    short, long = listed.filter(F.length("_word") <= HEAD), listed.filter(F.length("_word") > HEAD)
+    found = _parts(values, column, short, mark).join(heads, (F.col("_part") == F.col("_head")) & (F.col("_size") == F.length("_part")), "left_semi")
+    found = found.select(column).distinct()
+    parts = _parts(values.join(found, column, "left_anti"), column, long, mark).withColumn("_head", F.substring("_part", 1, HEAD))
+    parts = parts.withColumn("_size", F.length("_part")).join(heads, ["_size", "_head"], "left_semi")
+    long = long.withColumnRenamed("_word", "_part")
+    more = parts.join(F.broadcast(long) if fits_broadcast(long) else long, "_part").select(column)
+    return found.unionByName(more.distinct())
+
+
+def _parts(values: DataFrame, column: str, listed: DataFrame, mark: str) -> DataFrame:
+    """The parts of each value, as ``_part``, that are as long as some listed word and hold ``mark``.
+
+    Each meets at most one listed word in a join, however many of these begin alike.
     """
     sizes = listed.agg(F.collect_set(F.length("_word")).alias("sizes")).scalar()
-    sized = grams.select("_held", F.explode(sizes).alias("_size")).filter(F.col("_size") <= F.length("_held"))
-    last = F.length("_held") - F.col("_size") + 1
-    placed = sized.select("_held", "_size", F.explode(F.sequence(F.lit(1), last)).alias("_at"))
-    return placed.select("_held", F.col("_held").substr(F.col("_at"), F.col("_size")).alias("_word"))
+    sized = values.select(column, F.explode(sizes).alias("_span")).filter(F.col("_span") <= F.length(column))
+    last = F.length(column) - F.col("_span") + 1
+    placed = sized.select(column, "_span", F.explode(F.sequence(F.lit(1), last)).alias("_at"))
+    return placed.select(column, F.col(column).substr(F.col("_at"), F.col("_span")).alias("_part")).filter(F.contains("_part", F.lit(mark)))
 
 
 def exclude_exact(df: DataFrame, column: str, value: str) -> DataFrame:

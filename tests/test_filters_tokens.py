@@ -127,3 +127,19 @@ piece = st.sampled_from(["https://t.co/ab", "https:", "<b>", "x<y>", "//t.co/",
 def test_cleaning_twice_is_cleaning_once(spark, posts):
     df = texts(spark, *posts).select(clean_text(F.col("text")).alias("once"))
     assert df.filter(clean_text(F.col("once")) != F.col("once")).count() == 0
+
+
+def test_only_parts_that_begin_like_a_stop_word_are_joined(spark):
+    values = spark.createDataFrame([("abcdef",), ("xyz",), ("b12345",), ("9",)], "word string")
+    listed = spark.createDataFrame([("cdef",), ("1234",), ("9999",), ("9",)], "_word string")
+    found = filters._with_substring(values, "word", listed)
+    assert sorted(r[0] for r in found.collect()) == ["9", "abcdef", "b12345"]
+    # digits are looked up before they are shuffled: letters alone make no rows for the join
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_substring_stop_words_across_words(spark, rows_of):
+    df = spark.createDataFrame([("good day", 1), ("good dog", 2), ("dday x", 3), (None, 4)], "ngram string, n int")
+    table = spark.createDataFrame([("d da",), ("ay x",)], "word string")
+    kept = filters.drop_stopword_ngrams(df, "ngram", table, "substring")
+    assert sorted(r["n"] for r in kept.collect()) == [2, 4]

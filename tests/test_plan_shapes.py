@@ -117,3 +117,11 @@ def test_texts_are_tokenised_once(spark):
         df.collect()
         lines = executed_lines(df._jdf.queryExecution().executedPlan().toString())
         assert sum("regexp_extract_all" in line for line in lines) == 1, name
+
+
+@pytest.mark.parametrize("name", ["drop_stopword_ngrams_table", "drop_stopword_ngrams_substring_table"])
+def test_a_table_of_stop_words_shares_the_shuffle_of_the_counts(spark, name):
+    df = driver.queries()[name](spark, SF_DIR)
+    df.collect()
+    lines = executed_lines(df._jdf.queryExecution().executedPlan().toString())
+    assert sum("regexp_extract_all" in line for line in lines) == 1
