@@ -125,3 +125,15 @@ def test_a_table_of_stop_words_shares_the_shuffle_of_the_counts(spark, name):
     df.collect()
     lines = executed_lines(df._jdf.queryExecution().executedPlan().toString())
     assert sum("regexp_extract_all" in line for line in lines) == 1
+
+
+@pytest.mark.parametrize("name", ["tokenize_ngrams_4"])
+def test_ngrams_are_counted_over_splits_of_bounded_text(spark, monkeypatch, tmp_path, name):
+    texts = [(k, f"the w{k} of x{k % 3} y{k % 2} z and {k}") for k in range(64)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(16).write.parquet(f"{tmp_path}/documents.parquet")
+    query = driver.queries()[name]
+    before = sorted(map(tuple, query(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(driver.storage, "SPLIT_BYTES", 20)
+    made = query(spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, made.collect())) == before and before

@@ -172,3 +172,16 @@ def test_spread_only_changes_scans_with_few_splits(spark, tmp_path):
     assert storage.spread(spark.read.parquet(path), "id").rdd.getNumPartitions() == cores
     many = spark.range(0, 100, 1, cores + 3)
     assert storage.spread(many) is many
+
+
+def test_spread_bounds_the_text_of_a_split(spark, tmp_path, monkeypatch):
+    # enough splits for the cores, of which each holds too much text
+    path, cores = str(tmp_path / "texts"), spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 400, 1, 2 * cores)
+    rows.selectExpr("id", "if(id % 7 = 0, null, repeat('word ', 100)) text").write.parquet(path)
+    scan = spark.read.parquet(path)
+    assert storage.spread(scan, "id").rdd.getNumPartitions() == scan.rdd.getNumPartitions()
+    monkeypatch.setattr(storage, "SPLIT_BYTES", 2000)
+    dealt = storage.spread(scan, "id")
+    assert dealt.rdd.getNumPartitions() == -(-342 * 500 // 2000)
+    assert sorted(dealt.collect(), key=str) == sorted(scan.collect(), key=str)
