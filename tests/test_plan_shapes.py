@@ -127,7 +127,7 @@ def test_a_table_of_stop_words_shares_the_shuffle_of_the_counts(spark, name):
     assert sum("regexp_extract_all" in line for line in lines) == 1
 
 
-@pytest.mark.parametrize("name", ["tokenize_ngrams_4"])
+@pytest.mark.parametrize("name", ["drop_stopword_ngrams", "tokenize_ngrams_4"])
 def test_ngrams_are_counted_over_splits_of_bounded_text(spark, monkeypatch, tmp_path, name):
     texts = [(k, f"the w{k} of x{k % 3} y{k % 2} z and {k}") for k in range(64)]
     spark.createDataFrame(texts, "doc_id long, text string").repartition(16).write.parquet(f"{tmp_path}/documents.parquet")
