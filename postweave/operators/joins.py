@@ -24,12 +24,13 @@ def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str] | str, sma
 PIECES = 1000
 
 
-def dealt_join(df: DataFrame, groups: DataFrame, tally: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
+def dealt_join(df: DataFrame, groups: DataFrame, tally: DataFrame, key: str, by: Sequence[str], missing: bool = True) -> DataFrame:
     """``join_groups`` on one key, in which the rows of a frequent key do not meet in one task.
 
     ``tally`` holds the number of ``df``'s rows per key as ``_rows``. The frequent keys, fewer than ``PIECES`` whatever the
     input, are broadcast with the number of pieces each is dealt into by a hash of the columns ``by``; a row
     of ``groups`` with such a key is repeated once for each piece: for one row per key, fewer than 2 * ``PIECES`` times in all.
+    Without ``missing`` a null key meets none, which spares the sort two further keys.
     """
     total = tally.agg(F.sum("_rows")).scalar()
     pieces = F.ceil(F.col("_rows") * PIECES / total).cast("int")
@@ -37,4 +38,6 @@ def dealt_join(df: DataFrame, groups: DataFrame, tally: DataFrame, key: str, by:
     number = F.coalesce("_pieces", F.lit(1))
     dealt = join_groups(df, often, key, True, "left").withColumn("_piece", F.pmod(F.xxhash64(*by), number).cast("int"))
     copies = join_groups(groups, often, key, True, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), number - 1)))
-    return join_groups(dealt.drop("_pieces"), copies.drop("_pieces"), [key, "_piece"]).drop("_piece")
+    dealt, copies = dealt.drop("_pieces"), copies.drop("_pieces")
+    both = join_groups(dealt, copies, [key, "_piece"]) if missing else dealt.join(copies, [key, "_piece"])
+    return both.drop("_piece")

@@ -137,3 +137,10 @@ def test_ngrams_are_counted_over_splits_of_bounded_text(spark, monkeypatch, tmp_
     made = query(spark, str(tmp_path))
     assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, made.collect())) == before and before
+
+
+def test_the_tally_of_a_large_lexicon_does_not_count_by_post(plan):
+    # the counts per post and word are shuffled for the join alone
+    shown = plan("lexicon_join_large")
+    folds = re.findall(r"Exchange hashpartitioning\(status_id#\d+, word#\d+.*\n[^\n]*HashAggregate\(keys=\[status_id#\d+, word#\d+\], functions=\[([^\]]*)\]", shown)
+    assert folds == ["partial_count(1)"]
