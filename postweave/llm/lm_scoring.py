@@ -1,13 +1,15 @@
 """Document scores by masked pseudo-likelihood.
 
 A token is a lower-cased word, hashed into ``TOKENS`` ids. A network sees the two tokens on either side of a place, not
-the one in it, and gives every id a probability there: its own output is a distribution over ``CLASSES`` classes of ids of
-like frequency, and within a class ids have their share of the corpus, so that all ids together come to one. A document's
-score is the sum of the log-probabilities of all its tokens.
+the one in it, and gives every id a probability there: first that of one of ``CLASSES`` classes of ids of like frequency, then
+that of the id within its class, by cuts of the class (``lm_tokens``). Each id has a vector of its own as input, beside one of its
+class, and each cut one as output; all ids together come to one. A document's score is the sum of the log-probabilities of all
+its tokens.
 
 Counts are taken over all documents. The network is trained on every place of every document, in rounds: each task
-starts from the same weights, goes through its documents, and the weights of all tasks are averaged, weighted by their
-tokens, in a shuffle. What reaches the driver are one number for each id and each weight, whatever the corpus' size.
+starts from the same weights, goes through its documents, and the weights of all tasks are averaged in a shuffle: dense ones
+weighted by tokens, an id's or a cut's vectors by how often a task met them. What reaches the driver, and every task, is a
+number and two vectors for each id that occurs, of which there are at most ``TOKENS``.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postweave.llm.lm_tokens import BLOCK, Tokens, Tree, mean_rows, tree
 from postweave.llm.words import groups, lower_ascii, word_hashes, word_spans
 
 TOKENS = 1 << 20
@@ -28,6 +31,8 @@ HIDDEN = 16
 PLACES = (-2, -1, 1, 2)
 ROUNDS = 1
 BATCH = 2048
+RUN = 4 * BATCH
+TOKEN_RATE = 0.1
 _BASE = 0x9E3779B97F4A7C15
 _SHAPES = {"inner": (len(PLACES), CLASSES + 1, HIDDEN), "inner_bias": (HIDDEN,), "outer": (HIDDEN, CLASSES), "outer_bias": (CLASSES,)}
 
@@ -66,9 +71,14 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return own.groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def by_count(counts: np.ndarray) -> np.ndarray:
+    """All ids, those of the highest counts first."""
+    return np.lexsort((np.arange(TOKENS), -counts))
+
+
 def vocabulary(counts: np.ndarray) -> Vocabulary:
     """Classes cut at equal sums of the square roots of counts: the frequent ids have classes nearly to themselves."""
-    order = np.lexsort((np.arange(TOKENS), -counts))
+    order = by_count(counts)
     mass = np.cumsum(np.sqrt(counts[order] + 1e-6))
     classes = np.empty(TOKENS, dtype=np.int64)
     classes[order] = np.minimum((mass - mass[0]) / mass[-1] * CLASSES, CLASSES - 1).astype(np.int64)
@@ -99,41 +109,72 @@ def windows(classes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.stack(seen).astype(np.int64)
 
 
-def log_probabilities(weights: dict[str, np.ndarray], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-probability of each class, hidden layer) for each column of ``seen``."""
-    hidden = weights["inner"][0][seen[0]] + weights["inner_bias"]
+def class_logits(
+    weights: dict[str, np.ndarray], seen: np.ndarray, added: np.ndarray | None = None, exact: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """(logit of each class, 0 at most, hidden layer) for each column of ``seen``; ``added`` is what tokens add to that layer.
+
+    A matrix product may add up a row by where it lies in its block. If ``exact``, both its sides are rounded to steps whose
+    products add up without rounding in double precision: then a row's result does not depend on that.
+    """
+    hidden = weights["inner"][0].take(seen[0], axis=0) + weights["inner_bias"]
     for place in range(1, len(PLACES)):
-        hidden += weights["inner"][place][seen[place]]
+        hidden += weights["inner"][place].take(seen[place], axis=0)
+    if added is not None:
+        hidden += added
     np.tanh(hidden, out=hidden)
-    # a matrix product may add up a row by where it lies in its block; scores must not depend on that
-    logits = np.einsum("nh,hc->nc", hidden, weights["outer"], optimize=False) if hidden.dtype == np.float64 else hidden @ weights["outer"]
+    if exact:
+        outer = weights["outer"].astype(np.float64)
+        step = 2.0 ** (np.ceil(np.log2(np.abs(outer).sum(axis=0).max() + 1e-9)) - 26)
+        units = np.rint(hidden.astype(np.float64) * 2.0**26)
+        logits = ((units @ np.rint(outer / step)) * (step * 2.0**-26)).astype(hidden.dtype)
+    else:
+        logits = hidden @ weights["outer"]
     logits += weights["outer_bias"]
     logits -= logits.max(axis=1, keepdims=True)
+    return logits, hidden
+
+
+def log_probabilities(
+    weights: dict[str, np.ndarray], seen: np.ndarray, added: np.ndarray | None = None, exact: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """(log-probability of each class, hidden layer) for each column of ``seen``, see ``class_logits``."""
+    logits, hidden = class_logits(weights, seen, added, exact)
     logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
     return logits, hidden
 
 
 class Trainer:
-    """Adam on the negative log-probability of the class in the middle."""
+    """Adam on the negative log-probability of the class in the middle, with ``tokens`` on that of the token itself."""
 
-    def __init__(self, weights: dict[str, np.ndarray], rate: float = 0.01):
+    def __init__(self, weights: dict[str, np.ndarray], rate: float = 0.01, tokens: Tokens | None = None):
+        self.known = tokens
         self.weights = {name: value.astype(np.float32) for name, value in weights.items()}
         self.moments = {name: (np.zeros_like(value), np.zeros_like(value)) for name, value in self.weights.items()}
         self.rate, self.steps, self.tokens = rate, 0, 0
 
-    def learn(self, seen: np.ndarray, classes: np.ndarray) -> None:
-        logs, hidden = log_probabilities(self.weights, seen)
+    def learn(self, seen: np.ndarray, classes: np.ndarray, places: np.ndarray | None = None, rows: np.ndarray | None = None) -> None:
+        """A step on some places; with tokens, on a run of them, ``rows`` being ``around`` it."""
+        known, held = self.known, seen != CLASSES
+        off, hidden = class_logits(self.weights, seen, known and known.added(rows, held))
         total = len(classes)
-        off = np.exp(logs)
+        np.exp(off, out=off)
+        off /= off.sum(axis=1, keepdims=True)
         off[np.arange(total), classes] -= 1
+        back = off @ self.weights["outer"].T
+        if known:
+            back += known.learn_cuts(hidden, classes, places)
+        back *= 1 - hidden**2
+        if known:
+            known.learn_near(rows, held, back)
         off /= total
-        back = (off @ self.weights["outer"].T) * (1 - hidden**2)
+        back /= total
         inner = np.zeros(_SHAPES["inner"], dtype=np.float32)
         for place in range(len(PLACES)):
-            order = np.argsort(seen[place], kind="stable")
+            order = np.argsort(seen[place].astype(np.uint8), kind="stable")
             keys = seen[place][order]
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            inner[place][keys[starts]] = np.add.reduceat(back[order], starts, axis=0)
+            inner[place][keys[starts]] = np.add.reduceat(back.take(order, axis=0), starts, axis=0)
         self.steps += 1
         self.tokens += total
         slopes = {"inner": inner, "inner_bias": back.sum(axis=0), "outer": hidden.T @ off, "outer_bias": off.sum(axis=0)}
@@ -193,42 +234,136 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> dict[str,
     return weights
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-    """The vocabulary of all documents and a network trained on all of them."""
+NEAR, CUTS, DENSE = range(3)
+_LEARNT = "kind int, block int, rows binary, visits binary, values binary"
+
+
+def train_tokens(docs: DataFrame, words: Vocabulary, known: Tree, rounds: int = ROUNDS) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The network's weights, the ids' vectors and those of cuts after ``rounds`` passes over all documents."""
+    context = docs.sparkSession.sparkContext
+    texts = docs.select(F.col("text").cast("binary").alias("text"))
+    shared = context.broadcast((words.classes, known))
+    weights = start_weights(words.shares)
+    tables = [np.zeros((known.known + 2, HIDDEN), dtype=np.float16) for _ in (NEAR, CUTS)]
+    for turn in range(rounds):
+        start = context.broadcast((weights, tables if turn else None))
+
+        def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            classes, known = shared.value
+            weights, tables = start.value
+            near, cuts = tables or [np.zeros((known.known + 2, HIDDEN))] * 2
+            tokens = Tokens(known, near, cuts, PLACES, TOKEN_RATE / (turn + 1))
+            trainer = Trainer(weights, 0.01 / (turn + 1), tokens)
+            for batch in batches:
+                for _, _, ids, doc in token_ids(batch.column(0)):
+                    own, places = classes.take(ids).astype(np.int64), known.places.take(ids)
+                    seen = windows(own, doc)
+                    for at in range(0, len(own), RUN):
+                        end = min(at + RUN, len(own))
+                        trainer.learn(seen[:, at:end], own[at:end], places[at:end], tokens.around(places, at, end))
+            if trainer.tokens:
+                count = np.array([trainer.tokens], dtype=np.int64).tobytes()
+                yield _binary([(DENSE, 0, b"", count, _flat(trainer.weights).tobytes())], _LEARNT)
+                for kind, table in ((NEAR, tokens.near), (CUTS, tokens.cuts)):
+                    some = []
+                    for block in table.blocks():
+                        some.append((kind, *block))
+                        if len(some) == 100:
+                            yield _binary(some, _LEARNT)
+                            some = []
+                    yield _binary(some, _LEARNT)
+
+        parts = texts.mapInArrow(learnt, _LEARNT).groupBy("kind", "block")
+        means = parts.applyInArrow(_mean, "kind int, block int, rows binary, values binary").toArrow()
+        for kind, block, rows, values in zip(*(means.column(k).to_pylist() for k in range(4))):
+            if kind == DENSE:
+                weights = _shaped(np.frombuffer(values))
+            else:
+                tables[kind][block * BLOCK + np.frombuffer(rows, dtype=np.uint16).astype(np.int64)] = np.frombuffer(values, dtype=np.float16).reshape(-1, HIDDEN)
+        start.destroy()
+    shared.destroy()
+    return weights, *tables
+
+
+def _binary(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [part.split()[0] for part in schema.split(", ")]
+    types = [pa.int32() if part.endswith(" int") else pa.binary() for part in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], kind) for k, kind in enumerate(types)], names)
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """The mean of all tasks' weights of one block, added up in the same order whatever the order they come in."""
+    kind, block = table.column("kind")[0].as_py(), table.column("block")[0].as_py()
+    parts = sorted(zip(*(table.column(name).to_pylist() for name in ("rows", "visits", "values"))))
+    if kind == DENSE:
+        counts = [int(np.frombuffer(visits, dtype=np.int64)[0]) for _, visits, _ in parts]
+        rows, values = b"", (sum(np.frombuffer(part[2]) * n for part, n in zip(parts, counts)) / sum(counts)).tobytes()
+    else:
+        rows, values = mean_rows(parts, HIDDEN)
+    return pa.Table.from_batches([_binary([(kind, block, rows, values)], "kind int, block int, rows binary, values binary")])
+
+
+def count_ids(docs: DataFrame) -> np.ndarray:
     table = count_tokens(docs).toArrow()
     counts = np.zeros(TOKENS)
     counts[table.column("id").to_numpy()] = table.column("n").to_numpy()
-    words = vocabulary(counts)
+    return counts
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, dict[str, np.ndarray]]:
+    """The vocabulary of all documents and a network of classes alone, trained on all of them: ids have their share of a class."""
+    words = vocabulary(count_ids(docs))
     return words, train(docs, words, rounds)
 
 
-def text_scores(texts: pa.Array, words: Vocabulary, weights: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of tokens, sum of log-probabilities) of each of the binary ``texts``."""
+def fit_tokens(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, dict[str, np.ndarray], tuple[Tree, np.ndarray, np.ndarray]]:
+    """The vocabulary of all documents and the network, trained on all of them; the last is the tree, ids' and cuts' vectors."""
+    counts = count_ids(docs)
+    words = vocabulary(counts)
+    known = tree(counts, by_count(counts), words.classes, CLASSES)
+    weights, near, cuts = train_tokens(docs, words, known, rounds)
+    return words, weights, (known, near, cuts)
+
+
+def text_scores(
+    texts: pa.Array, words: Vocabulary, weights: dict[str, np.ndarray], tokens: Tokens | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(number of tokens, sum of log-probabilities) of each of the binary ``texts``; without ``tokens``, by shares of classes."""
     numbers, sums = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+    single = {name: value.astype(np.float32) for name, value in weights.items()}
     for first, end, ids, doc in token_ids(texts):
-        own = words.classes[ids].astype(np.int64)
+        own = words.classes.take(ids).astype(np.int64)
         seen = windows(own, doc)
+        places = tokens and tokens.tree.places.take(ids)
         logs = np.empty(len(own))
-        for at in range(0, len(own), 4 * BATCH):
-            part = slice(at, at + 4 * BATCH)
-            made, _ = log_probabilities(weights, seen[:, part])
+        for at in range(0, len(own), RUN):
+            part = slice(at, min(at + RUN, len(own)))
+            added = tokens and tokens.added(tokens.around(places, at, part.stop), seen[:, part] != CLASSES)
+            made, hidden = log_probabilities(single, seen[:, part], added, exact=True)
             logs[part] = made[np.arange(len(made)), own[part]]
+            logs[part] += tokens.within(hidden, own[part], places[part]) if tokens else words.within[ids[part]]
         numbers[first:end] = np.bincount(doc, minlength=end - first)
-        sums[first:end] = np.bincount(doc, logs + words.within[ids], end - first)
+        sums[first:end] = np.bincount(doc, logs, end - first)
     return numbers, sums
 
 
-def score(docs: DataFrame, words: Vocabulary, weights: dict[str, np.ndarray]) -> DataFrame:
+def score(
+    docs: DataFrame, words: Vocabulary, weights: dict[str, np.ndarray], tokens: tuple[Tree, np.ndarray, np.ndarray] | None = None
+) -> DataFrame:
     """One row per document: doc_id, n_tokens, log_likelihood, mean_log_likelihood (null without tokens).
 
-    In double precision and with sums in the order of the text: equal texts have equal scores however they are batched.
+    A place's log-probability does not depend on what else is in a batch, and sums are in double precision and in the order of
+    the text: equal texts have equal scores however they are batched.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((words, weights))
+    if tokens:
+        words = Vocabulary(words.classes, words.within[:0], words.shares)
+    sent = docs.sparkSession.sparkContext.broadcast((words, weights, tokens))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights = sent.value
+        words, weights, tokens = sent.value
+        known = tokens and Tokens(*tokens, PLACES)
         for batch in batches:
-            numbers, sums = text_scores(batch.column(1), words, weights)
+            numbers, sums = text_scores(batch.column(1), words, weights, known)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -249,5 +384,5 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     A null or empty text has no tokens and log_likelihood 0. Rows with null or repeated ids are scored like any other;
     an empty table gives no rows; other columns are ignored.
     """
-    words, weights = fit(docs, rounds)
-    return score(docs, words, weights)
+    words, weights, tokens = fit_tokens(docs, rounds)
+    return score(docs, words, weights, tokens)
