@@ -32,6 +32,7 @@ PLACES = (-2, -1, 1, 2)
 ROUNDS = 1
 BATCH = 2048
 RUN = 4 * BATCH
+CUT_UNITS = 8
 TOKEN_RATE = 0.1
 _BASE = 0x9E3779B97F4A7C15
 _SHAPES = {"inner": (len(PLACES), CLASSES + 1, HIDDEN), "inner_bias": (HIDDEN,), "outer": (HIDDEN, CLASSES), "outer_bias": (CLASSES,)}
@@ -244,14 +245,15 @@ def train_tokens(docs: DataFrame, words: Vocabulary, known: Tree, rounds: int =
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     shared = context.broadcast((words.classes, known))
     weights = start_weights(words.shares)
-    tables = [np.zeros((known.known + 2, HIDDEN), dtype=np.float16) for _ in (NEAR, CUTS)]
+    widths = {NEAR: HIDDEN, CUTS: CUT_UNITS}
+    tables = [np.zeros((known.known + 2, widths[kind]), dtype=np.float16) for kind in (NEAR, CUTS)]
     for turn in range(rounds):
         start = context.broadcast((weights, tables if turn else None))
 
         def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             classes, known = shared.value
             weights, tables = start.value
-            near, cuts = tables or [np.zeros((known.known + 2, HIDDEN))] * 2
+            near, cuts = tables or [np.zeros((known.known + 2, widths[kind]), dtype=np.float16) for kind in (NEAR, CUTS)]
             tokens = Tokens(known, near, cuts, PLACES, TOKEN_RATE / (turn + 1))
             trainer = Trainer(weights, 0.01 / (turn + 1), tokens)
             for batch in batches:
@@ -279,7 +281,7 @@ def train_tokens(docs: DataFrame, words: Vocabulary, known: Tree, rounds: int =
             if kind == DENSE:
                 weights = _shaped(np.frombuffer(values))
             else:
-                tables[kind][block * BLOCK + np.frombuffer(rows, dtype=np.uint16).astype(np.int64)] = np.frombuffer(values, dtype=np.float16).reshape(-1, HIDDEN)
+                tables[kind][block * BLOCK + np.frombuffer(rows, dtype=np.uint16).astype(np.int64)] = np.frombuffer(values, dtype=np.float16).reshape(-1, widths[kind])
         start.destroy()
     shared.destroy()
     return weights, *tables
@@ -299,7 +301,7 @@ def _mean(table: pa.Table) -> pa.Table:
         counts = [int(np.frombuffer(visits, dtype=np.int64)[0]) for _, visits, _ in parts]
         rows, values = b"", (sum(np.frombuffer(part[2]) * n for part, n in zip(parts, counts)) / sum(counts)).tobytes()
     else:
-        rows, values = mean_rows(parts, HIDDEN)
+        rows, values = mean_rows(parts, HIDDEN if kind == NEAR else CUT_UNITS)
     return pa.Table.from_batches([_binary([(kind, block, rows, values)], "kind int, block int, rows binary, values binary")])
 
 
@@ -336,8 +338,8 @@ def text_scores(
         seen = windows(own, doc)
         places = tokens and tokens.tree.places.take(ids)
         logs = np.empty(len(own))
-        for at in range(0, len(own), RUN):
-            part = slice(at, min(at + RUN, len(own)))
+        for at in range(0, len(own), 2 * RUN):
+            part = slice(at, min(at + 2 * RUN, len(own)))
             added = tokens and tokens.added(tokens.around(places, at, part.stop), seen[:, part] != CLASSES)
             made, hidden = log_probabilities(single, seen[:, part], added, exact=True)
             logs[part] = made[np.arange(len(made)), own[part]]

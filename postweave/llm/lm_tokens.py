@@ -136,7 +136,10 @@ def mean_rows(parts: Iterable[tuple[bytes, bytes, bytes]], width: int) -> tuple[
 
 
 class Tokens:
-    """The vectors of tokens beside a place (``near``) and of ``cuts``, on ``tree``, for a network with ``reach`` to either side."""
+    """The vectors of tokens beside a place (``near``) and of ``cuts``, on ``tree``, for a network that sees the places ``offsets``.
+
+    Cuts go by as many of the first units of the hidden layer as their vectors are long.
+    """
 
     def __init__(self, tree: Tree, near: np.ndarray, cuts: np.ndarray, offsets: tuple[int, ...], rate: float = 0.1):
         self.tree, self.near, self.cuts, self.offsets = tree, Table(near, rate), Table(cuts, rate), offsets

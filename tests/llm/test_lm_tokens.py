@@ -81,7 +81,7 @@ def test_scores_equal_the_definition(fitted):
             total += logits[words.classes[token]] - np.log(np.exp(logits).sum())
             cut = tree.roots[words.classes[token]]
             while cut:
-                after = 1 / (1 + np.exp(-(hidden @ cuts[cut].astype(float) + tree.odds[cut])))
+                after = 1 / (1 + np.exp(-(hidden[: lm.CUT_UNITS] @ cuts[cut].astype(float) + tree.odds[cut])))
                 late = tree.places[token] >= cut
                 total += np.log(after if late else 1 - after)
                 cut = (tree.upper if late else tree.lower)[cut]
