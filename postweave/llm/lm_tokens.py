@@ -16,6 +16,8 @@ import numpy as np
 
 # Rows of a table that tasks send as one.
 BLOCK = 512
+# Runs of up to so many rows are added up side by side.
+SHORT = 8
 
 
 @dataclass
@@ -23,37 +25,38 @@ class Tree:
     """The cuts of all classes.
 
     ``places``: where each id lies; ``known``: how many ids have a count, which come first; ``rest``: the others of each class,
-    which are not told apart. A cut is named by the first place after it. ``lower`` and ``upper``: the cuts of the parts before
-    and after a cut, 0 for one that is cut no further; ``odds``: the logarithm of the counts after it over those before;
-    ``roots``: the first cut of each class.
+    which are not told apart. A cut is named by the first place after it. ``sides``: the cuts of the parts before and after each
+    cut in turn, 0 for one that is cut no further; ``odds``: the logarithm of the counts after it over those before; ``roots``:
+    the first cut of each class; ``depths``: how many cuts lead to each place.
     """
 
     places: np.ndarray
     known: int
     rest: np.ndarray
     roots: np.ndarray
-    lower: np.ndarray
-    upper: np.ndarray
+    sides: np.ndarray
     odds: np.ndarray
+    depths: np.ndarray
+
+    @property
+    def lower(self) -> np.ndarray:
+        return self.sides[0::2]
+
+    @property
+    def upper(self) -> np.ndarray:
+        return self.sides[1::2]
 
     def rows(self, places: np.ndarray) -> np.ndarray:
         """The row of a table for each place; ids without a count and what lies beyond a document share the last one."""
         return np.minimum(places, self.known + 1)
 
-    def paths(self, classes: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray | slice, np.ndarray, np.ndarray]]:
-        """(tokens, their cut, whether they lie after it), level by level, for the tokens that still have one."""
-        token: np.ndarray | slice = slice(None)
-        cut = self.roots[classes]
-        while True:
-            live = np.flatnonzero(cut)
-            if not len(live):
-                return
-            if len(live) < len(cut):
-                token = live if isinstance(token, slice) else token[live]
-                cut, places = cut[live], places[live]
-            after = places >= cut
-            yield token, cut, after
-            cut = np.where(after, self.upper.take(cut), self.lower.take(cut))
+    def first(self, classes: np.ndarray) -> np.ndarray:
+        """The first cut of each class."""
+        return self.roots.take(classes).astype(np.intp)
+
+    def next(self, cut: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """The cut that follows each one on the side ``after`` it or not, 0 for none."""
+        return self.sides.take(2 * cut + after).astype(np.intp)
 
 
 def tree(counts: np.ndarray, order: np.ndarray, classes: np.ndarray, number: int) -> Tree:
@@ -69,8 +72,9 @@ def tree(counts: np.ndarray, order: np.ndarray, classes: np.ndarray, number: int
         middle = np.where((low < known) & (known < high), known, np.clip(middle, low + 1, high - 1))
         return np.where((high - low > 1) & (low < known), middle, 0)
 
-    lower, upper = np.zeros(known + 1, dtype=np.int32), np.zeros(known + 1, dtype=np.int32)
+    sides = np.zeros(2 * (known + 1), dtype=np.int32)
     odds = np.zeros(known + 1, dtype=np.float32)
+    turns = np.zeros(total + 1, dtype=np.int32)
     starts = np.searchsorted(classes[order], np.arange(number + 1))
     rest = np.diff(np.maximum(starts, known))
     low, high = starts[:-1], starts[1:]
@@ -79,21 +83,35 @@ def tree(counts: np.ndarray, order: np.ndarray, classes: np.ndarray, number: int
         live = at > 0
         low, high, at = low[live], high[live], at[live]
         odds[at] = np.log((mass[high] - mass[at]) / (mass[at] - mass[low]))
-        lower[at], upper[at] = cut(low, at), cut(at, high)
-        low, high, at = np.concatenate((low, at)), np.concatenate((at, high)), np.concatenate((lower[at], upper[at]))
-    return Tree(places, known, rest, roots.astype(np.int32), lower, upper, odds)
+        np.add.at(turns, low, 1)
+        np.add.at(turns, high, -1)
+        sides[2 * at], sides[2 * at + 1] = cut(low, at), cut(at, high)
+        low, high, at = np.concatenate((low, at)), np.concatenate((at, high)), np.concatenate((sides[2 * at], sides[2 * at + 1]))
+    return Tree(places, known, rest, roots.astype(np.int32), sides, odds, np.cumsum(turns[:-1]).astype(np.uint8))
 
 
-def run_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The sums of ``values`` from each of ``starts`` to the next."""
-    times = np.diff(starts, append=len(values))
-    longer = times > 1
-    if 4 * len(starts) < len(values) or longer.all():
+def run_sums(values: np.ndarray, starts: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The sums of ``values`` from each of ``starts`` to the next, ``times`` further on."""
+    if 4 * len(starts) < len(values):
         return np.add.reduceat(values, starts, axis=0)
+    # mostly short runs: the first rows of all of them, the second ones, and so on
+    order = np.argsort(-times)
+    first, counts = starts.take(order), np.bincount(np.minimum(times, SHORT + 1), minlength=SHORT + 2)
+    live = len(starts) - np.cumsum(counts)
     made = values.take(starts, axis=0)
-    if longer.any():
-        rows = np.flatnonzero(longer.repeat(times))
-        made[longer] = np.add.reduceat(values.take(rows, axis=0), np.cumsum(times[longer]) - times[longer], axis=0)
+    if live[1]:
+        rest = values.take(first[: live[1]] + 1, axis=0)
+        for size in range(2, SHORT):
+            if not live[size]:
+                break
+            rest[: live[size]] += values.take(first[: live[size]] + size, axis=0)
+        rest += made.take(order[: live[1]], axis=0)
+        if long := live[SHORT]:
+            own = times.take(order[:long])
+            ends = np.cumsum(own)
+            rows = np.arange(ends[-1]) + (first[:long] - ends + own).repeat(own)
+            rest[:long] = np.add.reduceat(values.take(rows, axis=0), ends - own, axis=0)
+        _whole(made)[order[: live[1]]] = _whole(rest)
     return made
 
 
@@ -101,18 +119,26 @@ class Table:
     """Vectors whose steps shorten as they are learnt from, ``visits`` times so far. The last row stays."""
 
     def __init__(self, values: np.ndarray, rate: float):
-        self.values, self.rate = values.astype(np.float32), np.float32(rate)
+        self.values, self.rate = values.astype(np.float32, order="C"), np.float32(rate)
         self.visits = np.zeros(len(values), dtype=np.int32)
+        self._rows = _whole(self.values)
 
     def learn(self, keys: np.ndarray, vectors: np.ndarray, starts: np.ndarray, slopes: np.ndarray) -> None:
         """Move the rows ``keys``, now ``vectors``, along the sums of ``slopes`` from each of ``starts`` to the next."""
-        visits = self.visits.take(keys) + np.diff(starts, append=len(slopes)).astype(np.int32)
-        sums = run_sums(slopes, starts)
-        sums *= (self.rate / np.sqrt(1 + visits.astype(np.float32) / 8))[:, None]
+        times = _times(starts, len(slopes))
+        visits = self.visits.take(keys)
+        visits += times
+        sums = run_sums(slopes, starts, times)
+        steps = visits.astype(np.float32)
+        steps /= 8
+        steps += 1
+        np.sqrt(steps, out=steps)
+        np.divide(self.rate, steps, out=steps)
+        sums *= steps[:, None]
         if keys[-1] == len(self.values) - 1:
             keys, vectors, sums, visits = keys[:-1], vectors[:-1], sums[:-1], visits[:-1]
         self.visits[keys] = visits
-        self.values[keys] = vectors - sums
+        self._rows[keys] = _whole(np.subtract(vectors, sums, out=sums))
 
     def blocks(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """(block, rows within it, visits, values) of the rows that have learnt."""
@@ -160,61 +186,103 @@ class Tokens:
         reach = max(self.offsets)
         total = len(rows) - 2 * reach
         vectors = self.near.values.take(rows, axis=0)
-        made = np.zeros((total, vectors.shape[1]), dtype=np.float32)
+        made, part = np.zeros((total, vectors.shape[1]), dtype=np.float32), np.empty((total, vectors.shape[1]), dtype=np.float32)
         for k, offset in enumerate(self.offsets):
-            made += vectors[reach + offset : reach + offset + total] * self.signs[k] * held[k].astype(np.float32)[:, None]
+            np.multiply(vectors[reach + offset : reach + offset + total], self.signs[k], out=part)
+            part[~held[k]] = 0
+            made += part
         return made
 
     def learn_near(self, rows: np.ndarray, held: np.ndarray, back: np.ndarray) -> None:
         reach = max(self.offsets)
-        slopes = np.zeros((len(rows), back.shape[1]), dtype=np.float32)
+        slopes, part = np.zeros((len(rows), back.shape[1]), dtype=np.float32), np.empty_like(back)
         for k, offset in enumerate(self.offsets):
-            slopes[reach + offset : reach + offset + len(back)] += back * self.signs[k] * held[k].astype(np.float32)[:, None]
+            np.multiply(back, self.signs[k], out=part)
+            part[~held[k]] = 0
+            slopes[reach + offset : reach + offset + len(back)] += part
         order = np.argsort(rows)
         rows = rows[order]
         starts = _starts(rows)
-        keys = rows[starts]
+        keys = rows[starts].astype(np.intp)
         self.near.learn(keys, self.near.values.take(keys, axis=0), starts, slopes.take(order, axis=0))
 
     def learn_cuts(self, hidden: np.ndarray, classes: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Learn which sides ``places`` lie on; the slope of the hidden layer."""
         order, width = np.argsort(places), self.cuts.values.shape[1]
         made = np.zeros_like(hidden)
-        hidden = hidden[:, :width].take(order, axis=0)
-        back = np.zeros_like(hidden)
+        cut, places = self.tree.first(classes.take(order)), places.take(order)
+        own = hidden[:, :width].take(order, axis=0)
+        back = np.zeros_like(own)
         # in the order of places, the tokens that share a cut lie side by side
-        for token, cut, after in self.tree.paths(classes[order], places[order]):
+        while len(cut):
+            live = np.flatnonzero(cut)
+            if 4 * len(live) < 3 * len(cut):
+                made[order, :width] = back
+                order, cut, places, own, back = order.take(live), cut.take(live), places.take(live), own.take(live, axis=0), back.take(live, axis=0)
+                continue
             starts = _starts(cut)
             keys = cut.take(starts)
-            held = self.cuts.values.take(keys, axis=0)
-            vectors = held.repeat(np.diff(starts, append=len(cut)), axis=0)
-            own = _taken(hidden, token)
-            off = 1 / (1 + np.exp(-(np.einsum("nh,nh->n", own, vectors) + self.tree.odds.take(cut)))) - after
+            held, times = self.cuts.values.take(keys, axis=0), _times(starts, len(cut))
+            vectors = held.repeat(times, axis=0)
+            after = places >= cut
+            off = np.einsum("nh,nh->n", own, vectors)
+            off += self.tree.odds.take(keys).repeat(times)
+            np.negative(off, out=off)
+            np.exp(off, out=off)
+            off += 1
+            np.reciprocal(off, out=off)
+            off -= after
             vectors *= off[:, None]
-            vectors += _taken(back, token)
-            back[token] = vectors
-            self.cuts.learn(keys, held, starts, own * off[:, None])
-        made[order, :width] = back
+            back += vectors
+            self.cuts.learn(keys, held, starts, np.multiply(own, off[:, None], out=vectors))
+            # tokens that are cut no further learn from a row that stays zero
+            self.cuts.values[0] = self.cuts.visits[0] = 0
+            cut = self.tree.next(cut, after)
         return made
 
     def within(self, hidden: np.ndarray, classes: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The log-probability of each token in its class."""
+        depths = self.tree.depths.take(places)
+        # the deepest first: at each level the tokens that have a cut are the first ones
+        order = np.argsort(places - (depths.astype(np.int64) << 32))
+        most = int(depths.max(initial=0))
         made = np.zeros(len(places))
-        hidden = np.ascontiguousarray(hidden[:, : self.cuts.values.shape[1]])
-        for token, cut, after in self.tree.paths(classes, places):
-            vectors = self.cuts.values.take(cut, axis=0)
-            odds = np.einsum("nh,nh->n", _taken(hidden, token), vectors) + self.tree.odds.take(cut)
-            np.negative(odds, out=odds, where=after)
-            made[token] -= np.maximum(odds, 0) + np.log(1 + np.exp(-np.abs(odds)))
+        hidden = hidden[:, : self.cuts.values.shape[1]].take(order, axis=0)
+        cut, sorted_places = self.tree.first(classes.take(order)), places.take(order)
+        for live in np.cumsum(np.bincount(depths, minlength=most + 1)[:0:-1])[::-1].tolist():
+            cut = cut[:live]
+            after = sorted_places[:live] >= cut
+            odds = np.einsum("nh,nh->n", hidden[:live], self.cuts.values.take(cut, axis=0))
+            odds += self.tree.odds.take(cut)
+            odds *= np.float32(1) - 2 * after.astype(np.float32)
+            off = np.abs(odds)
+            np.negative(off, out=off)
+            np.exp(off, out=off)
+            off += 1
+            np.log(off, out=off)
+            off += np.maximum(odds, 0, out=odds)
+            made[:live] -= off
+            cut = self.tree.next(cut, after)
+        logs = np.empty(len(places))
+        logs[order] = made
         unknown = places >= self.tree.known
-        made[unknown] -= np.log(self.tree.rest[classes[unknown]])
-        return made
-
-
-def _taken(values: np.ndarray, rows: np.ndarray | slice) -> np.ndarray:
-    return values if isinstance(rows, slice) else values.take(rows, axis=0)
+        logs[unknown] -= np.log(self.tree.rest[classes[unknown]])
+        return logs
 
 
 def _starts(rows: np.ndarray) -> np.ndarray:
     """Where runs of equal ``rows`` begin."""
     return np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+
+
+def _times(starts: np.ndarray, total: int) -> np.ndarray:
+    """How far it is from each of ``starts`` to the next, from the last to ``total``."""
+    times = np.empty_like(starts)
+    np.subtract(starts[1:], starts[:-1], out=times[:-1])
+    times[-1:] = total - starts[-1:]
+    return times
+
+
+def _whole(vectors: np.ndarray) -> np.ndarray:
+    """Each vector as one value: numpy puts these into their places at a quarter of the cost of numbers."""
+    return vectors.view(f"V{vectors.itemsize * vectors.shape[1]}").reshape(-1)
