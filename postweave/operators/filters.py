@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postweave.operators.lookup_joins import fits_broadcast
@@ -31,14 +32,18 @@ def contains_pattern(df: DataFrame, column: str, pattern: str) -> DataFrame:
     return df.filter(F.col(column).rlike(pattern)) if pattern else df
 
 
+# Up to so many stop words are looked for one by one, more in a set of them.
+FEW_WORDS = 16
+
+
 def drop_stopword_ngrams(
     df: DataFrame, column: str, stopwords: Sequence[str] | DataFrame, mode: str = "token"
 ) -> DataFrame:
     """Drop n-grams that hold a stop word.
 
     ``token`` compares whole words. ``substring`` matches the stop words joined into one regex
-    anywhere in the n-gram, so a one-letter stop word drops every n-gram with that letter. Listed words are
-    looked up in a set. A table of stop words, first column, may be of any size, and its words are plain text, no regex.
+    anywhere in the n-gram, so a one-letter stop word drops every n-gram with that letter. A few listed words are looked
+    for in the n-gram as it is, more are looked up in a set. A table of stop words, first column, may be of any size, and its words are plain text, no regex.
     Its join is on the words of the n-grams; for substrings, these words are first looked through themselves, each once.
     An n-gram that is null stays.
     """
@@ -63,11 +68,23 @@ def drop_stopword_ngrams(
         return df
     if mode == "substring":
         held = F.col(column).rlike("|".join(stopwords))
+    elif len(stopwords) <= FEW_WORDS and column in df.columns:
+        # exploded, an n-gram is made once: a plain column's expression would be repeated wherever the filter names it
+        df = df.withColumn(column, F.explode(F.array(column)))
+        held = reduce(Column.__or__, [_holds_word(F.col(column), word) for word in stopwords if word is not None], F.lit(False))
     else:
         held = F.exists(F.split(column, " "), lambda word: word.isin(list(stopwords)))
     return df.filter(~F.coalesce(held, F.lit(False)))
 
 
+def _holds_word(value: Column, word: str) -> Column:
+    """Whether ``word`` is among the parts that blanks cut ``value`` into."""
+    if " " in word:
+        return F.lit(False)
+    text = value.cast("string")
+    return (text == F.lit(word)) | text.startswith(f"{word} ") | text.endswith(f" {word}") | text.contains(f" {word} ")
+
+
 # The parts of a value are looked up by so many of their first characters before they are shuffled.
 HEAD = 3
 
