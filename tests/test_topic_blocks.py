@@ -1,3 +1,6 @@
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,3 +29,49 @@ def test_small_blocks_give_the_fit_of_rows(spark, monkeypatch):
     assert terms == {r[0]: pytest.approx(r[1:]) for r in rows.terms.collect()}
     assert documents == {r[0]: pytest.approx(r[1:]) for r in rows.documents.collect()}
     assert blocks.moved == pytest.approx(rows.moved)
+
+
+def _shuffled(spark):
+    """Bytes of shuffle files on the disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(file.length() for file in (files.apply(at) for at in range(files.size())) if file.getName().startswith("shuffle_"))
+
+
+def test_a_fit_keeps_on_disk_only_what_it_still_reads(spark, monkeypatch, tmp_path):
+    """No counts, no shuffles and one table of sums beside the cells, which hold no sums, when an iteration begins."""
+    monkeypatch.setattr(topics, "fresh_folder", lambda session, name: str(tmp_path / "topics-3"))
+    found = []
+    iterate = topics._iterate
+
+    def spy(cells, *args):
+        tables = sorted(p.name for p in (tmp_path / "topics-3" / "iterations").iterdir() if p.name.startswith(("counts", "terms")))
+        for _ in range(100):
+            if _shuffled(spark) <= before + 100_000:
+                break
+            time.sleep(0.1)
+        found.append((tables, set(cells.columns) & {"sums", "held"}, _shuffled(spark) - before))
+        return iterate(cells, *args)
+
+    monkeypatch.setattr(topics, "_iterate", spy)
+    tokens = spark.range(200_000).select((F.col("id") % 7).cast("string").alias("bucket"), F.md5(F.col("id").cast("string")).alias("ngram"))
+    before = _shuffled(spark)
+    topics.fit_topics(topics.document_terms(tokens), 2, 2, tolerance=0)
+    assert [tables for tables, _, _ in found] == [["terms_even"], ["terms_odd"]]
+    assert all(not held and left <= 100_000 for _, held, left in found), found
+
+
+def test_numbers_of_a_block_are_kept_whole():
+    for values in ([0, 255], [0, 256], [70_000, 1], [2**32, 1], [0.5, 3.0], [-1.0, 2.0]):
+        kept = topic_blocks._binary(topic_blocks._narrow(np.array(values)))[0]
+        assert topic_blocks._wide(kept.as_buffer(), 2).tolist() == values
+
+
+def test_chunks_of_a_block_cover_it(monkeypatch):
+    monkeypatch.setattr(topic_blocks, "CHUNK_CELLS", 5)
+    cells = np.array([1, 9, 1, 1, 2, 12, 3, 1])
+    ends = np.cumsum(cells)
+    seen = list(topic_blocks._chunks(cells))
+    assert len(seen) > 2 and [i for some, _, _ in seen for i in range(some.start, some.stop)] == list(range(8))
+    for some, at, within in seen:
+        assert (within.start, within.stop) == (ends[some.start] - cells[some.start], ends[some.stop - 1])
+        assert at.tolist() == (ends - cells - within.start)[some].tolist()
