@@ -61,9 +61,9 @@ def test_a_fit_keeps_on_disk_only_what_it_still_reads(spark, monkeypatch, tmp_pa
 
 
 def test_numbers_of_a_block_are_kept_whole():
-    for values in ([0, 255], [0, 256], [70_000, 1], [2**32, 1], [0.5, 3.0], [-1.0, 2.0]):
+    for values in ([], [0, 255], [0, 256], [70_000, 1], [2**32, 1], [0.5, 3.0], [-1.0, 2.0]):
         kept = topic_blocks._binary(topic_blocks._narrow(np.array(values)))[0]
-        assert topic_blocks._wide(kept.as_buffer(), 2).tolist() == values
+        assert topic_blocks._wide(kept).tolist() == values
 
 
 def test_chunks_of_a_block_cover_it(monkeypatch):
@@ -75,3 +75,33 @@ def test_chunks_of_a_block_cover_it(monkeypatch):
     for some, at, within in seen:
         assert (within.start, within.stop) == (ends[some.start] - cells[some.start], ends[some.stop - 1])
         assert at.tolist() == (ends - cells - within.start)[some].tolist()
+
+
+def test_ngrams_that_occur_once_keep_no_sums(spark, monkeypatch):
+    """Their shares after many iterations are those of a fit that carries the sums of all n-grams."""
+    cells = [(f"d{i % 6}", f"once {i}", 1) for i in range(60)] + [(f"d{i % 6}", f"more {i % 9}", 1 + i % 3) for i in range(30)] + [("d7", "alone", 1)]
+    cells += [("d1", "twice", 2)]
+    counts = spark.createDataFrame(cells, "bucket string, ngram string, n bigint").groupBy("bucket", "ngram").agg(F.sum("n").alias("n"))
+    single = counts.groupBy("ngram").agg(F.sum("n").alias("n")).filter("n = 1").count()
+    seen = []
+    iterate = topics._iterate
+    monkeypatch.setattr(topics, "_iterate", lambda *args: seen.append(args[1].agg(F.sum(F.octet_length("sums"))).first()[0]) or iterate(*args))
+    blocks = topics.fit_topics(counts, 3, 25, tolerance=0, document_prior=0.5, term_prior=0.01)
+    assert single == 61 and blocks.vocabulary == 71
+    assert seen == [10 * 3 * 8] * 25
+    terms, documents = ({r[0]: r[1:] for r in table.collect()} for table in (blocks.terms, blocks.documents))
+    monkeypatch.setattr(topics, "BROADCAST_BYTES", 0)
+    rows = topics.fit_topics(counts, 3, 25, tolerance=0, document_prior=0.5, term_prior=0.01)
+    assert terms == {r[0]: pytest.approx(r[1:], rel=1e-9) for r in rows.terms.collect()}
+    assert documents == {r[0]: pytest.approx(r[1:], rel=1e-9) for r in rows.documents.collect()}
+
+
+def test_many_documents_carry_all_sums(spark, monkeypatch):
+    """Where a matrix per document is too much to broadcast, the fit is the same."""
+    cells = [(f"d{i % 6}", f"once {i}", 1) for i in range(30)] + [(f"d{i % 6}", f"more {i % 4}", 1 + i % 3) for i in range(30)]
+    counts = spark.createDataFrame(cells, "bucket string, ngram string, n bigint").groupBy("bucket", "ngram").agg(F.sum("n").alias("n"))
+    fits = []
+    for most in (topics.BROADCAST_BYTES, 6 * 8 * 8):
+        monkeypatch.setattr(topics, "BROADCAST_BYTES", most)
+        fits.append({r[0]: r[1:] for r in topics.fit_topics(counts, 3, 5, tolerance=0).terms.collect()})
+    assert fits[0] == {name: pytest.approx(sums, rel=1e-9) for name, sums in fits[1].items()}
