@@ -207,3 +207,17 @@ def test_weights_with_a_document_of_half_of_all_terms(spark):
     finally:
         for name, value in kept.items():
             spark.conf.set(name, value)
+
+
+def test_top_terms_are_ranked_among_the_near_ones(spark):
+    """Ties of the n-th, also by rounding alone, are kept; far terms are not rounded and ranked."""
+    sums = [(f"t{i}", 0.001 * (i % 100), float(i % 7), 0.5 * i) for i in range(3000)] + [("a", 5.0000001, 9.0, 1.0), ("b", 5.0, 8.0, 1.0), ("c", 4.9999999, 8.0, 1.0), ("d", 4.9, 0.0, 3.0)]
+    terms = spark.createDataFrame(sums, "ngram string, p0 double, p1 double, p2 double")
+    documents = spark.createDataFrame([("1-2024", 900.0, 8000.0, 3003.0)], "bucket string, p0 double, p1 double, p2 double")
+    model = topics.TopicModel(terms, documents, 3, len(sums), 1.0, 0.1, "", 1, 0.0, True)
+    for top in (1, 2, 3, 5, 20_000):
+        found = sorted(map(tuple, topics.topic_terms(model, top).collect()))
+        listed = [(r[0], r[1], r[2]) for r in topics.top_n_by_group(topics._listed_terms(model), "topic", "expected", top).collect()]
+        assert found == sorted(listed)
+    assert sorted(r["term"] for r in topics.topic_terms(model, 1).filter("topic = 1").collect()) == ["a", "b", "c"]
+    assert topics._listed_terms(model, 2).filter("topic = 1 and term like 't%'").count() < 3000 == topics._listed_terms(model).filter("topic = 1 and term like 't%'").count()
