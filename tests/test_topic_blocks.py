@@ -58,6 +58,7 @@ def test_a_fit_keeps_on_disk_only_what_it_still_reads(spark, monkeypatch, tmp_pa
     topics.fit_topics(topics.document_terms(tokens), 2, 2, tolerance=0)
     assert [tables for tables, _, _ in found] == [["terms_even"], ["terms_odd"]]
     assert all(not held and left <= 100_000 for _, held, left in found), found
+    assert spark.conf.get(topics.SHUFFLES_GO, None) is None
 
 
 def test_numbers_of_a_block_are_kept_whole():
